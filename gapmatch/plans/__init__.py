@@ -1,0 +1,14 @@
+"""Queries over the test tables, grouped by area."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+AREAS = ("text_queries", "document_queries", "retrieval_queries")
+
+
+def registry() -> dict:
+    found: dict = {}
+    for area in AREAS:
+        found.update(import_module(f"{__name__}.{area}").QUERIES)
+    return found
