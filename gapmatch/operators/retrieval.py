@@ -76,7 +76,7 @@ def dense_rankings(
     )
     asked = queries.select("scope", "query_id", F.posexplode(variants).alias("v", "q")).select(
         "scope", F.concat_ws("|", F.col("v").cast("string"), "query_id").alias("query_id"),
-        embed(F.col("q")).alias("vec"),
+        embed(F.col("q")).cast("array<float>").alias("vec"),
     )
     items = chunks.select("scope", F.col("chunk_id").alias("item_id"), "vec")
     return top_k(items, asked, cosine, cfg.candidate_k, **kw).select(
@@ -157,14 +157,33 @@ def keep_order(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k:
     return candidates.filter(F.col("rank") <= k)
 
 
-def rank_chunks(
+def all_rankings(
     chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = FULL,
-    embed: Embedder | None = None, reranker: Reranker | None = None, **kw,
+    embed: Embedder | None = None, **kw,
 ) -> DataFrame:
-    """Ranked child chunks of every query. ``embed`` is the embedder the index was built with."""
+    """Dense and lexical rankings in one table. ``embed`` is what the index was built with."""
     rankings = dense_rankings(chunks, queries, embed or hashed_embedder(), cfg, **kw)
     if cfg.bm25:
         rankings = rankings.unionByName(bm25_rankings(chunks, queries, cfg, **kw))
+    return rankings
+
+
+def rank_chunks(
+    chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = FULL,
+    embed: Embedder | None = None, reranker: Reranker | None = None,
+    rankings: DataFrame | None = None, **kw,
+) -> DataFrame:
+    """Ranked child chunks of every query.
+
+    ``rankings`` may hold the full set computed before; the switches then only select from it.
+    """
+    if rankings is None:
+        rankings = all_rankings(chunks, queries, cfg, embed, **kw)
+    else:
+        if not cfg.bm25:
+            rankings = rankings.filter("ranking <> 'bm25'")
+        if not cfg.multi_query:
+            rankings = rankings.filter("ranking in ('0', 'bm25')")
     reranker = reranker or (coverage_rerank if cfg.rerank else keep_order)
     return reranker(fuse(rankings), chunks, queries, cfg.candidate_k)
 

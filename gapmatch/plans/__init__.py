@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text_queries", "document_queries", "retrieval_queries")
+AREAS = ("text_queries", "document_queries", "retrieval_queries", "matching_queries")
 
 
 def registry() -> dict:

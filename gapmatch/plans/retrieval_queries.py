@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import retrieval as R
+from ..operators.index import written
 from ..operators.topk import cosine, top_k
 from ..operators.vectors import hashed_embedder
 from .tables import global_index, index, probes, requirements, table
@@ -128,12 +129,20 @@ def first_relevant_ranks(spark, sf_dir):
 
 
 def retrieval_ablation(spark, sf_dir):
-    """The metrics of every configuration in one table; dense and lexical rankings are shared."""
+    """The metrics of every configuration in one table.
+
+    Scoring the corpus is the costly part, so each chunking strategy is scored once, its rankings
+    (a few rows per probe) are written, and the configurations select from them.
+    """
     asked = probes(spark, sf_dir)
+    scored: dict = {}
     out = None
     for name, (cfg, strategy) in E.ABLATIONS.items():
         ix = global_index(spark, sf_dir, strategy)
-        row = E.retrieval_metrics(_relevant(R.rank_chunks(ix.children, asked, cfg), ix.children, asked)).select(
+        if strategy not in scored:
+            scored[strategy] = written(R.all_rankings(ix.children, asked), "rankings")
+        ranked = R.rank_chunks(ix.children, asked, cfg, rankings=scored[strategy])
+        row = E.retrieval_metrics(_relevant(ranked, ix.children, asked)).select(
             F.lit(name).alias("config"), "*"
         )
         out = row if out is None else out.unionByName(row)

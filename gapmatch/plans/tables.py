@@ -7,8 +7,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import chunking as C
-from ..operators.index import Index, build_index
+from ..operators import evidence as V
+from ..operators import retrieval as R
+from ..operators.index import Index, build_index, written
 
 SESSIONS = 20  # values of documents.source
 
@@ -55,6 +58,37 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def posting_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements with category and kind."""
+    number = F.col("query_id").cast("int")
+    return requirements(spark, sf_dir).select(
+        "scope", "query_id", "text",
+        F.when(number % 3 == 2, "nice_to_have").otherwise("must_have").alias("category"),
+        T.requirement_kind(F.col("text")).alias("kind"),
+    )
+
+
+@lru_cache(maxsize=8)
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored evidence map: passages retrieved for every requirement."""
+    ix = index(spark, sf_dir)
+    return written(R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir)), "passages")
+
+
+@lru_cache(maxsize=8)
+def judged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored match items of every session."""
+    return written(V.verdicts(posting_items(spark, sf_dir), passages(spark, sf_dir)), "items")
+
+
+def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match items under the names the reports read."""
+    return judged_items(spark, sf_dir).select(
+        F.col("scope").alias("session_id"), F.col("query_id").cast("long").alias("order_key"),
+        F.col("text").alias("requirement"), "category", "kind", "status", "confidence", "evidence_quote",
+    )
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scope, query_id, text): the same texts asked of all documents at once."""
     return requirements(spark, sf_dir).withColumn("scope", F.lit("all"))

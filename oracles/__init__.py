@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text", "documents", "retrieval")
+AREAS = ("text", "documents", "retrieval", "matching")
 
 
 def statements() -> dict[str, str]:
