@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text_queries", "document_queries", "retrieval_queries", "matching_queries")
+AREAS = ("text_queries", "document_queries", "retrieval_queries", "matching_queries", "session_queries", "telemetry_queries",
+         "metric_queries")
 
 
 def registry() -> dict:

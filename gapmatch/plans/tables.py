@@ -7,10 +7,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed as K
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import evidence as V
 from ..operators import retrieval as R
+from ..operators.scorecards import latest_per_key
 from ..operators.index import Index, build_index, written
 
 SESSIONS = 20  # values of documents.source
@@ -106,3 +108,69 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("answer"),
     )
     return asked.join(said, ["session_id", "answer_id"])
+
+
+# --- customers, orders and lines as users, sessions and items ------------------------------
+def order_key():
+    """An orderable text key of a line: (order, line number) alone is not unique."""
+    return F.format_string(
+        "%02d-%012d-%09d-%03d-%012d", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"),
+        F.round(F.col("l_extendedprice") * 100).cast("long"),
+    )
+
+
+def order_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, session_id, title, target_role, created_at); equal titles recur on purpose."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("session_id"),
+        F.concat("o_orderpriority", F.lit(" - "), F.year("o_orderdate").cast("string")).alias("title"),
+        F.col("o_orderpriority").alias("target_role"), F.col("o_orderdate").alias("created_at"),
+    )
+
+
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as match items: return flag = status, line status = category, part = requirement."""
+    lines = table(spark, sf_dir, "lineitem")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    flag = F.col("l_returnflag")
+    status = F.when(flag == "A", "strong").when(flag == "N", "partial").otherwise("missing")
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+        F.col("l_orderkey").alias("session_id"), order_key().alias("order_key"),
+        F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("requirement"),
+        F.when(F.col("l_linestatus") == "O", "must_have").otherwise("nice_to_have").alias("category"),
+        F.when(F.col("p_type") == "PROMO", "behavioural").otherwise("evidenceable").alias("kind"),
+        status.alias("status"), F.col("l_discount").alias("confidence"),
+        F.when(flag != "R", F.concat(F.lit("Designed and shipped every "), "p_name", F.lit(" of note"))).alias("evidence_quote"),
+    )
+
+
+def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as scored answers: line number = question, quantity = score."""
+    whole = F.col("l_quantity").cast("int")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("question_id"),
+        F.col("l_shipdate").alias("answered_at"), order_key().alias("answer_key"),
+        (F.lit(10) + F.floor(40 * (whole - 1) / 49)).cast("long").alias("score10"),
+        F.array(*[
+            F.struct(F.lit(name).alias("name"), (F.lit(1) + (value % 5)).cast("int").alias("score"))
+            for name, value in (("Depth", whole), ("Relevance", F.col("l_partkey")), ("Correctness", F.col("l_suppkey")))
+        ]).alias("criteria"),
+    )
+
+
+def latest_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_per_key(order_answers(spark, sf_dir), ["session_id", "question_id"], ["answered_at", "answer_key"])
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as model calls: user = session, type = stage, the JSON counter drives tokens and cache."""
+    k = F.from_json("props", "k int")["k"]
+    models = F.array(*[F.lit(m) for m in (*K.USD_PER_MILLION, "unlisted-model")])
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("call_id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("stage"),
+        F.element_at(models, (F.col("event_id") % 5 + 1).cast("int")).alias("model"),
+        F.concat(F.lit("v"), (k % 3).cast("string")).alias("prompt_version"),
+        (k * 10).alias("prompt_tokens"), F.floor("value").cast("int").alias("completion_tokens"),
+        F.col("value").alias("latency_ms"), (k % 4 == 0).alias("cache_hit"),
+        F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.col("ts").alias("created_at"),
+    )

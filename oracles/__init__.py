@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text", "documents", "retrieval", "matching")
+AREAS = ("text", "documents", "retrieval", "matching", "sessions", "telemetry")
 
 
 def statements() -> dict[str, str]:

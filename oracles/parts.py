@@ -137,8 +137,8 @@ def half_even(num: str, den: str, scale: int) -> str:
     a = f"(({num})::HUGEINT * {10 ** scale})"
     d = f"({den})::HUGEINT"
     return (
-        f"(({a} // {d}) + CASE WHEN 2 * ({a} % {d}) > {d} OR (2 * ({a} % {d}) = {d} "
-        f"AND ({a} // {d}) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / {10 ** scale}"
+        f"((({a} // {d}) + CASE WHEN 2 * ({a} % {d}) > {d} OR (2 * ({a} % {d}) = {d} "
+        f"AND ({a} // {d}) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / {10 ** scale})"
     )
 
 
