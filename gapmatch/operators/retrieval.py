@@ -104,6 +104,8 @@ def fuse(rankings: DataFrame, k: int = K.RRF_K) -> DataFrame:
     per_chunk = rankings.groupBy("scope", "query_id", "chunk_id").agg(
         F.round(F.sum(1 / (k + F.col("rank"))), 12).alias("rrf"),
         F.min("rank").alias("first_rank"),
+        # equal scores keep the order of discovery: variants first, the lexical ranking last
+        F.min(F.struct(F.when(F.col("ranking") == "bm25", "z").otherwise(F.col("ranking")).alias("by"), "rank")).alias("seen"),
         F.collect_set("ranking").alias("seen_in"),
         F.max(F.when(F.col("ranking") == "bm25", 0.0).otherwise(F.col("score"))).alias("own"),
     )
@@ -117,7 +119,7 @@ def fuse(rankings: DataFrame, k: int = K.RRF_K) -> DataFrame:
     order = whole.orderBy(
         F.when(single, F.col("first_rank")).otherwise(0),
         F.when(single, 0.0).otherwise(-F.col("score")),
-        "chunk_id",
+        "seen", "chunk_id",
     )
     return scored.select(
         "scope", "query_id", "chunk_id", "score", F.row_number().over(order).alias("rank")

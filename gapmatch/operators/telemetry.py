@@ -6,7 +6,7 @@ latency_ms, cache_hit, status, created_at. Money is decimal, so sums do not depe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
@@ -56,17 +56,42 @@ def spend_gate(calls: DataFrame, ceiling: float = K.SPEND_CEILING_USD, exempt: b
     )
 
 
-def _p95(latency: Column) -> Column:
-    return F.round(F.percentile(latency, 0.95), 6)
-
-
 def by_session(calls: DataFrame) -> DataFrame:
     return calls.groupBy("session_id").agg(F.count("*").alias("calls"), F.sum("cost_usd").alias("cost_usd"))
 
 
+def exact_percentile(rows: DataFrame, key: str, value: str, p: float, slack: float = 0.002) -> DataFrame:
+    """(key, n, value at p), exact and interpolated, without holding a group's values anywhere.
+
+    A sketch brackets the wanted rank; rows below the bracket are only counted, and just the sliver
+    inside it is ranked, as counts of distinct values.
+    """
+    bracket = rows.groupBy(key).agg(
+        F.count(value).alias("n"),
+        F.percentile_approx(value, [max(0.0, p - slack), min(1.0, p + slack)], 10_000).alias("b"),
+    )
+    known = rows.select(key, value).join(bracket.select(key, "b"), key)
+    below = known.groupBy(key).agg(F.count_if(F.col(value) < F.col("b")[0]).alias("below"))
+    inside = (
+        known.filter(F.col(value).between(F.col("b")[0], F.col("b")[1]))
+        .groupBy(key, value)
+        .agg(F.count("*").alias("times"))
+    )
+    ranked = inside.withColumn("upto", F.sum("times").over(Window.partitionBy(key).orderBy(value)))
+    at = p * (F.col("n") - 1)
+    placed = ranked.join(below, key).join(bracket.select(key, "n"), key).withColumn("last", F.col("below") + F.col("upto"))
+    # Row numbers are 0-based: a value covers ranks up to last - 1.
+    picked = placed.groupBy(key, "n").agg(
+        F.min(F.when(F.col("last") > F.floor(at), F.col(value))).alias("lo"),
+        F.min(F.when(F.col("last") > F.ceil(at), F.col(value))).alias("hi"),
+    )
+    return picked.select(key, "n", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias(value))
+
+
 def latency_by_stage(calls: DataFrame) -> DataFrame:
-    """Exact p95: the aggregate keeps counts per distinct latency, which merge map-side."""
-    return calls.groupBy("stage").agg(F.count("*").alias("calls"), _p95(F.col("latency_ms")).alias("p95_ms"))
+    return exact_percentile(calls, "stage", "latency_ms", 0.95).select(
+        "stage", F.col("n").alias("calls"), F.round("latency_ms", 6).alias("p95_ms")
+    )
 
 
 def stage_rollup(calls: DataFrame) -> DataFrame:

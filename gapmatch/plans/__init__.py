@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 AREAS = ("text_queries", "document_queries", "retrieval_queries", "matching_queries", "session_queries", "telemetry_queries",
-         "metric_queries")
+         "metric_queries", "stream_queries")
 
 
 def registry() -> dict:

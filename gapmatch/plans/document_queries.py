@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..sources import documents as D
-from .tables import documents, index, spread, table
+from .tables import documents, index, kinds, spread, table
 
 
 def ingest_status(spark, sf_dir):
@@ -89,12 +89,7 @@ def hash_vectors(spark, sf_dir):
 def documents_ready(spark, sf_dir):
     """Sessions whose candidate and posting documents are both ready; source = session."""
     loaded = D.load_texts(spread(documents(spark, sf_dir).drop("pages")))
-    kinds = loaded.select(
-        F.col("scope").alias("session_id"),
-        F.when(F.col("doc_id") % 4 == 3, "jd").otherwise("cv").alias("kind"),
-        F.when(F.col("ingest_error").isNull(), "ready").otherwise("failed").alias("ingest_status"),
-    )
-    return D.session_readiness(kinds)
+    return D.session_readiness(kinds(loaded.withColumnRenamed("scope", "session_id")))
 
 
 QUERIES = {

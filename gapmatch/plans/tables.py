@@ -162,11 +162,28 @@ def latest_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_key(order_answers(spark, sf_dir), ["session_id", "question_id"], ["answered_at", "answer_key"])
 
 
+def kinds(loaded: DataFrame) -> DataFrame:
+    """Loaded documents (session_id, doc_id, ingest_error) as one kind or the other of their session."""
+    return loaded.select(
+        "session_id", document_kind().alias("kind"),
+        F.when(F.col("ingest_error").isNull(), "ready").otherwise("failed").alias("ingest_status"),
+    )
+
+
+def document_kind():
+    """Every fourth document of a session is a posting."""
+    return F.when(F.floor(F.col("doc_id") / SESSIONS) % 4 == 3, "jd").otherwise("cv")
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
     """Events as model calls: user = session, type = stage, the JSON counter drives tokens and cache."""
     k = F.from_json("props", "k int")["k"]
     models = F.array(*[F.lit(m) for m in (*K.USD_PER_MILLION, "unlisted-model")])
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("call_id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("stage"),
         F.element_at(models, (F.col("event_id") % 5 + 1).cast("int")).alias("model"),
         F.concat(F.lit("v"), (k % 3).cast("string")).alias("prompt_version"),

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import telemetry as L
 from ..sources import contracts as C
 from ..sources import store as W
-from .tables import calls, documents, index, order_items, order_sessions, spread, table
+from .tables import calls, document_kind, documents, index, order_items, order_sessions, spread, table
 
 
 def _priced(spark, sf_dir):
@@ -110,7 +110,7 @@ def profile_whitelist(spark, sf_dir):
 def _versions(spark, sf_dir):
     """Documents as uploads of sessions: several per (session, kind)."""
     return documents(spark, sf_dir).select(
-        F.col("scope").alias("session_id"), F.when(F.col("doc_id") % 4 == 3, "jd").otherwise("cv").alias("kind"),
+        F.col("scope").alias("session_id"), document_kind().alias("kind"),
         (F.col("doc_id") % 97).alias("created_at"), "doc_key", F.length("text").alias("n_chars"),
     )
 

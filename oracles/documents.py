@@ -70,7 +70,7 @@ ORACLES = {
         "FROM u WHERE w <> 0 GROUP BY chunk_id",
     ),
     "documents_ready": f"""
-        WITH d AS (SELECT source, CASE WHEN doc_id % 4 = 3 THEN 'jd' ELSE 'cv' END AS kind,
+        WITH d AS (SELECT source, CASE WHEN doc_id // 20 % 4 = 3 THEN 'jd' ELSE 'cv' END AS kind,
                    length({P.strip('text')}) >= {K.TEXT_MIN_CHARS} AS ok FROM documents),
              r AS (SELECT source, bool_or(ok AND kind = 'cv') AND bool_or(ok AND kind = 'jd') AS ready FROM d GROUP BY source)
         SELECT source AS session_id, ready, CASE WHEN ready THEN 'ready' ELSE 'created' END AS status FROM r""",

@@ -365,10 +365,10 @@ def fused_ctes(rankings: str, n: str = "fu") -> list[tuple[str, str]]:
         (f"{n}_r", rankings),
         (f"{n}_c", f"SELECT scope, query_id, count(DISTINCT ranking) AS nr FROM {n}_r GROUP BY ALL"),
         (f"{n}_g", f"SELECT scope, query_id, chunk_id, round(sum(1.0::DOUBLE / ({K.RRF_K} + rank)), 12) AS rrf, "
-                   f"min(rank) AS fr, max(CASE WHEN ranking = 'bm25' THEN 0 ELSE score END) AS own FROM {n}_r GROUP BY ALL"),
+                   f"min(rank) AS fr, min((CASE WHEN ranking = 'bm25' THEN 'z' ELSE ranking END, rank)) AS seen, max(CASE WHEN ranking = 'bm25' THEN 0 ELSE score END) AS own FROM {n}_r GROUP BY ALL"),
         (n, f"SELECT scope, query_id, chunk_id, CASE WHEN nr = 1 THEN own ELSE rrf END AS score, row_number() OVER "
             f"(PARTITION BY scope, query_id ORDER BY CASE WHEN nr = 1 THEN fr ELSE 0 END, "
-            f"CASE WHEN nr = 1 THEN 0 ELSE -rrf END, chunk_id) AS rank FROM {n}_g JOIN {n}_c USING (scope, query_id)"),
+            f"CASE WHEN nr = 1 THEN 0 ELSE -rrf END, seen, chunk_id) AS rank FROM {n}_g JOIN {n}_c USING (scope, query_id)"),
     ]
 
 

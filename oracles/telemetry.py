@@ -5,6 +5,7 @@ from __future__ import annotations
 from gapmatch.functions import fixed as K
 
 from . import parts as P
+from .documents import ORACLES as DOCUMENTS
 from .retrieval import ALL, SUMMARY, lexical, metrics
 from .sessions import ITEMS, OKEY, SESSIONS
 
@@ -32,7 +33,7 @@ def violations(rules):
     return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN NULL ELSE '{n}' END" for n, cond in rules.items()) + "], lambda q1_: q1_ IS NOT NULL)"
 
 
-VERSIONS = ("vs", "SELECT source AS session_id, CASE WHEN doc_id % 4 = 3 THEN 'jd' ELSE 'cv' END AS kind, doc_id % 97 AS created_at, 'cv' || doc_id AS doc_key, "
+VERSIONS = ("vs", "SELECT source AS session_id, CASE WHEN doc_id // 20 % 4 = 3 THEN 'jd' ELSE 'cv' END AS kind, doc_id % 97 AS created_at, 'cv' || doc_id AS doc_key, "
                   "length(text)::INT AS n_chars FROM documents")
 KEPT = "o_orderstatus <> 'P'"
 TOPUP = {
@@ -45,7 +46,13 @@ TOPUP["llm_call"] = (
     "SELECT count(*), count(*) FILTER (NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = user_id AND o_orderstatus = 'P')) FROM events"
 )
 
+RATES_SQL = "SELECT user_id AS caller, date_trunc('hour', ts) AS window_start, count(*) AS requests, count(*) > 1 AS over FROM events GROUP BY ALL"
+
 ORACLES = {
+    "stream_rate_windows": RATES_SQL,
+    "spend_breach": P.with_(PRICED, "SELECT model AS installation, sum(cost)::DOUBLE AS spent_usd FROM pc GROUP BY model HAVING sum(cost) >= 0.05"),
+    "stream_ingest": DOCUMENTS["ingest_status"],
+    "status_stream": DOCUMENTS["documents_ready"],
     "cost_by_rate": P.with_(PRICED, "SELECT call_id, model, prompt_tokens, completion_tokens, cost::DOUBLE AS cost_usd FROM pc"),
     "spend_by_session": P.with_(PRICED, "SELECT session_id, count(*) AS calls, sum(cost)::DOUBLE AS cost_usd FROM pc GROUP BY session_id"),
     "spend_gate": P.with_(PRICED, "SELECT coalesce(sum(cost), 0)::DOUBLE AS spent_usd, coalesce(sum(cost), 0) >= 1.0 AS refused FROM pc"),
@@ -60,7 +67,7 @@ ORACLES = {
                    greatest(1, length(lower(text)) // 4)::INT AS ct FROM conversations)
         SELECT call_id, session_id, 'gpt-4o-mini' AS model, pt AS prompt_tokens, CASE WHEN bad THEN 0 ELSE ct END AS completion_tokens,
                CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, ((pt * 0.15 + CASE WHEN bad THEN 0 ELSE ct END * 0.60) * 0.000001)::DOUBLE AS cost_usd FROM t""",
-    "rate_windows": "SELECT user_id AS caller, date_trunc('hour', ts) AS window_start, count(*) AS requests, count(*) > 1 AS over FROM events GROUP BY ALL",
+    "rate_windows": RATES_SQL,
     "contract_quarantine": P.with_(
         [("cq", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN l_linestatus = 'O' THEN 'star' WHEN l_returnflag = 'R' THEN 'essay' ELSE "
                 "'technical' END AS rubric, l_suppkey % 5 + 1 AS n, l_linenumber - 1 AS score, l_quantity / 8 AS overall FROM lineitem"),
