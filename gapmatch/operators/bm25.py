@@ -8,6 +8,8 @@ of this ranking affordable.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,13 @@ from ..functions import text as T
 from .topk import top_k
 
 
+class Lexicon(NamedTuple):
+    """Statistics of the scopes: (scope, n, avg_len) and (scope, term, df, idf)."""
+
+    stats: DataFrame
+    terms: DataFrame
+
+
 def _or_blank(toks):
     """A text without tokens holds the placeholder ``_``."""
     return F.when(F.size(toks) > 0, toks).otherwise(F.array(F.lit("_")))
@@ -96,9 +105,15 @@ def score_block(items: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int = K.CANDIDATE_K, **kw) -> DataFrame:
-    """Ranks from 1 for indexed chunks and queries (scope, query_id, text)."""
+def lexicon(chunks: DataFrame) -> Lexicon:
     items = tokenised(chunks)
     stats = scope_stats(items)
-    asked = query_terms(queries, term_stats(items, stats), stats)
-    return top_k(items, asked, score_block, k, floor=0.0, **kw)
+    return Lexicon(stats, term_stats(items, stats))
+
+
+def bm25_top_k(
+    chunks: DataFrame, queries: DataFrame, k: int = K.CANDIDATE_K, lexicon_: Lexicon | None = None, **kw
+) -> DataFrame:
+    """Ranks from 1 for indexed chunks and queries (scope, query_id, text)."""
+    lex = lexicon_ or lexicon(chunks)
+    return top_k(tokenised(chunks), query_terms(queries, lex.terms, lex.stats), score_block, k, floor=0.0, **kw)

@@ -164,6 +164,18 @@ def windows(text: Column) -> Column:
     return F.when(F.length(text) <= size, whole).otherwise(cut)
 
 
+def child_count(pages: Column) -> Column:
+    """How many child windows a document yields, without producing rows."""
+    def total(counts):
+        return F.aggregate(counts, F.lit(0), lambda acc, n: acc + n)
+
+    return total(
+        F.transform(
+            sections(pages), lambda s: total(F.transform(parents(s["body"]), lambda p: F.size(windows(p))))
+        )
+    )
+
+
 def parent_chunks(docs: DataFrame, key: str = "doc_key", keep: tuple = ()) -> DataFrame:
     """(keep..., doc_key, parent_id, section, page, text) for documents with ``pages``."""
     cut = docs.select(*keep, key, F.posexplode(sections(F.col("pages"))).alias("s_idx", "s"))

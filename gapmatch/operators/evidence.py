@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import matching as M
 from ..functions import text as T
+from .index import written
 
 KEY = ["scope", "query_id"]
 
@@ -89,6 +90,12 @@ def armed(requirements: DataFrame, idf: DataFrame) -> DataFrame:
         .join(pivots, KEY, "left")
         .withColumn("needles", F.coalesce("needles", none_needles))
         .withColumn("pivots", F.coalesce("pivots", none_pivots))
+        .withColumn(
+            "asked",
+            F.array_distinct(F.flatten(
+                F.concat(F.transform("needles", lambda n: n["keys"]), F.transform("pivots", lambda p: p["keys"]))
+            )),
+        )
     )
 
 
@@ -112,40 +119,44 @@ def _closeness(sentence: Column) -> Column:
 
 def best_sentence(needles: Column, passage: Column) -> Column:
     """struct<coverage, closeness, sentence>: best covering sentence, then length, then text."""
-    def rate(s):
+    def rate(nd, s):
         return T.let(
             M.text_keys(T.tokens(s)),
             lambda k: F.struct(
-                F.round(M.coverage(needles, k), 9).alias("coverage"),
+                F.round(M.coverage(nd, k), 9).alias("coverage"),
                 _closeness(s).alias("closeness"), s.alias("sentence"),
             ),
         )
 
-    return F.array_max(F.transform(T.candidate_sentences(passage), rate))
+    return T.let(needles, lambda nd: F.array_max(F.transform(T.candidate_sentences(passage), lambda s: rate(nd, s))))
 
 
-def best_evidence(needles: Column, pivots: Column, passage: Column) -> Column:
+def best_evidence(needles: Column, pivots: Column, asked: Column, passage: Column) -> Column:
     """struct<gate, coverage, closeness, nth, decisive, quote> of the best sentence: one through the
-    gate if there is any, then coverage, then length near the ideal, then the first."""
-    def rate(s, i):
-        return T.let(
-            M.text_keys(T.tokens(s)),
-            lambda k: F.struct(
-                gate_open(pivots, k).alias("gate"), weighted(needles, k).alias("coverage"),
-                _closeness(s).alias("closeness"), (-i).alias("nth"),
-                decisive_met(pivots, k).alias("decisive"), F.left(s, F.lit(K.QUOTE_MAX_CHARS)).alias("quote"),
-            ),
-        )
+    gate if there is any, then coverage, then length near the ideal, then the first. ``asked`` holds every key of
+    the requirement: a sentence is cut down to the few keys it shares before any test looks at it."""
+    def rate(req):
+        def one(s, i):
+            return T.let(
+                F.array_intersect(req["asked"], M.text_keys(T.tokens(s))),
+                lambda k: F.struct(
+                    gate_open(req["pivots"], k).alias("gate"), weighted(req["needles"], k).alias("coverage"),
+                    _closeness(s).alias("closeness"), (-i).alias("nth"),
+                    decisive_met(req["pivots"], k).alias("decisive"), F.left(s, F.lit(K.QUOTE_MAX_CHARS)).alias("quote"),
+                ),
+            )
+
+        return F.array_max(F.transform(T.candidate_sentences(passage), one))
 
-    return F.array_max(F.transform(T.candidate_sentences(passage), rate))
+    return T.let(F.struct(needles.alias("needles"), pivots.alias("pivots"), asked.alias("asked")), rate)
 
 
 # --- verdicts ----------------------------------------------------------------------------
 def evidence_rows(passages: DataFrame, ready: DataFrame) -> DataFrame:
     """One row per (requirement, passage) with the best sentence of the passage as ``ev``."""
-    return passages.join(ready.select(*KEY, "needles", "pivots"), KEY).select(
+    return passages.join(ready.select(*KEY, "needles", "pivots", "asked"), KEY).select(
         *KEY, "rank", "chunk_id", "section", "page",
-        best_evidence(F.col("needles"), F.col("pivots"), F.col("text")).alias("ev"),
+        best_evidence(F.col("needles"), F.col("pivots"), F.col("asked"), F.col("text")).alias("ev"),
     )
 
 
@@ -166,7 +177,9 @@ def best_passages(evidence: DataFrame) -> DataFrame:
 
 def verdicts(requirements: DataFrame, passages: DataFrame) -> DataFrame:
     """One item per requirement: status, confidence and, unless missing, the cited sentence."""
-    ready = armed(requirements, idf_table(passages))
+    # Written, so that its true size is known when the join is planned: the passages, which are the
+    # large side, then stay where they are while the requirements fit a broadcast.
+    ready = written(armed(requirements, idf_table(passages)), "armed")
     best = best_passages(evidence_rows(passages, ready))
     judged = requirements.join(best, KEY, "left").withColumn(
         "coverage", F.coalesce("best.ev.coverage", F.lit(0.0))

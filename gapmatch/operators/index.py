@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import bm25
 from . import chunking as C
 from .vectors import Embedder, hashed_embedder
 
@@ -25,11 +26,18 @@ LABELS = {"cv": "CV", "jd": "Job description"}
 class Index:
     parents: DataFrame
     children: DataFrame
+    lexicon: bm25.Lexicon | None = None
 
     def under(self, scope) -> Index:
         """The same chunks with another scope column (for example one scope for everything)."""
         return Index(self.parents.withColumn("scope", scope), self.children.withColumn("scope", scope))
 
+    def with_lexicon(self) -> Index:
+        """The term statistics of the scopes, stored: a ranking then reads only its own query's terms."""
+        lex = bm25.lexicon(self.children)
+        stats = written(lex.stats, "scope_stats")
+        return Index(self.parents, self.children, bm25.Lexicon(stats, written(lex.terms, "term_stats")))
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
@@ -40,11 +48,18 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str, spread_by: tuple = ()) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    ``spread_by`` hashes the rows over the configured shuffle partitions first: for small tables whose
+    rows cost much work later, which would otherwise be packed into one file and one task.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if spread_by:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *spread_by)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def chunked(docs: DataFrame, strategy: str = "parent_child", label: str = "CV") -> tuple[DataFrame, DataFrame]:
@@ -75,4 +90,4 @@ def build_index(
     stored = written(enrich(children, embed or hashed_embedder()), "children")
     if strategy == "fixed":
         parents = stored.select("scope", "doc_key", "parent_id", "section", "page", "text")
-    return Index(parents, stored)
+    return Index(parents, stored).with_lexicon()

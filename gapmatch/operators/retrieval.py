@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import matching as M
 from ..functions import text as T
-from .bm25 import bm25_top_k
+from .bm25 import Lexicon, bm25_top_k
 from .topk import cosine, top_k
 from .vectors import Embedder, hashed_embedder
 
@@ -86,8 +86,11 @@ def dense_rankings(
     )
 
 
-def bm25_rankings(chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = FULL, **kw) -> DataFrame:
-    found = bm25_top_k(chunks, queries, cfg.candidate_k, **kw)
+def bm25_rankings(
+    chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = FULL, lexicon: Lexicon | None = None, **kw
+) -> DataFrame:
+    """``lexicon`` holds stored term statistics; without it they are counted from the chunks."""
+    found = bm25_top_k(chunks, queries, cfg.candidate_k, lexicon, **kw)
     return found.select(
         "scope", "query_id", F.lit("bm25").alias("ranking"), F.col("item_id").alias("chunk_id"),
         "score", "rank",
@@ -161,12 +164,12 @@ def keep_order(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k:
 
 def all_rankings(
     chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = FULL,
-    embed: Embedder | None = None, **kw,
+    embed: Embedder | None = None, lexicon: Lexicon | None = None, **kw,
 ) -> DataFrame:
     """Dense and lexical rankings in one table. ``embed`` is what the index was built with."""
     rankings = dense_rankings(chunks, queries, embed or hashed_embedder(), cfg, **kw)
     if cfg.bm25:
-        rankings = rankings.unionByName(bm25_rankings(chunks, queries, cfg, **kw))
+        rankings = rankings.unionByName(bm25_rankings(chunks, queries, cfg, lexicon, **kw))
     return rankings
 
 

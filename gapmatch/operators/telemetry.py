@@ -71,20 +71,25 @@ def exact_percentile(rows: DataFrame, key: str, value: str, p: float, slack: flo
         F.percentile_approx(value, [max(0.0, p - slack), min(1.0, p + slack)], 10_000).alias("b"),
     )
     known = rows.select(key, value).join(bracket.select(key, "b"), key)
-    below = known.groupBy(key).agg(F.count_if(F.col(value) < F.col("b")[0]).alias("below"))
+    v, low, high = F.col(value), F.col("b")[0], F.col("b")[1]
+    # The two neighbours of the bracket: the wanted rank of a small group may lie one step outside.
+    edges = known.groupBy(key).agg(
+        F.count_if(v < low).alias("below"), F.max(F.when(v < low, v)).alias("before"), F.min(F.when(v > high, v)).alias("after"),
+    )
     inside = (
-        known.filter(F.col(value).between(F.col("b")[0], F.col("b")[1]))
+        known.filter(v.between(low, high))
         .groupBy(key, value)
         .agg(F.count("*").alias("times"))
     )
     ranked = inside.withColumn("upto", F.sum("times").over(Window.partitionBy(key).orderBy(value)))
     at = p * (F.col("n") - 1)
-    placed = ranked.join(below, key).join(bracket.select(key, "n"), key).withColumn("last", F.col("below") + F.col("upto"))
+    placed = ranked.join(edges, key).join(bracket.select(key, "n"), key).withColumn("last", F.col("below") + F.col("upto"))
     # Row numbers are 0-based: a value covers ranks up to last - 1.
-    picked = placed.groupBy(key, "n").agg(
-        F.min(F.when(F.col("last") > F.floor(at), F.col(value))).alias("lo"),
-        F.min(F.when(F.col("last") > F.ceil(at), F.col(value))).alias("hi"),
-    )
+    def at_rank(rank, name):
+        inside = F.min(F.when(F.col("last") > rank, v))
+        return F.when(rank < F.col("below"), F.col("before")).otherwise(F.coalesce(inside, F.col("after"))).alias(name)
+
+    picked = placed.groupBy(key, "n", "below", "before", "after").agg(at_rank(F.floor(at), "lo"), at_rank(F.ceil(at), "hi"))
     return picked.select(key, "n", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias(value))
 
 

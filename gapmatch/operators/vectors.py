@@ -12,6 +12,7 @@ example an iterator ``pandas_udf`` that loads a model once per executor) whereve
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -26,46 +27,73 @@ from ..functions import text as T
 Embedder = Callable[[Column], Column]
 
 
-def _features(toks) -> list[tuple[str, float]]:
-    found = [("w:" + t, K.WORD_WEIGHT) for t in toks]
-    found += [
-        ("g:" + t[i : i + 4], K.GRAM_WEIGHT) for t in toks if len(t) >= 5 for i in range(len(t) - 3)
-    ]
-    found += [(f"b:{a}_{b}", K.PAIR_WEIGHT) for a, b in zip(toks, toks[1:])]
-    return found
+SLICE = 2000  # rows assembled at a time; bounds the cell arrays of a batch
+
+
+def _bucketer(dim: int, digest: str):
+    """feature -> (cell, sign): cell from the first four digest bytes, sign from the lowest bit of the fifth."""
+    options = {"digest_size": 8} if digest == "blake2b" else {}
+    make, head = getattr(hashlib, digest), struct.Struct(">IB")
+
+    def bucket(feature: str) -> tuple[int, float]:
+        number, tail = head.unpack_from(make(feature.encode("utf-8"), **options).digest())
+        return number % dim, 1.0 if tail & 1 else -1.0
+
+    return bucket
+
+
+def _word_features(words, bucket, gram):
+    """(features per word, cells, weights) of distinct words, flattened."""
+    counts, cells, weights = np.ones(len(words), dtype=np.int64), [], []
+    for n, word in enumerate(words):
+        found = [(bucket("w:" + word), K.WORD_WEIGHT)]
+        if len(word) >= 5:
+            found += [(gram("g:" + word[i : i + 4]), K.GRAM_WEIGHT) for i in range(len(word) - 3)]
+        counts[n] = len(found)
+        cells += [cell for (cell, _), _ in found]
+        weights += [sign * weight for (_, sign), weight in found]
+    return counts, np.array(cells, dtype=np.int64), np.array(weights)
+
+
+def _unit_rows(tokens: list, dim: int, bucket, gram) -> np.ndarray:
+    """Vectors of a slice of rows: every distinct word and word pair is hashed once, then spread over
+    the rows by index arithmetic."""
+    lengths = np.array([len(t) for t in tokens])
+    if lengths.sum() == 0:
+        return np.zeros((len(tokens), dim))
+    row = np.repeat(np.arange(len(tokens)), lengths)
+    code, words = pd.factorize(np.concatenate([t for t in tokens if len(t)]))
+    counts, cells, weights = _word_features(words, bucket, gram)
+    many = counts[code]
+    first = (np.cumsum(counts) - counts)[code]
+    take = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    at, value = np.repeat(row, many) * dim + cells[take], weights[take]
+
+    near = row[1:] == row[:-1]
+    pair, distinct = pd.factorize(code[:-1][near].astype(np.int64) * len(words) + code[1:][near])
+    if len(distinct):
+        hashed = [bucket(f"b:{words[p // len(words)]}_{words[p % len(words)]}") for p in distinct]
+        cell, sign = (np.array(x) for x in zip(*hashed))
+        at = np.concatenate([at, row[:-1][near] * dim + cell[pair]])
+        value = np.concatenate([value, sign[pair] * K.PAIR_WEIGHT])
+    grid = np.bincount(at, value, len(tokens) * dim).reshape(len(tokens), dim)
+    norm = np.sqrt((grid * grid).sum(axis=1, keepdims=True))
+    return grid / np.where(norm == 0, 1.0, norm)
 
 
 def hashed_embedder(dim: int = K.VECTOR_DIM, digest: str = "md5") -> Embedder:
-    """Signed feature hashing: bucket = first 4 digest bytes mod dim, sign = lowest bit of the 5th.
+    """Signed feature hashing to unit vectors.
 
     The digest is the only free choice. ``md5`` can be recomputed by any SQL engine; ``blake2b``
     takes an 8-byte digest.
     """
 
-    def build():
-        options = {"digest_size": 8} if digest == "blake2b" else {}
-
-        @lru_cache(maxsize=1 << 18)
-        def bucket(feature: str) -> tuple[int, float]:
-            raw = hashlib.new(digest, feature.encode("utf-8"), **options).digest()
-            return int.from_bytes(raw[:4], "big") % dim, 1.0 if raw[4] & 1 else -1.0
-
-        def one(toks) -> np.ndarray:
-            vec = np.zeros(dim)
-            for feature, weight in _features(list(toks)):
-                at, sign = bucket(feature)
-                vec[at] += sign * weight
-            norm = np.sqrt(vec @ vec)
-            return vec / norm if norm else vec
-
-        return one
-
-    # One builder per Python worker, so the digest cache lives across batches of a task.
-    state: dict = {}
-
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<float>")
     def embed(tokens: pd.Series) -> pd.Series:
-        one = state.setdefault("one", None) or state.__setitem__("one", build()) or state["one"]
-        return tokens.map(one)
+        bucket = _bucketer(dim, digest)
+        gram = lru_cache(maxsize=1 << 16)(bucket)
+        rows = tokens.tolist()
+        parts = [_unit_rows(rows[i : i + SLICE], dim, bucket, gram) for i in range(0, len(rows), SLICE)]
+        return pd.Series(list(np.concatenate(parts).astype(np.float32)) if parts else [], dtype=object)
 
     return lambda text: embed(T.tokens(text))

@@ -11,10 +11,7 @@ from .tables import documents, index, kinds, spread, table
 
 
 def ingest_status(spark, sf_dir):
-    loaded = D.load_texts(spread(documents(spark, sf_dir).drop("pages", "scope")))
-    ready = loaded.filter("ingest_error is null")
-    children = C.child_chunks(C.parent_chunks(ready), "CV")
-    return D.ingest_status(loaded, children)
+    return D.ingest_status(D.load_texts(spread(documents(spark, sf_dir).drop("pages", "scope"))))
 
 
 def _turn_pages(spark, sf_dir):
@@ -80,7 +77,7 @@ def fixed_chunks(spark, sf_dir):
 def hash_vectors(spark, sf_dir):
     """Stored vectors in sparse long form."""
     wide = index(spark, sf_dir).children.select("chunk_id", F.posexplode("vec").alias("dim", "w"))
-    return wide.filter("w <> 0").groupBy("chunk_id").agg(
+    return wide.filter("abs(w) > 1e-6").groupBy("chunk_id").agg(
         F.count("*").alias("n_dims"), F.sum("dim").cast("long").alias("sum_dim"),
         F.round(F.sum(F.col("w").cast("double") * (F.col("dim") + 1)), 4).alias("check"),
     )

@@ -76,9 +76,9 @@ def pipeline_metrics(spark: SparkSession, folder: str, digest: str = "md5") -> D
     for name, (cfg, strategy) in E.ABLATIONS.items():
         ix = indexes.setdefault(strategy, None) or build_index(docs, strategy, "CV", embed)
         indexes[strategy] = ix
-        ranked = R.rank_chunks(ix.children, probes, cfg, embed)
+        ranked = R.rank_chunks(ix.children, probes, cfg, embed, lexicon=ix.lexicon)
         retrieval = E.retrieval_metrics(E.first_relevant(ranked, ix.children, wanted))
-        passages = written(R.retrieve(ix.children, ix.parents, reqs, cfg, embed=embed), "passages")
+        passages = written(R.retrieve(ix.children, ix.parents, reqs, cfg, embed=embed, lexicon=ix.lexicon), "passages", ("scope", "query_id", "rank"))
         items = written(V.verify_citations(V.verdicts(reqs, passages), passages), "items")
         outcomes = grounding_outcomes(items, passages, cvs, labels)
         reports = P.match_reports(items.withColumnRenamed("scope", "session_id").withColumn("order_key", F.col("query_id").cast("int")).withColumn("requirement", F.col("text")))

@@ -10,6 +10,7 @@ from ..operators import evaluation as E
 from ..operators import evidence as V
 from ..operators import reports as P
 from ..operators import requirements as Q
+from ..operators.index import written
 from .text_queries import LATIN
 from .tables import documents, judged_items, passages, posting_items, report_items, spread, table
 
@@ -59,7 +60,7 @@ def best_sentence(spark, sf_dir):
 
 def best_evidence(spark, sf_dir):
     found = passages(spark, sf_dir)
-    ready = V.armed(posting_items(spark, sf_dir), V.idf_table(found))
+    ready = written(V.armed(posting_items(spark, sf_dir), V.idf_table(found)), "armed")
     return V.evidence_rows(found, ready).select(
         "scope", "query_id", "rank", F.col("ev.gate").alias("gate"), F.col("ev.decisive").alias("decisive"),
         F.round("ev.coverage", 6).alias("coverage"), F.col("ev.quote").alias("quote"),

@@ -20,13 +20,21 @@ def _out(df):
     return df.withColumn("score", F.round("score", 6))
 
 
+def _lexical(ix, asked):
+    return R.bm25_rankings(ix.children, asked, lexicon=ix.lexicon)
+
+
+def _ranked(ix, asked):
+    return R.rank_chunks(ix.children, asked, lexicon=ix.lexicon)
+
+
 def bm25_topk(spark, sf_dir):
-    found = R.bm25_rankings(global_index(spark, sf_dir).children, probes(spark, sf_dir))
+    found = _lexical(global_index(spark, sf_dir), probes(spark, sf_dir))
     return _out(found.filter("rank <= 5")).select("query_id", "rank", "chunk_id", "score")
 
 
 def bm25_scoped(spark, sf_dir):
-    found = R.bm25_rankings(index(spark, sf_dir).children, requirements(spark, sf_dir))
+    found = _lexical(index(spark, sf_dir), requirements(spark, sf_dir))
     return _out(found).select("scope", "query_id", "rank", "chunk_id", "score")
 
 
@@ -73,38 +81,38 @@ def query_variants(spark, sf_dir):
 
 def rrf_fusion(spark, sf_dir):
     ix, asked = index(spark, sf_dir), requirements(spark, sf_dir)
-    both = R.dense_rankings(ix.children, asked, hashed_embedder()).unionByName(R.bm25_rankings(ix.children, asked))
+    both = R.dense_rankings(ix.children, asked, hashed_embedder()).unionByName(_lexical(ix, asked))
     return _out(R.fuse(both))
 
 
 def coverage_rerank(spark, sf_dir):
     """Rerank of the lexical ranking alone."""
     ix, asked = index(spark, sf_dir), requirements(spark, sf_dir)
-    fused = R.fuse(R.bm25_rankings(ix.children, asked))
+    fused = R.fuse(_lexical(ix, asked))
     return _out(R.coverage_rerank(fused, ix.children, asked, 15))
 
 
 def ranked_children(spark, sf_dir):
-    return _out(R.rank_chunks(index(spark, sf_dir).children, requirements(spark, sf_dir)))
+    return _out(_ranked(index(spark, sf_dir), requirements(spark, sf_dir)))
 
 
 def small_to_big(spark, sf_dir):
     ix = index(spark, sf_dir)
-    found = R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir))
+    found = R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir), lexicon=ix.lexicon)
     return _out(found).withColumn("text_md5", F.md5("text")).drop("text")
 
 
 def parent_lookup(spark, sf_dir):
     """Parent of the best lexical hit of every requirement."""
     ix = index(spark, sf_dir)
-    best = R.bm25_rankings(ix.children, requirements(spark, sf_dir)).filter("rank = 1").select("scope", "chunk_id").distinct()
+    best = _lexical(ix, requirements(spark, sf_dir)).filter("rank = 1").select("scope", "chunk_id").distinct()
     return R.parent_text(ix.children, ix.parents, best).select("scope", "chunk_id", "parent_id", F.md5("text").alias("text_md5"))
 
 
 def passage_digest(spark, sf_dir):
     """Top three passages of every requirement, cut to a readable length."""
     ix = index(spark, sf_dir)
-    found = R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir)).filter("rank <= 3")
+    found = R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir), lexicon=ix.lexicon).filter("rank <= 3")
     return found.select("scope", "query_id", "rank", "section", "page", F.left(T.squeeze(F.col("text")), F.lit(280)).alias("digest"))
 
 
@@ -115,17 +123,17 @@ def _relevant(ranked, chunks, asked):
 
 def bm25_hit_rate(spark, sf_dir):
     ix, asked = global_index(spark, sf_dir), probes(spark, sf_dir)
-    return E.retrieval_metrics(_relevant(R.bm25_rankings(ix.children, asked), ix.children, asked))
+    return E.retrieval_metrics(_relevant(_lexical(ix, asked), ix.children, asked))
 
 
 def retrieval_metrics(spark, sf_dir):
     ix, asked = global_index(spark, sf_dir), probes(spark, sf_dir)
-    return E.retrieval_metrics(_relevant(R.rank_chunks(ix.children, asked), ix.children, asked))
+    return E.retrieval_metrics(_relevant(_ranked(ix, asked), ix.children, asked))
 
 
 def first_relevant_ranks(spark, sf_dir):
     ix, asked = global_index(spark, sf_dir), probes(spark, sf_dir)
-    return _relevant(R.rank_chunks(ix.children, asked), ix.children, asked).select("query_id", "first_rank", "retrieved")
+    return _relevant(_ranked(ix, asked), ix.children, asked).select("query_id", "first_rank", "retrieved")
 
 
 def retrieval_ablation(spark, sf_dir):
@@ -140,7 +148,7 @@ def retrieval_ablation(spark, sf_dir):
     for name, (cfg, strategy) in E.ABLATIONS.items():
         ix = global_index(spark, sf_dir, strategy)
         if strategy not in scored:
-            scored[strategy] = written(R.all_rankings(ix.children, asked), "rankings")
+            scored[strategy] = written(R.all_rankings(ix.children, asked, lexicon=ix.lexicon), "rankings")
         ranked = R.rank_chunks(ix.children, asked, cfg, rankings=scored[strategy])
         row = E.retrieval_metrics(_relevant(ranked, ix.children, asked)).select(
             F.lit(name).alias("config"), "*"

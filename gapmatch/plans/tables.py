@@ -48,8 +48,9 @@ def index(spark: SparkSession, sf_dir: str, strategy: str = "parent_child") -> I
     return _index(spark, sf_dir, strategy)
 
 
+@lru_cache(maxsize=16)
 def global_index(spark: SparkSession, sf_dir: str, strategy: str = "parent_child") -> Index:
-    return index(spark, sf_dir, strategy).under(F.lit("all"))
+    return index(spark, sf_dir, strategy).under(F.lit("all")).with_lexicon()
 
 
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,8 @@ def posting_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored evidence map: passages retrieved for every requirement."""
     ix = index(spark, sf_dir)
-    return written(R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir)), "passages")
+    found = R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir), lexicon=ix.lexicon)
+    return written(found, "passages", ("scope", "query_id", "rank"))
 
 
 @lru_cache(maxsize=8)
@@ -130,7 +132,7 @@ def order_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as match items: return flag = status, line status = category, part = requirement."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     flag = F.col("l_returnflag")
     status = F.when(flag == "A", "strong").when(flag == "N", "partial").otherwise("missing")
@@ -147,7 +149,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as scored answers: line number = question, quantity = score."""
     whole = F.col("l_quantity").cast("int")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("question_id"),
         F.col("l_shipdate").alias("answered_at"), order_key().alias("answer_key"),
         (F.lit(10) + F.floor(40 * (whole - 1) / 49)).cast("long").alias("score10"),

@@ -69,7 +69,7 @@ def rate_windows(spark, sf_dir):
 # --- contracts ---------------------------------------------------------------------------
 def contract_quarantine(spark, sf_dir):
     """Lines written as evaluation payloads, read back and checked; the reasons per line."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     score = (F.col("l_linenumber") - 1).cast("int")
     one = F.struct(F.lit("Depth").alias("name"), score.alias("score"))
     payload = F.to_json(F.struct(

@@ -9,111 +9,134 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENUMS = {
-    "category": "('must_have', 'nice_to_have')",
-    "kind": "('evidenceable', 'behavioural')",
-    "status": "('strong', 'partial', 'missing')",
-    "question": "('technical', 'behavioural')",
-    "rubric": "('star', 'technical')",
-    "priority": "('high', 'medium', 'low')",
-}
+from ..functions import text as T
+
+CATEGORY = ("must_have", "nice_to_have")
+KIND = ("evidenceable", "behavioural")
+STATUS = ("strong", "partial", "missing")
+QUESTION = ("technical", "behavioural")
+RUBRIC = ("star", "technical")
+PRIORITY = ("high", "medium", "low")
+
+
+def _one_of(value: Column, allowed: tuple, default: str | None = None) -> Column:
+    return (F.coalesce(value, F.lit(default)) if default else value).isin(*allowed)
+
+
+def _whole(value: Column) -> Column:
+    """Fractional scores are rounded half to even before they are checked."""
+    return F.bround(value, 0)
 
-# name -> (schema, {rule: SQL condition that must hold}); p is the parsed payload
-CONTRACTS: dict[str, tuple[str, dict[str, str]]] = {
+
+# name -> (schema, {rule: condition on the parsed payload that must hold})
+CONTRACTS = {
     "requirement": (
         "text string, category string, kind string",
         {
-            "text_length": "length(p.text) between 3 and 300",
-            "category": f"coalesce(p.category, 'must_have') in {ENUMS['category']}",
-            "kind": f"coalesce(p.kind, 'evidenceable') in {ENUMS['kind']}",
+            "text_length": lambda p: F.length(p["text"]).between(3, 300),
+            "category": lambda p: _one_of(p["category"], CATEGORY, "must_have"),
+            "kind": lambda p: _one_of(p["kind"], KIND, "evidenceable"),
         },
     ),
     "requirements": (
         "requirements array<struct<text:string,category:string,kind:string>>",
         {
-            "list_size": "size(p.requirements) between 0 and 20",
-            "text_length": "forall(p.requirements, r -> length(r.text) between 3 and 300)",
-            "category": f"forall(p.requirements, r -> coalesce(r.category, 'must_have') in {ENUMS['category']})",
+            "list_size": lambda p: F.size(p["requirements"]) <= 20,
+            "text_length": lambda p: F.forall(p["requirements"], lambda r: F.length(r["text"]).between(3, 300)),
+            "category": lambda p: F.forall(p["requirements"], lambda r: _one_of(r["category"], CATEGORY, "must_have")),
+            "kind": lambda p: F.forall(p["requirements"], lambda r: _one_of(r["kind"], KIND, "evidenceable")),
         },
     ),
     "match_item": (
         "requirement string, category string, kind string, status string, confidence double, evidence_quote string",
         {
-            "requirement": "p.requirement is not null",
-            "status": f"p.status in {ENUMS['status']}",
-            "confidence": "p.confidence between 0 and 1",
-            "category": f"coalesce(p.category, 'must_have') in {ENUMS['category']}",
+            "requirement": lambda p: p["requirement"].isNotNull(),
+            "status": lambda p: _one_of(p["status"], STATUS),
+            "confidence": lambda p: p["confidence"].between(0, 1),
+            "category": lambda p: _one_of(p["category"], CATEGORY, "must_have"),
+            "kind": lambda p: _one_of(p["kind"], KIND, "evidenceable"),
         },
     ),
     "match_report": (
         "overall_score double, verdict string, summary string",
         {
-            # a fractional score is rounded half to even before it is checked
-            "overall_score": "bround(p.overall_score, 0) between 0 and 100",
-            "verdict": "p.verdict is not null",
-            "summary": "p.summary is not null",
+            "overall_score": lambda p: _whole(p["overall_score"]).between(0, 100),
+            "verdict": lambda p: p["verdict"].isNotNull(),
+            "summary": lambda p: p["summary"].isNotNull(),
         },
     ),
     "question": (
         "category string, text string, difficulty int",
         {
-            "category": f"p.category in {ENUMS['question']}",
-            "text_length": "length(p.text) >= 10",
-            "difficulty": "coalesce(p.difficulty, 3) between 1 and 5",
+            "category": lambda p: _one_of(p["category"], QUESTION),
+            "text_length": lambda p: F.length(p["text"]) >= 10,
+            "difficulty": lambda p: F.coalesce(p["difficulty"], F.lit(3)).between(1, 5),
         },
     ),
+    "questions": (
+        "questions array<struct<category:string,text:string,difficulty:int>>",
+        {"list_size": lambda p: F.size(p["questions"]).between(1, 20)},
+    ),
     "evaluation": (
         "rubric string, criteria array<struct<name:string,score:int>>, overall_score double",
         {
-            "rubric": f"p.rubric in {ENUMS['rubric']}",
-            "criteria_size": "size(p.criteria) >= 3",
-            "criterion_range": "forall(p.criteria, c -> c.score between 1 and 5)",
-            "overall_score": "p.overall_score between 1 and 5",
+            "rubric": lambda p: _one_of(p["rubric"], RUBRIC),
+            "criteria_size": lambda p: F.size(p["criteria"]) >= 3,
+            "criterion_range": lambda p: F.forall(p["criteria"], lambda c: c["score"].between(1, 5)),
+            "overall_score": lambda p: p["overall_score"].between(1, 5),
         },
     ),
     "scorecard": (
-        "readiness_score double, readiness_band string, action_items array<struct<priority:string,title:string>>",
+        "readiness_score double, readiness_band string, summary string, action_items array<struct<priority:string,title:string>>",
         {
-            "readiness_score": "bround(p.readiness_score, 0) between 0 and 100",
-            "readiness_band": "p.readiness_band is not null",
-            "priority": f"p.action_items is null or forall(p.action_items, a -> a.priority in {ENUMS['priority']})",
+            "readiness_score": lambda p: _whole(p["readiness_score"]).between(0, 100),
+            "readiness_band": lambda p: p["readiness_band"].isNotNull(),
+            "summary": lambda p: p["summary"].isNotNull(),
+            "priority": lambda p: p["action_items"].isNull()
+            | F.forall(p["action_items"], lambda a: _one_of(a["priority"], PRIORITY) & a["title"].isNotNull()),
         },
     ),
-    "rewrite": ("bullet string, placeholders array<string>", {"bullet_length": "length(p.bullet) between 10 and 400"}),
-    "letter": ("subject string, body string", {"body_length": "length(p.body) >= 80"}),
+    "rewrite": ("bullet string, placeholders array<string>", {"bullet_length": lambda p: F.length(p["bullet"]).between(10, 400)}),
+    "letter": ("subject string, body string", {"body_length": lambda p: F.length(p["body"]) >= 80}),
 }
 
-REQUESTS: dict[str, dict[str, str]] = {
+REQUESTS = {
     "answer": {
-        "text_length": "length(text) between 10 and 8000",
-        "duration": "duration_seconds is null or duration_seconds between 0 and 7200",
+        "text_length": lambda p: F.length(p["text"]).between(10, 8000),
+        "duration": lambda p: p["duration_seconds"].isNull() | p["duration_seconds"].between(0, 7200),
     },
-    "session": {"title_length": "length(title) between 2 and 160"},
-    "document": {"text_length": "length(text) <= 200000"},
+    "session": {"title_length": lambda p: F.length(p["title"]).between(2, 160)},
+    "document": {"text_length": lambda p: F.length(p["text"]) <= 200_000},
 }
 
 
-def broken(rules: dict[str, str]) -> Column:
+def broken(rules: dict, payload) -> Column:
     """array<string> of the rules that do not hold; an unknown outcome counts as broken."""
     return F.array_compact(
-        F.array(*[F.when(~F.coalesce(F.expr(cond), F.lit(False)), name) for name, cond in rules.items()])
+        F.array(*[F.when(~F.coalesce(holds(payload), F.lit(False)), name) for name, holds in rules.items()])
     )
 
 
 def check_json(rows: DataFrame, contract: str, payload: str = "payload") -> DataFrame:
-    """Parse a JSON column into ``p`` and add ``violations``."""
+    """Add ``violations`` of a JSON column. Bound once, so a payload is parsed once for all rules."""
     schema, rules = CONTRACTS[contract]
-    parsed = rows.withColumn(
-        "p", F.from_json(payload, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    )
-    return parsed.withColumn(
+    parsed = F.from_json(payload, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return rows.withColumn(
         "violations",
-        F.when(F.col("p").isNull() | F.col("p._bad").isNotNull(), F.array(F.lit("malformed"))).otherwise(broken(rules)),
+        T.let(
+            parsed,
+            lambda p: F.when(p.isNull() | p["_bad"].isNotNull(), F.array(F.lit("malformed"))).otherwise(broken(rules, p)),
+        ),
     )
 
 
+def parse(rows: DataFrame, contract: str, payload: str = "payload") -> DataFrame:
+    """Add the typed payload as ``p``."""
+    return rows.withColumn("p", F.from_json(payload, CONTRACTS[contract][0]))
+
+
 def check_request(rows: DataFrame, request: str) -> DataFrame:
-    return rows.withColumn("violations", broken(REQUESTS[request]))
+    return rows.withColumn("violations", broken(REQUESTS[request], rows))
 
 
 def accepted(checked: DataFrame) -> DataFrame:

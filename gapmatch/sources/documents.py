@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import text as T
+from ..operators.chunking import child_count
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -87,13 +88,14 @@ def load_pages(pages: DataFrame, key: str) -> DataFrame:
     )
 
 
-def ingest_status(loaded: DataFrame, children: DataFrame, key: str = "doc_key") -> DataFrame:
-    """One row per document: counts, status and error. A failed document never fails the job."""
-    counts = children.groupBy(key).agg(F.count("*").alias("chunk_count"))
-    return loaded.join(counts, key, "left").select(
+def ingest_status(loaded: DataFrame, key: str = "doc_key") -> DataFrame:
+    """One row per document: counts, status and error. A failed document never fails the job, and the
+    count comes from the document's own row, so nothing is joined or shuffled."""
+    failed = F.col("ingest_error").isNotNull()
+    return loaded.select(
         key, "sha256", "size_bytes", "page_count", "char_count",
-        F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"),
-        F.when(F.col("ingest_error").isNull(), "ready").otherwise("failed").alias("ingest_status"),
+        F.when(failed, F.lit(0)).otherwise(child_count(F.col("pages"))).cast("long").alias("chunk_count"),
+        F.when(failed, "failed").otherwise("ready").alias("ingest_status"),
         F.coalesce("ingest_error", F.lit("")).alias("ingest_error"),
     )
 

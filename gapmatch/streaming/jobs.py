@@ -54,8 +54,7 @@ def ingest(docs: DataFrame, base: str, label: str = "CV", **kw) -> StreamingQuer
         part = f"batch={batch_id:09d}"
         ready = loaded.filter("ingest_error is null")
         C.child_chunks(C.parent_chunks(ready), label).write.mode("overwrite").parquet(f"{base}/children/{part}")
-        children = batch.sparkSession.read.parquet(f"{base}/children/{part}")
-        D.ingest_status(loaded, children).write.mode("overwrite").parquet(f"{base}/status/{part}")
+        D.ingest_status(loaded).write.mode("overwrite").parquet(f"{base}/status/{part}")
 
     return start(docs, write, base, **kw)
 

@@ -67,7 +67,7 @@ ORACLES = {
         + P.vector_ctes("es", "chunk_id", "cv", "et")
         + [("u", "SELECT chunk_id, unnest(range(384)) AS dim, unnest(vec) AS w FROM cv")],
         "SELECT chunk_id, count(*) AS n_dims, sum(dim)::BIGINT AS sum_dim, round(sum(w::DOUBLE * (dim + 1)), 4) AS \"check\" "
-        "FROM u WHERE w <> 0 GROUP BY chunk_id",
+        "FROM u WHERE abs(w) > 1e-6 GROUP BY chunk_id",
     ),
     "documents_ready": f"""
         WITH d AS (SELECT source, CASE WHEN doc_id // 20 % 4 = 3 THEN 'jd' ELSE 'cv' END AS kind,
