@@ -22,54 +22,58 @@ from pyspark.sql import functions as F
 
 SMALL_QUERY_SIDE = 4096
 ITEM_BLOCK = 20_000
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096
+CELLS = 4_000_000  # scores held at a time
 DECIMALS = 9
 OUT = "scope string, query_id string, item_id string, score double"
 
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float | None):
-    """Row positions of the k best items, ties by item id."""
-    if floor is not None:
-        at = np.flatnonzero(scores > floor)
-    else:
-        at = np.arange(len(scores))
-    if len(at) > k:
-        cut = np.partition(scores[at], len(at) - k)[len(at) - k]
-        at = at[scores[at] >= cut]
-    order = np.lexsort((ids[at], -scores[at]))[:k]
-    return at[order]
+def _cut(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """The k best of every query, ties by item id."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    top = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[top], ids[top], score[top]
+
+
+def _best(items: pd.DataFrame, queries: pd.DataFrame, scorer: Scorer, k: int, floor: float | None):
+    """(query row, item id, score) of the k best items of every query, scored a bounded slice at a time."""
+    step = max(k, CELLS // len(queries))
+    found = []
+    for lo in range(0, len(items), step):
+        part = items.iloc[lo : lo + step]
+        scores = np.round(scorer(part, queries), DECIMALS)
+        n = scores.shape[1]
+        keep = scores >= np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1] if n > k else np.ones(scores.shape, bool)
+        if floor is not None:
+            keep &= scores > floor
+        query, item = np.nonzero(keep)
+        ids = part["item_id"].to_numpy(dtype=str)
+        found.append(_cut(query, ids[item], scores[query, item], k))
+    return _cut(*(np.concatenate(x) for x in zip(*found)), k)
 
 
-def _score_block(items: pd.DataFrame, queries: pd.DataFrame, scorer, k, floor) -> list[tuple]:
-    ids = items["item_id"].to_numpy(dtype=str)
-    scores = np.round(scorer(items, queries), DECIMALS)
-    out = []
-    for row, query_id in enumerate(queries["query_id"]):
-        for i in _best(scores[row], ids, k, floor):
-            out.append((query_id, ids[i], float(scores[row, i])))
-    return out
+def _frame(scope, queries: pd.DataFrame, query, ids, score) -> pd.DataFrame:
+    names = queries["query_id"].to_numpy(dtype=object)
+    return pd.DataFrame({"scope": scope, "query_id": names[query], "item_id": ids.astype(object), "score": score})
 
 
 def _in_place(items: DataFrame, queries: pd.DataFrame, scorer, k, floor) -> DataFrame:
     by_scope = {scope: part.reset_index(drop=True) for scope, part in queries.groupby("scope")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple, list] = {}
+        best: dict = {}
         for batch in batches:
             for scope, block in batch.groupby("scope"):
-                if scope not in by_scope:
-                    continue
-                for query_id, item_id, score in _score_block(
-                    block, by_scope[scope], scorer, k, floor
-                ):
-                    best.setdefault((scope, query_id), []).append((-score, item_id))
-            for key, rows in best.items():
-                if len(rows) > k:
-                    best[key] = sorted(rows)[:k]
-        rows = [(s, q, i, -v) for (s, q), found in best.items() for v, i in found]
-        yield pd.DataFrame(rows, columns=["scope", "query_id", "item_id", "score"])
+                asked = by_scope.get(scope)
+                if asked is not None:
+                    new = _best(block, asked, scorer, k, floor)
+                    old = best.get(scope)
+                    best[scope] = _cut(*(np.concatenate(x) for x in zip(old, new)), k) if old else new
+        for scope, kept in best.items():
+            yield _frame(scope, by_scope[scope], *kept)
 
     return items.mapInPandas(run, OUT)
 
@@ -95,12 +99,9 @@ def _in_blocks(items: DataFrame, queries: DataFrame, scorer, k, floor) -> DataFr
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            rows = []
-        else:
-            rows = _score_block(left, right.reset_index(drop=True), scorer, k, floor)
-        found = pd.DataFrame(rows, columns=["query_id", "item_id", "score"])
-        found.insert(0, "scope", key[0])
-        return found
+            return pd.DataFrame({"scope": [], "query_id": [], "item_id": [], "score": []})
+        asked = right.reset_index(drop=True)
+        return _frame(key[0], asked, *_best(left, asked, scorer, k, floor))
 
     keys = ["scope", "ib", "qb"]
     return placed_items.groupBy(*keys).cogroup(placed_queries.groupBy(*keys)).applyInPandas(run, OUT)
