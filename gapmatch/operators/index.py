@@ -40,9 +40,11 @@ class Index:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names; a temporary one only on a single machine without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="gapmatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -61,7 +61,7 @@ def grounding_outcomes(items: DataFrame, passages: DataFrame, sources: DataFrame
     )
 
 
-def pipeline_metrics(spark: SparkSession, folder: str, digest: str = "md5") -> DataFrame:
+def quality_metrics(spark: SparkSession, folder: str, digest: str = "md5") -> DataFrame:
     """One row per configuration of the ablation grid: retrieval and grounding metrics side by side."""
     embed = hashed_embedder(digest=digest)
     cvs, jds = _pair_texts(spark, folder, "cv"), _pair_texts(spark, folder, "jd")
@@ -116,10 +116,10 @@ def main() -> None:
 
     folder = sys.argv[1]
     spark = local_session()
-    quality, scoring = pipeline_metrics(spark, folder), scoring_metrics(spark, folder)
+    quality, scoring = quality_metrics(spark, folder), scoring_metrics(spark, folder)
     if "--out" in sys.argv:
         target = sys.argv[sys.argv.index("--out") + 1]
-        S.append_metrics(E.long_metrics(quality, "pipeline", ("config",)), target)
+        S.append_metrics(E.long_metrics(quality, "quality", ("config",)), target)
         S.append_metrics(E.long_metrics(scoring, "scoring").select(F.lit("default").alias("config"), "*"), target)
     quality.show(truncate=False, vertical=True)
     scoring.show(truncate=False, vertical=True)

@@ -100,7 +100,9 @@ def citation_check(spark, sf_dir):
 def kind_carry(spark, sf_dir):
     """Every fourth position lost its extracted kind; the judged one fills in."""
     items = report_items(spark, sf_dir).withColumn("kind", F.lit("behavioural"))
-    decided = report_items(spark, sf_dir).filter("order_key % 4 <> 0").select("session_id", "order_key", "kind")
+    decided = report_items(spark, sf_dir).select(
+        "session_id", "order_key", F.when(F.col("order_key") % 4 != 0, F.col("kind")).alias("kind")
+    )
     return P.carry_kind(items, decided, ["session_id", "order_key"]).select("session_id", "order_key", "kind")
 
 
