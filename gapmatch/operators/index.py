@@ -7,14 +7,13 @@ also cuts the lineage: a lost executor re-reads files instead of re-running the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import work_dir, written  # noqa: F401
 from . import bm25
 from . import chunking as C
 from .vectors import Embedder, hashed_embedder
@@ -39,31 +38,6 @@ class Index:
         return Index(self.parents, self.children, bm25.Lexicon(stats, written(lex.terms, "term_stats")))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only on a single machine without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="gapmatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str, spread_by: tuple = ()) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    ``spread_by`` hashes the rows over the configured shuffle partitions first: for small tables whose
-    rows cost much work later, which would otherwise be packed into one file and one task.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if spread_by:
-        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *spread_by)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def chunked(docs: DataFrame, strategy: str = "parent_child", label: str = "CV") -> tuple[DataFrame, DataFrame]:
     """(parents, children) of documents (scope, doc_key, pages), not yet stored."""
     if strategy == "fixed":
