@@ -15,6 +15,7 @@ from . import features as X
 
 SAMPLE = 8000  #: rated texts in the sample at most
 FOLDS = 5
+CLEAR = 4.0  #: standard errors that make a word usable
 
 
 def _sigmoid(z):
@@ -27,11 +28,24 @@ def _cuts(raw: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(target: np.ndarray, offsets: np.ndarray, places: np.ndarray, rounds: int = 150, rate: float = 0.05, decay: float = 2e-4):
-    """Returns (weights, thresholds, grades); a single grade has no thresholds."""
+    """Returns (weights, thresholds, grades); a single grade has no thresholds.
+
+    Words get a weight if, at one of the cuts between grades, the share of their texts above it differs from that of
+    all by ``CLEAR`` standard errors (rare words would only be learnt by heart); the statistics of form always do.
+    """
     grades, y = np.unique(target, return_inverse=True)
     w, n = np.zeros(1 << X.BITS), len(y)
     if len(grades) < 2:
         return w, np.zeros(0), grades
+    times = np.bincount(places, minlength=1 << X.BITS)
+    usable = np.zeros(1 << X.BITS, bool)
+    for cut in range(len(grades) - 1):
+        over = (y > cut) - (y > cut).mean()
+        off = np.bincount(places, np.repeat(over, np.diff(offsets)), 1 << X.BITS)
+        usable |= (times >= 3) & (np.abs(off) >= CLEAR * over.std() * np.sqrt(times + 1))
+    usable[: X.FORM] = True
+    keep = usable[places]
+    offsets, places = np.r_[0, np.cumsum(keep)][offsets], places[keep]
     below = np.cumsum(np.bincount(y))[:-1] / n
     start = np.log(below / (1 - below))
     raw = np.r_[start[:1], np.log(np.maximum(np.diff(start), 0.05))]

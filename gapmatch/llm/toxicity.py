@@ -17,7 +17,7 @@ from . import features as X
 POSITIVES = 3000  #: confirmed toxic texts in the sample at most
 UNLABELLED = 6000  #: unlabelled texts in the sample at most
 FOLDS = 5
-LEAST = 20  #: sample texts that must hold a feature, in a sample of full size
+CLEAR = 4.0  #: standard deviations that make a feature usable
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -26,17 +26,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_nnpu(
     target: np.ndarray, offsets: np.ndarray, places: np.ndarray, prior: float,
-    rounds: int = 200, rate: float = 0.1, decay: float = 5e-4, turned: float = 1.0, least: int | None = None,
+    rounds: int = 200, rate: float = 0.1, decay: float = 1e-4, turned: float = 1.0, clear: float = CLEAR,
 ):
     """target 1 for positives, 0 for unlabelled. Returns (weights, bias), the mean over the second half of the rounds.
 
-    Features of fewer than ``least`` sample texts get no weight (default: a fortieth of the positives, 3 to LEAST). Where the negative part falls below zero its
-    gradient is turned round, scaled by ``turned``.
+    Only features whose frequency among the positives differs clearly from that among the unlabelled get a weight: by
+    ``clear`` standard deviations of a Poisson count (rare words would only be learnt by heart). Where the negative
+    part falls below zero its gradient is turned round, scaled by ``turned``.
     """
     positive = target == 1
     n_p, n_u = max(positive.sum(), 1), max((~positive).sum(), 1)
-    least = int(np.clip(positive.sum() // 40, 3, LEAST)) if least is None else least
-    common = np.bincount(places, minlength=1 << X.BITS) >= least
+    times = [np.bincount(places, np.repeat(part.astype(float), np.diff(offsets)), 1 << X.BITS) for part in (positive, ~positive)]
+    due = n_p * (times[1] + 0.5) / (n_u + 1)
+    common = (times[0] + times[1] >= 3) & (np.abs(times[0] - due) >= clear * np.sqrt(due + 1))
     keep = common[places]
     offsets, places = np.r_[0, np.cumsum(keep)][offsets], places[keep]
     w, b, adam = np.zeros(1 << X.BITS), np.array([np.log(prior / (1 - prior))]), X.Adam(rate)

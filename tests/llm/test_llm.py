@@ -367,7 +367,7 @@ def graded(n, seed):
     out = []
     for i in range(n):
         g = int(rng.integers(0, 4))
-        out.append((i, " ".join(rng.choice([f"plain{k}" for k in range(50)], 30).tolist() + [f"mark{g}"] * int(rng.integers(1, 4))), float(g)))
+        out.append((i, " ".join(rng.choice(["plain" + "abcdefghijklmnopqrstuvwxyz"[k] for k in range(26)], 30).tolist() + ["mark" + "qrst"[g]] * int(rng.integers(1, 4))), float(g)))
     return out
 
 
@@ -386,8 +386,9 @@ def test_quality_orders_grades(spark, odd):
 
 
 def test_ordinal_gradient():
-    offsets, places = np.array([0, 2, 3, 5, 6]), np.array([70, 71, 72, 70, 73, 74])
-    w, cuts, grades = quality.fit_ordinal(np.array([0.0, 1.0, 2.0, 5.0]), offsets, places, rounds=400, decay=0.0)
+    one, places = np.array([2, 1, 2, 1]), np.array([70, 71, 72, 70, 73, 74])
+    w, cuts, grades = quality.fit_ordinal(np.tile([0.0, 1.0, 2.0, 5.0], 200), np.r_[0, np.tile(one, 200).cumsum()], np.tile(places, 200), rounds=400, decay=0.0)
+    offsets = np.r_[0, one.cumsum()]
     assert np.all(np.diff(cuts) > 0) and grades.tolist() == [0, 1, 2, 5]
     over = quality.tails((w, cuts, grades), offsets, places)
     expected = grades[0] + sum(t * g for t, g in zip(over, np.diff(grades)))
@@ -443,7 +444,7 @@ def test_duels_keep_expectations(spark):
         rate = next(r["target"] / r["source_size"] for r in got if r["source"] == "a")
         assert abs(np.mean(part) - rate) < 0.06
     gap = {s: abs(sum(r["taken"] for r in got if r["source"] == s) - next(r["target"] for r in got if r["source"] == s)) for s in "abc"}
-    assert max(gap.values()) <= 1
+    assert max(gap.values()) <= 2  # half of a document of b
 
 
 def test_mix_is_native(spark, documents):
