@@ -81,6 +81,8 @@ def _level(items: DataFrame) -> DataFrame:
     """items (k, key, z, p) to a row per chunk: (k, key, z, p, done)."""
     chunks = items.groupBy("k").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     placed = items.join(chunks, "k").select("k", F.pmod(F.xxhash64(F.lit(3), "key"), "chunks").alias("chunk"), F.struct("z", "key", "p").alias("x"))
+    # By chunk from here on: the join above leaves a source's rows together.
+    placed = placed.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "chunk")
     rows = placed.groupBy("k", "chunk").agg(F.sort_array(F.collect_list("x"), asc=False).alias("xs"))
     none = F.lit(None).cast("struct<key: struct<doc_id: bigint, size: bigint>, z: double, p: double, done: array<struct<key: struct<doc_id: bigint, size: bigint>, took: int>>>")
     start = F.struct(none["key"].alias("key"), F.lit(0.0).alias("z"), F.lit(0.0).alias("p"),
