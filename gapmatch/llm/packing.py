@@ -11,8 +11,11 @@ sizes are known), and ranks are ranges in the plan.
 
 from __future__ import annotations
 
+import os
 import zlib
+from bisect import bisect_right
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,11 @@ from . import bytes_kernel as K
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-WORDS = 300_000  #: words remembered by a worker
-COMPLETIONS = 6  #: fillings tried per largest length
+WORDS = 1_000_000  #: words remembered by a worker
+SIGNS = ".,;:!?"
+TEXT = 1 << 18  #: bytes of text whose words are looked up together
+COMPLETIONS = 4  #: fillings tried per largest length
+BRANCHES = 24  #: lengths tried as the first of a filling
 GROUP = 128  #: pieces ranked together at least
 
 
@@ -34,53 +40,97 @@ class _Tokens:
     """Token ids of texts. The tokenizer drops white space and never joins across it, so words are encoded once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the one it has
         from tokenizers import Tokenizer
 
         if "/" not in path:
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        self.encode = Tokenizer.from_file(path).encode_batch
+        self.tokenizer = Tokenizer.from_file(path)
+        suffix = self.tokenizer.model.end_of_word_suffix or "\0"
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[bytes, int] = {}
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each), in one call.
+
+        Letters with or without closing signs are one or two units of the tokenizer, and a unit's last id tells that
+        it is the last. Where that does not add up, a token belongs to the word in which it starts.
+        """
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        units = np.cumsum([1 if w.isalpha() else 2 if w.rstrip(SIGNS).isalpha() else len(ids) + 1 for w in words])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == units[-1] and (len(ids) == 0 or ends[-1] == len(ids)):
+            return ids, np.diff(ends[units - 1], prepend=0)
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        return ids, np.diff(np.searchsorted(starts, begins))
+
     def _learn(self, words: list[bytes]) -> None:
-        for encoding, word in zip(self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), words):
-            ids, n = encoding.ids, len(self.code)
-            if n == len(self.start):
-                self.start, self.size = (np.resize(x, 2 * n) for x in (self.start, self.size))
+        texts = {w: w.decode("utf-8", "replace") for w in words}
+        plain = [w for w, t in texts.items() if t.rstrip(SIGNS).isalpha()]
+        other = [w for w, t in texts.items() if not t.rstrip(SIGNS).isalpha()]
+        for part in (x[a : a + 4000] for x in (plain, other) for a in range(0, len(x), 4000)):
+            ids, sizes = self._encoded([texts[w] for w in part])
+            n = len(self.code)
+            while n + len(part) > len(self.start):
+                self.start, self.size = (np.resize(x, 2 * len(x)) for x in (self.start, self.size))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.start[n], self.size[n] = self.used, len(ids)
-            self.code[word] = n
+            self.size[n : n + len(part)] = sizes
+            self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
+            self.code.update(zip(part, range(n, n + len(part))))
             self.used += len(ids)
 
-    def ids(self, body: bytes) -> np.ndarray:
-        parts = []
-        for piece in _pieces(body):
-            words = piece.split()
-            new = set(words).difference(self.code)
-            if len(self.code) + len(new) > WORDS and self.code:
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each)."""
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(codes < 0)
+        if len(missed):
+            new = list(dict.fromkeys(words[i] for i in missed.tolist()))
+            if len(self.code) + len(new) > WORDS:
                 self.clear()
-                new = set(words)
-            if new:
-                self._learn(list(new))
-            codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-            size = self.size[codes]
-            ends = np.cumsum(size)
-            parts.append(self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)])
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+                missed = np.arange(len(words))
+                new = list(dict.fromkeys(words))
+            self._learn(new)
+            codes[missed] = [self.code[words[i]] for i in missed.tolist()]
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+    def texts(self, bodies: list[bytes]):
+        """Ids of every text, many short texts (or one piece of a long one) at a time."""
+        at = 0
+        while at < len(bodies):
+            if len(bodies[at]) > TEXT:
+                yield np.concatenate([self.ids(p.split())[0] for p in _pieces(bodies[at])])
+                at += 1
+                continue
+            words, counts, size = [], [], 0
+            while at < len(bodies) and size + len(bodies[at]) <= TEXT:
+                found = bodies[at].split()
+                words += found
+                counts.append(len(found))
+                size += len(bodies[at])
+                at += 1
+            ids, each = self.ids(words)
+            edges = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(counts)]]
+            yield from (ids[a:b] for a, b in zip(edges[:-1], edges[1:]))
 
 
 def _pieces(body: bytes):
     """A long text in pieces that end at white space."""
     a = 0
     while a < len(body):
-        b = a + K.SLICE
+        b = a + TEXT
         while b < len(body) and body[b] not in b" \t\n\r\x0b\x0c":
             b += 1
         yield body[a:b]
@@ -102,8 +152,9 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
             ids = batch.column(0).to_pylist()
             data, offsets, _ = K.flat(batch.column(1))
             tokens, rows = _tokens(tokenizer), []
-            for d, doc in enumerate(ids):
-                found = np.append(tokens.ids(data[offsets[d] : offsets[d + 1]].tobytes()), np.uint32(0)).astype("<u4")
+            bodies = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            for doc, got in zip(ids, tokens.texts(bodies)):
+                found = np.append(got, np.uint32(0)).astype("<u4")
                 for k, s in enumerate(range(0, len(found), capacity)):
                     part = found[s : s + capacity]
                     rows.append((doc, k, s, len(part), zlib.crc32(part.tobytes())) + ((part.astype(np.int32).tolist(),) if with_ids else ()))
@@ -152,34 +203,55 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
 def completions(counts: np.ndarray, room: int, limit: int = COMPLETIONS) -> list[tuple[int, ...]]:
     """Undominated fillings of the room with the lengths left, fullest first.
 
-    A filling is dominated if a length left over still fits beside it, or if one of its lengths (or two together)
-    can be exchanged for a longer single one that fits.
+    The first two lengths are branched on, the rest is the longest that fits, again and again. A filling is dominated
+    if one of its lengths, or two of them together, can be exchanged for a longer single one that is left and fits.
     """
-    have = [x for x in np.flatnonzero(counts[: room + 1])[::-1].tolist() if x]
+    have = np.flatnonzero(counts[: room + 1])
+    have = have[have > 0].tolist()
+    lefts = np.cumsum(counts > 0)
+
+    def rest_of(rest: int, chosen: dict[int, int]) -> int:
+        at = bisect_right(have, rest) - 1
+        while at >= 0:
+            x = have[at]
+            k = min(int(counts[x]) - chosen.get(x, 0), rest // x)
+            if k > 0:
+                chosen[x] = chosen.get(x, 0) + k
+                rest -= k * x
+            at = min(at - 1, bisect_right(have, rest) - 1)
+        return rest
+
+    def dominated(chosen: dict[int, int], slack: int) -> bool:
+        kinds = sorted(chosen)[-12:]
+        sums = {*kinds, *(a + b for i, a in enumerate(kinds) for b in kinds[i + (chosen[a] < 2) :])}
+        for c in sums:
+            low, high = (c if c in chosen else c - 1), min(c + slack, len(counts) - 1)
+            if low < high and lefts[high] > lefts[low] and any(counts[x] > chosen.get(x, 0) for x in range(low + 1, high + 1)):
+                return True
+        return False
+
     found: dict[tuple[int, ...], int] = {}
-    steps = 0
-
-    def fill(at: int, rest: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        if len(found) >= 4 * limit or steps > 400:
-            return
-        steps += 1
-        fits = [x for x in have[at:] if x <= rest and counts[x] > chosen.count(x)]
-        if not fits:
-            slack = rest
-            longer = any(any(c < x <= c + slack and counts[x] > chosen.count(x) for x in have) for c in set(chosen))
-            merged = any(counts[x] > chosen.count(x) for i, a in enumerate(chosen) for b in chosen[i + 1 :] for x in range(a + b, a + b + slack + 1) if x < len(counts))
-            if not longer and not merged:
-                found[chosen] = room - rest
-            return
-        for x in fits[: 3 if chosen else limit]:
-            fill(have.index(x), rest - x, (*chosen, x))
-
-    fill(0, room, ())
+    for first in have[: -BRANCHES - 1 : -1]:
+        at = bisect_right(have, room - first) - 1
+        for second in [0] if at < 0 else have[at : max(at - 2, -1) : -1] if at > 1 else have[: at + 1]:
+            chosen = {first: 1}
+            if second:
+                if counts[second] <= chosen.get(second, 0):
+                    continue
+                chosen[second] = chosen.get(second, 0) + 1
+            slack = rest_of(room - first - second, chosen)
+            if not slack or not dominated(chosen, slack):
+                found[tuple(x for x in sorted(chosen, reverse=True) for _ in range(chosen[x]))] = room - slack
+        if sum(v == room for v in found.values()) >= limit:
+            break
+    if not found and have:
+        chosen = {}
+        slack = rest_of(room, chosen)
+        found[tuple(x for x in sorted(chosen, reverse=True) for _ in range(chosen[x]))] = room - slack
     return sorted(found, key=lambda f: (-found[f], len(f)))[:limit] or [()]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 6000) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 12000) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of a sequence, how often) that use every piece once, in as few sequences as found.
 
     ``counts[n]`` is the number of pieces of length n. The search ends when the incumbent meets the lower bound, or
