@@ -44,13 +44,14 @@ def _contract(batches):
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("v", "m").union(edges.select(F.col("m").alias("v"), F.col("v").alias("m")))
-    least = both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("low"))
+    # Stored, so that the join shuffles both its sides and a node with very many links can be split.
+    least = written(both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("low")), "least")
     return both.filter("m > v").join(least, "v").select(F.col("m").alias("v"), F.col("low").alias("m")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("v", "m").alias("v"), F.least("v", "m").alias("m"))
-    least = down.groupBy("v").agg(F.min("m").alias("low"))
+    least = written(down.groupBy("v").agg(F.min("m").alias("low")), "least")
     moved = down.join(least, "v").filter("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
     return moved.union(least.select("v", F.col("low").alias("m"))).distinct()
 
