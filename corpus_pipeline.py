@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapmatch.llm.language import identify
+from gapmatch.llm.language import learn, predicted
 from gapmatch.llm.mixing import mix
 from gapmatch.llm.near_dedup import near_duplicates
 from gapmatch.llm.packing import best_fit_packing
@@ -23,9 +23,8 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; a text that is null or has no letter goes. A missing lang is set to the prediction."""
-    found = identify(docs).filter("lang_pred <> 'und'").select(F.col("doc_id").alias("_id"), F.col("lang_pred").alias("_lang")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("_id"))
-    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    found, language, _ = predicted(docs.filter("doc_id is not null"), learn(docs))
+    return found.filter(F.col(language) != "und").withColumn("lang", F.coalesce("lang", language)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20  #: bytes worked on at a time
+SLICE = 1 << 19  #: bytes worked on at a time: their arrays stay in a core's cache
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 SHINGLE = 5
@@ -26,6 +26,25 @@ def power(n: int) -> np.uint64:
     return np.uint64(pow(BASE, n, 1 << 64))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; those of a slice are kept."""
+    if n > SLICE or len(_powers.get("up", ())) < n:
+        up, down = (np.full(max(n, SLICE), np.uint64(b)) for b in (BASE, pow(BASE, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if n > SLICE:
+            return up[:n], down[:n]
+        _powers.update(up=up, down=down)
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+def owners(offsets: np.ndarray, a: int, b: int) -> tuple[int, np.ndarray]:
+    """(first document, bytes of each document from it on) of the bytes [a, b)."""
+    first = int(np.searchsorted(offsets, a, "right")) - 1
+    last = int(np.searchsorted(offsets, b, "left"))
+    return first, np.diff(np.clip(offsets[first : last + 1], a, b))
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ np.uint64((seed * 0xD1B54A32D192ED03 + 0x632BE59BD9B4E019) & MASK)
@@ -92,16 +111,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         if not len(starts):
             continue
         n = len(x)
-        if len(_powers.get("up", ())) < n:
-            step = np.full(max(n, SLICE), np.uint64(BASE))
-            step[0] = 1
-            back = np.full(max(n, SLICE), np.uint64(pow(BASE, -1, 1 << 64)))
-            back[0] = 1
-            _powers["up"], _powers["down"] = np.multiply.accumulate(step), np.multiply.accumulate(back)
-        found.append(mix(np.add.reduceat(WORD_TABLE[x] * _powers["up"][:n], starts) * _powers["down"][starts]))
+        up, down = powers(n)
+        found.append(mix(np.add.reduceat(WORD_TABLE[x] * up, starts) * down[starts]))
         places.append(starts + a)
-        if n > SLICE:
-            _powers.clear()
     if not found:
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     return np.concatenate(found), np.diff(np.searchsorted(np.concatenate(places), offsets))

@@ -40,12 +40,7 @@ def _piece(x: np.ndarray, doc_of: np.ndarray):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     code = K.TABLE[K.LOWER[x]]
     code[~solid] = 0
-    n = len(x)
-    step = np.full(n, np.uint64(K.BASE))
-    step[0] = 1
-    up = np.multiply.accumulate(step)
-    step[1:] = np.uint64(pow(K.BASE, -1, 1 << 64))
-    down = np.multiply.accumulate(step)
+    up, down = K.powers(len(x))
     word = np.add.reduceat(code * up, starts) * down[starts]
     head = np.zeros(len(starts), np.uint64)
     for k in range(HEAD):
@@ -63,7 +58,8 @@ def hashed(data: np.ndarray, offsets: np.ndarray, form: bool = False):
     words = np.zeros(docs)
     for a in range(0, len(data), K.SLICE):  # a word across two pieces counts as two: a fixed rule, as slices start at documents
         b = min(a + K.SLICE, len(data))
-        doc_of = np.searchsorted(offsets, np.arange(a, b), "right") - 1
+        d, sizes = K.owners(offsets, a, b)
+        doc_of = np.repeat(np.arange(d, d + len(sizes)), sizes)
         d1, w, d2, h = _piece(data[a:b], doc_of)
         words += np.bincount(d1, minlength=docs)
         found.append(np.unique(np.concatenate([d1, d2]) << BITS | _places(np.concatenate([w, h]))))

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import fold
 
@@ -132,6 +133,26 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(counts.filter(F.col("n") >= SEEN).toPandas(), languages)  # bounded by the sample
 
 
+def predicted(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
+    """All columns of docs (text, ...) with two more, and the names of these (free ones): language and score."""
+    names = []
+    for name in ("lang_pred", "score"):
+        while name.lower() in (c.lower() for c in docs.columns):
+            name += "_"
+        names.append(name)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")  # bounded by the sample
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+
+    def run(batches):
+        languages, scorer = shared.value.languages, _Scorer(shared.value)
+        for batch in batches:
+            got = [_guess(scorer.total(t.as_py()) if t.is_valid and languages else None, languages) for t in batch.column(at)]
+            more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
+
+    return docs.mapInArrow(run, schema), *names
+
+
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """docs (doc_id, text, lang). Returns (doc_id, held_out, lang_pred, score), a row per row.
 
@@ -139,16 +160,6 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     no document is labelled. ``score`` is the share of the best language in the posterior. Only texts are looked at
     in a prediction. Rows without an id take no part.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, per_language))  # bounded by the sample
-
-    def run(batches):
-        languages, scorer = model.value.languages, _Scorer(model.value)
-        for batch in batches:
-            texts = batch.column(1)
-            got = [_guess(scorer.total(t.as_py()) if t.is_valid and languages else None, languages) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
-
     source = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    found = source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found, _, _ = predicted(source, learn(docs, per_language))
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")

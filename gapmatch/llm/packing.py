@@ -28,7 +28,7 @@ from . import bytes_kernel as K
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-WORDS = 1_000_000  #: words remembered by a worker
+WORDS = 800_000  #: words remembered by a worker
 SIGNS = ".,;:!?"
 TEXT = 1 << 18  #: bytes of text whose words are looked up together
 COMPLETIONS = 4  #: fillings tried per largest length
@@ -58,7 +58,7 @@ class _Tokens:
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, ids of each), in one call.
+        """(ids of all words, ids of each).
 
         Letters with or without closing signs are one or two units of the tokenizer, and a unit's last id tells that
         it is the last. Where that does not add up, a token belongs to the word in which it starts.

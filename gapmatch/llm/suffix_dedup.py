@@ -62,12 +62,11 @@ class _Block:
     def runs(self):
         """(name of representative, name of run, first window, windows, document id) of every run, in order."""
         gap, parts = self.length - 1, []
-        doc_end = np.repeat(self.offsets[1:], np.diff(self.offsets)) if len(self.data) < K.SLICE * 4 else None
         for s in range(0, max(len(self.data) - gap, 0), K.SLICE):
             seg = self.data[s : s + K.SLICE + gap]
             n = len(seg) - gap
-            last = (doc_end[s : s + n] if doc_end is not None else
-                    self.offsets[np.searchsorted(self.offsets, np.arange(s, s + n), "right")]) - self.length
+            d, sizes = K.owners(self.offsets, s, s + n)
+            last = np.repeat(self.offsets[d + 1 : d + 1 + len(sizes)], sizes) - self.length
             valid = np.arange(s, s + n) <= last
             g = K.gram_hashes(seg, (GRAM, 32))
             name = window_names(g[32], self.length)
