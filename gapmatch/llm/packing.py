@@ -15,7 +15,7 @@ import os
 import zlib
 from bisect import bisect_right
 from functools import cache
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from . import bytes_kernel as K
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-WORDS = 800_000  #: words remembered by a worker
+WORDS = 800_000  #: words remembered in a task
+KEPT = 150_000  #: of these, the first ones, remembered by a worker for its next task
 SIGNS = ".,;:!?"
 TEXT = 1 << 18  #: bytes of text whose words are looked up together
 COMPLETIONS = 4  #: fillings tried per largest length
@@ -57,6 +58,13 @@ class _Tokens:
         self.code: dict[bytes, int] = {}
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
+    def trim(self) -> None:
+        """Forget all but the words learnt first (the frequent ones), so that an idle worker holds little memory."""
+        if len(self.code) > KEPT:
+            self.code = dict(islice(self.code.items(), KEPT))
+            self.used = int(self.start[KEPT])
+            self.start, self.size, self.flat = self.start[:KEPT].copy(), self.size[:KEPT].copy(), self.flat[: self.used].copy()
+
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, ids of each).
 
@@ -163,6 +171,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     rows = []
             if rows:
                 yield _rows(rows, with_ids)
+        _tokens(tokenizer).trim()
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null")
     return source.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
