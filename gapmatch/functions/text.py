@@ -265,11 +265,9 @@ def gap_key(requirement: Column) -> Column:
 
 def unspace(text: Column) -> Column:
     """Close up letter-spaced runs of four letters or more."""
-    return F.aggregate(
-        find_all(text, K.LETTER_SPACED),
-        text,
-        lambda acc, run: F.replace(acc, run, F.replace(run, F.lit(" "), F.lit(""))),
-    )
+    closed = F.transform(find_all(text, K.LETTER_SPACED), lambda run: F.replace(run, F.lit(" "), F.lit("")))
+    around = F.split(text, K.LETTER_SPACED, -1)  # one more than the runs
+    return F.array_join(F.zip_with(around, closed, lambda a, run: F.concat(a, F.coalesce(run, F.lit("")))), "")
 
 
 def company_from(title: Column, role: Column) -> Column:

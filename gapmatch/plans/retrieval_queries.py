@@ -13,8 +13,6 @@ from ..operators.topk import cosine, top_k
 from ..operators.vectors import hashed_embedder
 from .tables import global_index, index, probes, requirements, table
 
-PREFIX = 60  # the child overlap: no chunk boundary can hide a prefix this long
-
 
 def _out(df):
     return df.withColumn("score", F.round("score", 6))
@@ -117,7 +115,8 @@ def passage_digest(spark, sf_dir):
 
 
 def _relevant(ranked, chunks, asked):
-    wanted = asked.select("scope", "query_id", F.array(F.left(T.normalise(F.col("text")), F.lit(PREFIX))).alias("wanted"))
+    """A chunk is relevant if it holds the whole labelled passage."""
+    wanted = asked.select("scope", "query_id", F.array(T.normalise(F.col("text"))).alias("wanted"))
     return E.first_relevant(ranked, chunks, wanted)
 
 

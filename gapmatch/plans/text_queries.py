@@ -8,8 +8,6 @@ from ..functions import matching as M
 from ..functions import text as T
 from .tables import spread, table
 
-text = F.col("text")
-
 
 def _docs(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -20,7 +18,7 @@ def _joined(arr, sep=" "):
 
 
 def tokens_per_doc(spark, sf_dir):
-    toks = _docs(spark, sf_dir).select("doc_id", T.tokens(text).alias("toks"))
+    toks = _docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("toks"))
     return toks.select(
         "doc_id", F.size("toks").alias("n_tokens"), F.size(F.array_distinct("toks")).alias("n_distinct"),
         F.md5(_joined("toks")).alias("tokens_md5"),
@@ -28,12 +26,12 @@ def tokens_per_doc(spark, sf_dir):
 
 
 def keywords(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", _joined(T.keywords(text)).alias("keywords"))
+    return _docs(spark, sf_dir).select("doc_id", _joined(T.keywords(F.col("text"))).alias("keywords"))
 
 
 def salient_terms(spark, sf_dir):
     found = _docs(spark, sf_dir).select(
-        "doc_id", T.salient_terms(text).alias("terms"), T.requirement_kind(text).alias("kind")
+        "doc_id", T.salient_terms(F.col("text")).alias("terms"), T.requirement_kind(F.col("text")).alias("kind")
     )
     return found.select(
         "doc_id", F.size("terms").alias("n_terms"), F.md5(_joined("terms")).alias("terms_md5"), "kind"
@@ -41,30 +39,30 @@ def salient_terms(spark, sf_dir):
 
 
 def coordinate_groups(spark, sf_dir):
-    found = _docs(spark, sf_dir).select("doc_id", T.coordinate_groups(text).alias("g"))
+    found = _docs(spark, sf_dir).select("doc_id", T.coordinate_groups(F.col("text")).alias("g"))
     return found.select("doc_id", F.size("g").alias("n_groups"), F.md5(_joined("g", "|")).alias("groups_md5"))
 
 
 def language_share(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("lang", T.language(text).alias("detected"))
+    found = table(spark, sf_dir, "documents").select("lang", T.language(F.col("text")).alias("detected"))
     return found.groupBy("lang", "detected").agg(F.count("*").alias("n"))
 
 
 def number_mentions(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.quantity_mentions(text).alias("n_numbers"))
+    return _docs(spark, sf_dir).select("doc_id", T.quantity_mentions(F.col("text")).alias("n_numbers"))
 
 
 def token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(text).alias("est_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("est_tokens"))
 
 
 def reflowed_lines(spark, sf_dir):
-    found = _docs(spark, sf_dir).select("doc_id", T.reflowed(text).alias("l"))
+    found = _docs(spark, sf_dir).select("doc_id", T.reflowed(F.col("text")).alias("l"))
     return found.select("doc_id", F.size("l").alias("n_lines"), F.md5(_joined("l", "\n")).alias("lines_md5"))
 
 
 def sentence_table(spark, sf_dir):
-    found = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(text)).alias("pos", "s"))
+    found = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
     return found.select(
         "doc_id", "pos", F.length("s").alias("n_chars"), T.clip(F.col("s"), 80).alias("clipped")
     )
@@ -72,8 +70,8 @@ def sentence_table(spark, sf_dir):
 
 def normalise_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(T.normalise(text)).alias("normal_md5"),
-        T.content_hash(F.col("source"), F.col("lang"), text).alias("memo_key"),
+        "doc_id", F.md5(T.normalise(F.col("text"))).alias("normal_md5"),
+        T.content_hash(F.col("source"), F.col("lang"), F.col("text")).alias("memo_key"),
         F.octet_length("text").alias("size_bytes"),
     )
 
@@ -87,7 +85,7 @@ def greek_stems(spark, sf_dir):
     word = F.translate("w", LATIN, AS_GREEK)
     words = (
         _docs(spark, sf_dir)
-        .select(F.explode(T.find_all(F.lower(text), "[a-z]{2,}")).alias("w"))
+        .select(F.explode(T.find_all(F.lower(F.col("text")), "[a-z]{2,}")).alias("w"))
         .groupBy(word.alias("word")).agg(F.count("*").alias("uses"))
     )
     return words.groupBy(T.greek_stem(F.col("word")).alias("stem")).agg(
@@ -97,7 +95,7 @@ def greek_stems(spark, sf_dir):
 
 def intent_routing(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return asked.select("conv_id", "turn", T.intent(text).alias("intent"))
+    return asked.select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
 
 
 def match_keys(spark, sf_dir):
@@ -111,7 +109,7 @@ def match_keys(spark, sf_dir):
     )
     scored = pairs.select(
         "conv_id", "turn", M.needles(T.keywords(F.col("asked"))).alias("nd"),
-        M.text_keys(T.tokens(text)).alias("keys"),
+        M.text_keys(T.tokens(F.col("text"))).alias("keys"),
     )
     return scored.select(
         "conv_id", "turn", F.size("nd").alias("n_keywords"), F.size("keys").alias("n_keys"),
@@ -121,7 +119,7 @@ def match_keys(spark, sf_dir):
 
 def unspaced_text(spark, sf_dir):
     """Letter-spaced runs closed up."""
-    fixed = _docs(spark, sf_dir).select("doc_id", "text", T.unspace(text).alias("fixed"))
+    fixed = _docs(spark, sf_dir).select("doc_id", "text", T.unspace(F.col("text")).alias("fixed"))
     return fixed.select(
         "doc_id", (F.length("text") - F.length("fixed")).alias("removed"), F.md5("fixed").alias("fixed_md5")
     )

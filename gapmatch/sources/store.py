@@ -1,13 +1,7 @@
-"""Keyed tables that are replaced, merged and erased.
-
-Parquet cannot be overwritten while it is read, so a change writes a new version folder and then
-moves the pointer; readers follow the pointer and never see half a write.
-"""
+"""Keyed tables that are merged and erased: every operation takes and returns DataFrames, the caller stores them."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,25 +83,6 @@ def conform(stored: DataFrame, declared) -> DataFrame:
     ])
 
 
-# --- versioned tables --------------------------------------------------------------------
-def publish(df: DataFrame, base: str, partition_by: tuple = ()) -> str:
-    """Write a new version of the table at ``base`` and point readers at it."""
-    version = uuid.uuid4().hex
-    writer = df.write
-    if partition_by:
-        # One writer task per partition value would put a hot scope in one task; a salt spreads it.
-        writer = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns[:2]), F.lit(16))).write.partitionBy(*partition_by)
-    writer.parquet(f"{base}/v-{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{base}/current")
-    return version
-
-
-def current(spark: SparkSession, base: str) -> DataFrame:
-    """The version the pointer names."""
-    version = spark.read.schema("version string").json(f"{base}/current").first()["version"]
-    return spark.read.parquet(f"{base}/v-{version}")
-
-
 def append_metrics(long: DataFrame, path: str) -> None:
     """Append metric rows (config, suite, metric, value) of one run as JSON."""
     long.withColumn("run_ts", F.current_timestamp()).write.mode("append").json(path)

@@ -20,7 +20,7 @@ def dense(scope, queries):
 def metrics(ranked: str) -> list[tuple[str, str]]:
     norm = f"lower({P.squeeze('text')})"
     return [
-        ("wanted", f"SELECT scope, query_id, {norm}[1:60] AS want FROM queries"),
+        ("wanted", f"SELECT scope, query_id, {norm} AS want FROM queries"),
         ("judged", f"SELECT r.scope, r.query_id, r.rank, contains(lower({P.squeeze('c.text')}), want) AS hit FROM {ranked} r "
                    "JOIN chunks c USING (scope, chunk_id) JOIN wanted w ON w.scope = r.scope AND w.query_id = r.query_id"),
         ("firsts", "SELECT query_id, min(rank) FILTER (hit) AS first_rank, count(j.rank) AS retrieved FROM wanted w "
@@ -47,14 +47,8 @@ def ablation(cfg: dict, strategy: str) -> str:
     return P.with_(ctes + metrics("rr"), f"SELECT {SUMMARY}")
 
 
-CONFIGS = {
-    "full pipeline": ({}, "parent_child"),
-    "no re-ranking": ({"rerank": False}, "parent_child"),
-    "no BM25 (dense only)": ({"bm25": False}, "parent_child"),
-    "no multi-query": ({"multi": False}, "parent_child"),
-    "dense, no fusion or rerank": ({"multi": False, "bm25": False, "rerank": False}, "parent_child"),
-    "fixed-size chunking": ({}, "fixed"),
-}
+OFF = {"all on": (), "rerank off": ("rerank",), "words off": ("bm25",), "variants off": ("multi",), "vectors alone": ("multi", "bm25", "rerank")}
+CONFIGS = {name: (dict.fromkeys(off, False), "parent_child") for name, off in OFF.items()} | {"windows": ({}, "fixed")}
 EMB = (
     "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS near_id, "
     "round(list_cosine_similarity(a.v, b.v), 9) AS score FROM n a, n b), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id "

@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gapmatch.plans import registry
+from oracles import statements
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings benchmark labels conversations".split()
-SAMPLE = ["tokens_per_doc", "parent_child_chunks", "hashed_dense_topk", "verdicts", "scorecard", "stage_rollup", "spearman", "stream_rate_windows"]
+SAMPLE = ["tokens_per_doc", "unspaced_text", "retrieval_metrics", "parent_child_chunks", "hashed_dense_topk", "verdicts", "scorecard", "stage_rollup", "spearman", "stream_rate_windows"]
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +33,7 @@ def test_query_equals_statement(spark, db, name):
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry()) == set(statements())
 
 
 def test_entry(spark):

@@ -28,14 +28,11 @@ def test_profile_lets_nothing_personal_out(spark):
     assert out.columns == ["user_id", "context"] and out.first().context == "Current title: Dev\nYears of experience: 3\nLanguages: Greek"
 
 
-def test_versions_merge_and_erasure(spark, tmp_path):
-    base = str(tmp_path / "chunks")
+def test_merge_and_erasure(spark):
     first = spark.createDataFrame([("a", "s1", 1), ("b", "s1", 2), ("c", "s2", 3)], "chunk_id string, session_id string, v int")
-    W.publish(first, base, ("session_id",))
-    merged = W.upsert(W.current(spark, base), spark.createDataFrame([("b", "s1", 9)], first.schema), ["chunk_id"])
-    W.publish(merged, base)
-    assert {r.chunk_id: r.v for r in W.current(spark, base).collect()} == {"a": 1, "b": 9, "c": 3}
-    left = W.purge(W.current(spark, base), spark.createDataFrame([("s1",)], "session_id string"), ["session_id"])
+    merged = W.upsert(first, spark.createDataFrame([("b", "s1", 9)], first.schema), ["chunk_id"])
+    assert {r.chunk_id: r.v for r in merged.collect()} == {"a": 1, "b": 9, "c": 3}
+    left = W.purge(merged, spark.createDataFrame([("s1",)], "session_id string"), ["session_id"])
     assert [r.chunk_id for r in left.collect()] == ["c"]
 
 

@@ -41,6 +41,12 @@ def test_unspace_repairs_runs_of_four(spark):
     assert value(spark, T.unspace, "I a m here") == "I a m here"
 
 
+def test_unspace_changes_only_what_the_rule_matched(spark):
+    assert value(spark, T.unspace, "A B C D then A B C D E end") == "ABCD then ABCDE end"
+    assert value(spark, T.unspace, "A B C D and ZA B C D") == "ABCD and ZA B C D"
+    assert value(spark, T.unspace, "") == ""
+
+
 def test_language_by_share(spark):
     assert value(spark, T.language, "Εμπειρία σε Java, Docker") == "Greek"
     assert value(spark, T.language, "Java and Docker π") == "English"
