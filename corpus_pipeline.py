@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapmatch.llm.batches import bounded_batches
 from gapmatch.llm.language import learn, predicted
 from gapmatch.llm.mixing import mix
 from gapmatch.llm.near_dedup import near_duplicates
@@ -23,6 +24,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; a text that is null or has no letter goes. A missing lang is set to the prediction."""
+    bounded_batches(spark)
     found, language, _ = predicted(docs.filter("doc_id is not null"), learn(docs))
     return found.filter(F.col(language) != "und").withColumn("lang", F.coalesce("lang", language)).select(*docs.columns)
 
@@ -56,7 +58,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
-    return best_fit_packing(docs)
+    return best_fit_packing(docs, words=200_000)  # its workers also serve the stages before
 
 
 STAGES = [

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_kernel as K
+from .batches import bounded_batches
 
 BITS = 20
 HEAD = 4  #: bytes in the beginning of a word
@@ -142,6 +143,7 @@ def scored(docs: DataFrame, form: bool, names: list[str], value) -> DataFrame:
                 out = value(np.searchsorted(doc, np.arange(b - a + 1)), place)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, out)], ["doc_id", *names])
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null")
     return source.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} double" for n in names)]))
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import bounded_batches
 from .features import fold
 
 PER_LANGUAGE = 1500  #: labelled documents in the sample, about, for each language
@@ -160,6 +161,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     no document is labelled. ``score`` is the share of the best language in the posterior. Only texts are looked at
     in a prediction. Rows without an id take no part.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     found, _, _ = predicted(source, learn(docs, per_language))
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")

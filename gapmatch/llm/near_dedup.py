@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import bytes_kernel as K
+from .batches import bounded_batches
 from .graph import components, forest
 
 ROWS = 5  #: bins per band
@@ -158,6 +159,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     shingles. Null and blank texts have no shingles and are linked with nothing. Rows without an id take no part.
     Rows repeated under one id are one document: all are returned, with one component.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null")
     signs = written(
         texts.mapInArrow(_signatures(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures"

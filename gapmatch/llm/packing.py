@@ -15,7 +15,7 @@ import os
 import zlib
 from bisect import bisect_right
 from functools import cache
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import bytes_kernel as K
+from .batches import bounded_batches
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-WORDS = 800_000  #: words remembered in a task
-KEPT = 150_000  #: of these, the first ones, remembered by a worker for its next task
+WORDS = 1_000_000  #: words remembered by a worker, about 0.2 KB each
 SIGNS = ".,;:!?"
 TEXT = 1 << 18  #: bytes of text whose words are looked up together
 COMPLETIONS = 4  #: fillings tried per largest length
@@ -40,7 +40,8 @@ GROUP = 128  #: pieces ranked together at least
 class _Tokens:
     """Token ids of texts. The tokenizer drops white space and never joins across it, so words are encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
+        self.words = words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the one it has
         from tokenizers import Tokenizer
 
@@ -58,13 +59,6 @@ class _Tokens:
         self.code: dict[bytes, int] = {}
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
-    def trim(self) -> None:
-        """Forget all but the words learnt first (the frequent ones), so that an idle worker holds little memory."""
-        if len(self.code) > KEPT:
-            self.code = dict(islice(self.code.items(), KEPT))
-            self.used = int(self.start[KEPT])
-            self.start, self.size, self.flat = self.start[:KEPT].copy(), self.size[:KEPT].copy(), self.flat[: self.used].copy()
-
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, ids of each).
 
@@ -104,7 +98,7 @@ class _Tokens:
         missed = np.flatnonzero(codes < 0)
         if len(missed):
             new = list(dict.fromkeys(words[i] for i in missed.tolist()))
-            if len(self.code) + len(new) > WORDS:
+            if len(self.code) + len(new) > self.words:
                 self.clear()
                 missed = np.arange(len(words))
                 new = list(dict.fromkeys(words))
@@ -146,20 +140,20 @@ def _pieces(body: bytes):
 
 
 @cache
-def _tokens(path: str) -> _Tokens:
-    return _Tokens(path)
+def _tokens(path: str, words: int) -> _Tokens:
+    return _Tokens(path, words)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False, words: int = WORDS) -> DataFrame:
     """docs (doc_id, text) as (doc_id, piece, start, length, ids_crc32[, ids]): token ids and a closing 0, cut at the capacity."""
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets, _ = K.flat(batch.column(1))
-            tokens, rows = _tokens(tokenizer), []
+            tokens, rows = _tokens(tokenizer, words), []
             bodies = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             for doc, got in zip(ids, tokens.texts(bodies)):
                 found = np.append(got, np.uint32(0)).astype("<u4")
@@ -171,7 +165,6 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     rows = []
             if rows:
                 yield _rows(rows, with_ids)
-        _tokens(tokenizer).trim()
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null")
     return source.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
@@ -354,10 +347,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, fields + ", sequence_id long, offset long")
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def best_fit_packing(
+    docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False, words: int = WORDS
+) -> DataFrame:
     """docs (doc_id, text). Returns a row per piece: (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset).
 
     Null and empty texts are the closing 0 alone. Rows repeated under one id are packed one by one. Rows without an
-    id take no part. An empty table gives no rows.
+    id take no part. An empty table gives no rows. ``words`` bounds what a worker remembers of the tokenizer's answers:
+    a smaller number costs time, not results.
     """
-    return pack(written(pieces(docs, tokenizer, capacity, with_ids), "pieces"), capacity)
+    bounded_batches(docs.sparkSession)
+    return pack(written(pieces(docs, tokenizer, capacity, with_ids, words), "pieces"), capacity)

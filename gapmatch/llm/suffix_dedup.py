@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import bytes_kernel as K
+from .batches import bounded_batches
 
 LENGTH = 50
 GRAM = 16
@@ -305,6 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     if not 33 <= length <= 64:
         raise ValueError("length must be from 33 to 64")
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null")
     blocks = written(source.mapInArrow(_pack, "block long, ids array<long>, lengths array<long>, size long, body binary"), "blocks")
     total = blocks.agg(F.sum("size")).first()[0] or 0
