@@ -47,9 +47,9 @@ def chunked(docs: DataFrame, strategy: str = "parent_child", label: str = "CV")
     return parents, C.child_chunks(parents, label, keep=("scope",))
 
 
-def enrich(children: DataFrame, embed: Embedder) -> DataFrame:
+def enrich(children: DataFrame, embed: Embedder, keep: tuple = ("scope",)) -> DataFrame:
     return children.select(
-        "scope", "doc_key", "parent_id", "chunk_id", "section", "page", "text",
+        *keep, "doc_key", "parent_id", "chunk_id", "section", "page", "text",
         T.tokens(F.col("text")).alias("toks"),
         embed(F.col("embed_text")).cast("array<float>").alias("vec"),
     )

@@ -6,7 +6,7 @@ latency_ms, cache_hit, status, created_at. Money is decimal, so sums do not depe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
@@ -27,7 +27,7 @@ def price(calls: DataFrame, rates: DataFrame) -> DataFrame:
     """Add ``cost_usd``; a model without a rate costs nothing."""
     dear = F.col("prompt_tokens") * F.col("usd_in") + F.col("completion_tokens") * F.col("usd_out")
     return (
-        calls.join(F.broadcast(rates), "model", "left")  # the rate table is a handful of fixed rows
+        calls.join(rates, "model", "left")
         .withColumn("cost_usd", F.coalesce(dear / 1_000_000, F.lit(0)).cast(MONEY))
         .drop("usd_in", "usd_out")
     )
@@ -56,6 +56,42 @@ def spend_gate(calls: DataFrame, ceiling: float = K.SPEND_CEILING_USD, exempt: b
     )
 
 
+def spend_hours(calls: DataFrame) -> DataFrame:
+    """(installation, hour, spent_usd): spend per installation and hour; works on streams too."""
+    return (
+        calls.groupBy("installation", F.window("created_at", "1 hour").alias("w"))
+        .agg(F.sum("cost_usd").alias("spent_usd"))
+        .select("installation", F.col("w.start").alias("hour"), "spent_usd")
+    )
+
+
+def first_breaches(hours: DataFrame, calls: DataFrame, ceiling: float = K.SPEND_CEILING_USD) -> DataFrame:
+    """(installation, call_id, created_at, spent_usd): the first call, by time and id, at which the running
+    total of an installation reaches the ceiling; a ceiling of 0 is never reached.
+
+    ``hours`` are the ``spend_hours`` of ``calls``. Totals run over hours, and calls are ordered only inside the
+    one hour of an installation in which the ceiling falls.
+    """
+    limit = F.lit(str(ceiling)).cast(MONEY)
+    upto = F.sum("spent_usd").over(Window.partitionBy("installation").orderBy("hour"))
+    crossing = (
+        hours.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("spent_usd"))
+        .filter((F.col("upto") >= limit) & (F.col("before") < limit) & F.lit(ceiling > 0))
+        .select("installation", "hour", "before")
+    )
+    running = F.sum("cost_usd").over(
+        Window.partitionBy("installation").orderBy("created_at", "call_id").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    inside = (
+        calls.select("installation", "call_id", "created_at", "cost_usd", F.window("created_at", "1 hour")["start"].alias("hour"))
+        .join(crossing, ["installation", "hour"])
+        .withColumn("spent_usd", F.col("before") + running)
+        .filter(F.col("spent_usd") >= limit)
+    )
+    first = F.min(F.struct("created_at", "call_id", "spent_usd")).alias("f")
+    return inside.groupBy("installation").agg(first).select("installation", "f.call_id", "f.created_at", "f.spent_usd")
+
+
 def by_session(calls: DataFrame) -> DataFrame:
     return calls.groupBy("session_id").agg(F.count("*").alias("calls"), F.sum("cost_usd").alias("cost_usd"))
 
@@ -119,7 +155,7 @@ def errors_by_model(calls: DataFrame) -> DataFrame:
 def unpriced(calls: DataFrame, rates: DataFrame) -> DataFrame:
     """Models in use that the rate table does not know."""
     used = calls.groupBy("model").agg(F.count("*").alias("calls"))
-    return used.join(F.broadcast(rates), "model", "left_anti")
+    return used.join(rates, "model", "left_anti")
 
 
 def request_windows(requests: DataFrame, window: str, ceiling: int) -> DataFrame:
@@ -129,3 +165,34 @@ def request_windows(requests: DataFrame, window: str, ceiling: int) -> DataFrame
         .agg(F.count("*").alias("requests"))
         .select("caller", F.col("w.start").alias("window_start"), "requests", (F.col("requests") > ceiling).alias("over"))
     )
+
+
+def caller_key(user: Column, address: Column) -> Column:
+    """Who is counted: the signed-in user, else the address."""
+    return F.coalesce(user.cast("string"), address)
+
+
+def tier_windows(requests: DataFrame, tiers: dict[str, tuple[int, int]] = K.RATE_TIERS) -> DataFrame:
+    """(caller, tier, window_start, requests, over): requests (caller, tier, ts) in the fixed window of their tier.
+
+    Works on streams too: the longest window carries the watermark and the state, shorter ones divide it. Requests
+    of an unknown tier have no ceiling and are counted in the longest window.
+    """
+    longest = max(seconds for seconds, _ in tiers.values())
+    if any(longest % seconds for seconds, _ in tiers.values()):
+        raise ValueError("the longest window must be a multiple of every other")
+    tier = F.col("tier")
+    length, ceiling = F.lit(longest), F.lit(None).cast("int")
+    for name, (seconds, most) in tiers.items():
+        length = F.when(tier == name, seconds).otherwise(length)
+        ceiling = F.when(tier == name, most).otherwise(ceiling)
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return (
+        requests.withColumn("part", F.floor((at % longest) / length))
+        .groupBy(F.window("ts", f"{longest} seconds").alias("w"), "caller", "tier", "part")
+        .agg(F.count("*").alias("requests"))
+        .select(
+            "caller", "tier", (F.col("w.start") + F.make_dt_interval(secs=F.col("part") * length)).alias("window_start"),
+            "requests", F.coalesce(F.col("requests") > ceiling, F.lit(False)).alias("over"),
+        )
+    )

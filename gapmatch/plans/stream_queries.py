@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed as K
 from ..operators import telemetry as L
 from ..operators.index import work_dir
 from ..sources import documents as D
@@ -33,19 +34,47 @@ def stream_rate_windows(spark, sf_dir):
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def stream_rate_tiers(spark, sf_dir):
+    """Four tiers of requests; users of every fifth id are signed in, the others share an address per event type."""
+    base = _base(spark, "tiers")
+    asked = _stream(spark, sf_dir, "events").select(
+        L.caller_key(F.when(F.col("user_id") % 5 == 0, F.col("user_id")), F.col("event_type")).alias("caller"),
+        F.element_at(F.array(*[F.lit(t) for t in (*K.RATE_TIERS, "other")]), (F.col("event_id") % 5 + 1).cast("int")).alias("tier"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    _done(J.request_tiers(asked, base))
+    found = J.newest(spark, f"{base}/tiers", ["caller", "tier", "window_start"])
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def spend_breach(spark, sf_dir):
     base = _base(spark, "spend")
     rates = L.rate_table(spark)
-    priced = L.price(tables.calls_of(_stream(spark, sf_dir, "events")), rates)
-    _done(J.spend_breaches(priced.select(F.col("model").alias("installation"), "cost_usd"), base, 0.05))
-    return J.first_breaches(spark, base).withColumn("spent_usd", F.col("spent_usd").cast("double"))
 
+    def priced(events):
+        return L.price(tables.calls_of(events), rates).withColumn("installation", F.col("model"))
 
-def stream_ingest(spark, sf_dir):
+    _done(J.spend(priced(_stream(spark, sf_dir, "events")), base))
+    hours = J.newest(spark, f"{base}/spend", ["installation", "hour"])
+    found = L.first_breaches(hours, priced(tables.table(spark, sf_dir, "events")), 0.05)
+    return found.withColumn("spent_usd", F.col("spent_usd").cast("double"))
+
+
+def _ingested(spark, sf_dir):
     base = _base(spark, "ingest")
     docs = _stream(spark, sf_dir, "documents").select(F.concat(F.lit("cv"), "doc_id").alias("doc_key"), "text")
     _done(J.ingest(docs, base))
-    return spark.read.parquet(f"{base}/status").drop("batch")
+    return J.ingested(spark, base)
+
+
+def stream_ingest(spark, sf_dir):
+    return _ingested(spark, sf_dir)[0]
+
+
+def stream_chunks(spark, sf_dir):
+    """Index rows of the stream, with the number of dimensions their vectors use."""
+    used = F.size(F.filter("vec", lambda w: F.abs(w) > 1e-6))
+    return _ingested(spark, sf_dir)[2].select("doc_key", "parent_id", "chunk_id", "section", F.md5("text").alias("text_md5"), used.alias("n_dims"))
 
 
 def status_stream(spark, sf_dir):
@@ -55,4 +84,4 @@ def status_stream(spark, sf_dir):
     return J.newest(spark, f"{base}/sessions", ["session_id"])
 
 
-QUERIES = {f.__name__: f for f in (stream_rate_windows, spend_breach, stream_ingest, status_stream)}
+QUERIES = {f.__name__: f for f in (stream_rate_windows, stream_rate_tiers, spend_breach, stream_ingest, stream_chunks, status_stream)}

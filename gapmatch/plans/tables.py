@@ -14,6 +14,7 @@ from ..operators import evidence as V
 from ..operators import retrieval as R
 from ..operators.scorecards import latest_per_key
 from ..operators.index import Index, build_index, written
+from ..sources.documents import ready_documents
 
 SESSIONS = 20  # values of documents.source
 
@@ -40,11 +41,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=16)
 def _index(spark: SparkSession, sf_dir: str, strategy: str) -> Index:
-    return build_index(spread(documents(spark, sf_dir)), strategy)
+    return build_index(spread(ready_documents(documents(spark, sf_dir))), strategy)
 
 
 def index(spark: SparkSession, sf_dir: str, strategy: str = "parent_child") -> Index:
-    """The stored chunk index of a table folder; built on first use, as at ingestion."""
+    """The stored chunk index of the documents that pass the guards; built on first use, as at ingestion."""
     return _index(spark, sf_dir, strategy)
 
 

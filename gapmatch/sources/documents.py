@@ -40,6 +40,12 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def text_error(text: Column) -> Column:
+    """Why a stripped pasted text is refused; null when it is not. No text is a text without characters."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) > K.MAX_BYTES, "too_large").when(F.length(text) < K.TEXT_MIN_CHARS, "too_short")
+
+
 def load_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add pages, sizes and ``ingest_error`` to pasted-text documents; failures stay as rows."""
     loaded = docs.withColumn(text, T.strip(F.col(text)))
@@ -50,9 +56,7 @@ def load_texts(docs: DataFrame, text: str = "text") -> DataFrame:
         fingerprint(F.col(text)).alias("sha256"),
         F.length(text).cast("long").alias("char_count"),
         F.lit(1).cast("long").alias("page_count"),
-        F.when(F.octet_length(text) > K.MAX_BYTES, "too_large")
-        .when(F.length(text) < K.TEXT_MIN_CHARS, "too_short")
-        .alias("ingest_error"),
+        text_error(F.col(text)).alias("ingest_error"),
     )
 
 
@@ -88,13 +92,25 @@ def load_pages(pages: DataFrame, key: str) -> DataFrame:
     )
 
 
-def ingest_status(loaded: DataFrame, key: str = "doc_key") -> DataFrame:
-    """One row per document: counts, status and error. A failed document never fails the job, and the
-    count comes from the document's own row, so nothing is joined or shuffled."""
+def ready_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Pasted-text documents that pass the guards, under the columns they came with."""
+    return docs.filter(text_error(T.strip(F.col(text))).isNull())
+
+
+def ingest_status(loaded: DataFrame, key: str = "doc_key", chunks: DataFrame | None = None) -> DataFrame:
+    """One row per document: counts, status and error. A failed document never fails the job.
+
+    ``chunks`` are the stored chunks of the documents, if there are any yet; without them the count comes from
+    the document's own row, so nothing is joined or shuffled.
+    """
     failed = F.col("ingest_error").isNotNull()
+    counted = child_count(F.col("pages"))
+    if chunks is not None:
+        loaded = loaded.join(chunks.groupBy(key).agg(F.count("*").alias("_chunks")), key, "left")
+        counted = F.coalesce("_chunks", F.lit(0))
     return loaded.select(
         key, "sha256", "size_bytes", "page_count", "char_count",
-        F.when(failed, F.lit(0)).otherwise(child_count(F.col("pages"))).cast("long").alias("chunk_count"),
+        F.when(failed, F.lit(0)).otherwise(counted).cast("long").alias("chunk_count"),
         F.when(failed, "failed").otherwise("ready").alias("ingest_status"),
         F.coalesce("ingest_error", F.lit("")).alias("ingest_error"),
     )

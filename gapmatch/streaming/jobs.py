@@ -13,8 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed as K
 from ..operators import chunking as C
+from ..operators.index import enrich
 from ..operators.scorecards import latest_per_key
-from ..operators.telemetry import request_windows
+from ..operators.telemetry import request_windows, spend_hours, tier_windows
+from ..operators.vectors import Embedder, hashed_embedder
 from ..sources import documents as D
 
 
@@ -47,18 +49,41 @@ def newest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 
 # --- jobs --------------------------------------------------------------------------------
-def ingest(docs: DataFrame, base: str, label: str = "CV", **kw) -> StreamingQuery:
-    """Status rows and chunks of documents (doc_key, text) as they arrive."""
+def ingest(docs: DataFrame, base: str, label: str = "CV", embed: Embedder | None = None, keep: tuple = (), **kw) -> StreamingQuery:
+    """Status rows and index chunks of documents (keep..., doc_key, text) as they arrive.
+
+    Every batch is chunked once: parents are stored, children with tokens and vectors are cut from the stored
+    parents, and the status counts the stored children.
+    """
+    embedder = embed or hashed_embedder()
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def stored(rows: DataFrame, name: str) -> DataFrame:
+            path = f"{base}/{name}/batch={batch_id:09d}"
+            rows.write.mode("overwrite").parquet(path)
+            return spark.read.schema(rows.schema).parquet(path)
+
         loaded = D.load_texts(batch)
-        part = f"batch={batch_id:09d}"
-        ready = loaded.filter("ingest_error is null")
-        C.child_chunks(C.parent_chunks(ready), label).write.mode("overwrite").parquet(f"{base}/children/{part}")
-        D.ingest_status(loaded).write.mode("overwrite").parquet(f"{base}/status/{part}")
+        parents = stored(C.parent_chunks(loaded.filter("ingest_error is null"), keep=keep), "parents")
+        children = stored(enrich(C.child_chunks(parents, label, keep=keep), embedder, keep), "children")
+        stored(D.ingest_status(loaded, chunks=children), "status")
 
     return start(docs, write, base, **kw)
 
 
+def ingested(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(status, parents, children) as they stand: a document that arrived again replaces its earlier rows."""
+    rows = spark.read.parquet(f"{base}/status")
+    current = rows.groupBy("doc_key").agg(F.max("batch").alias("batch"))
+
+    def standing(name: str) -> DataFrame:
+        return spark.read.parquet(f"{base}/{name}").join(current, ["doc_key", "batch"], "left_semi").drop("batch")
+
+    return standing("status"), standing("parents"), standing("children")
+
+
 def request_rates(requests: DataFrame, base: str, window: str, ceiling: int, lateness: str = "1 hour", **kw) -> StreamingQuery:
     """Requests (caller, ts) per fixed window with a flag over the ceiling; later rows than
     ``lateness`` are dropped and their windows' state released."""
@@ -66,21 +91,20 @@ def request_rates(requests: DataFrame, base: str, window: str, ceiling: int, lat
     return start(counted, into(f"{base}/rates"), base, "update", **kw)
 
 
-def spend_breaches(calls: DataFrame, base: str, ceiling: float = K.SPEND_CEILING_USD, **kw) -> StreamingQuery:
-    """The first batch after which an installation's total (installation, cost_usd) is at or over the
-    ceiling; each installation is reported once."""
-    totals = calls.groupBy("installation").agg(F.sum("cost_usd").alias("spent_usd"))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        over = batch.filter(F.col("spent_usd") >= F.lit(str(ceiling)).cast("decimal(28,9)"))
-        over.write.mode("overwrite").parquet(f"{base}/over/batch={batch_id:09d}")
+def request_tiers(
+    requests: DataFrame, base: str, tiers: dict[str, tuple[int, int]] = K.RATE_TIERS, lateness: str = "1 hour", **kw
+) -> StreamingQuery:
+    """Requests (caller, tier, ts) in the fixed window of their tier, flagged over its ceiling."""
+    return start(tier_windows(requests.withWatermark("ts", lateness), tiers), into(f"{base}/tiers"), base, "update", **kw)
 
-    return start(totals, write, base, "update", **kw)
 
+def spend(calls: DataFrame, base: str, **kw) -> StreamingQuery:
+    """Spend per installation and hour of calls (installation, created_at, cost_usd), kept up to date.
 
-def first_breaches(spark: SparkSession, base: str) -> DataFrame:
-    rows = spark.read.parquet(f"{base}/over")
-    return rows.groupBy("installation").agg(F.min_by("spent_usd", "batch").alias("spent_usd"))
+    ``telemetry.first_breaches`` reads it with ``newest`` and places the ceiling: the answer is the same for any
+    batching, and late calls count. State is one row per installation and hour.
+    """
+    return start(spend_hours(calls), into(f"{base}/spend"), base, "update", **kw)
 
 
 def session_status(documents: DataFrame, base: str, **kw) -> StreamingQuery:

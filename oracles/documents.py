@@ -9,9 +9,9 @@ from . import parts as P
 _clean = "fixed"
 TURN_PAGES = [
     ("raw_turns", f"SELECT 'jd' || conv_id AS doc_key, conv_id, turn + 1 AS page, {P.strip('text')} AS text FROM conversations"),
-    ("unsp", f"SELECT doc_key, conv_id, page, text, regexp_extract_all(text, {P.q(K.LETTER_SPACED)}) AS runs, 1 AS i FROM raw_turns "
-             "UNION ALL SELECT doc_key, conv_id, page, replace(text, runs[i], replace(runs[i], ' ', '')), runs, i + 1 FROM unsp WHERE i <= len(runs)"),
-    ("turns", "SELECT doc_key, conv_id, page::INT AS page, text FROM unsp WHERE i = len(runs) + 1"),
+    ("unsp", f"SELECT doc_key, conv_id, page, regexp_extract_all(text, {P.q(K.LETTER_SPACED)}) AS runs, string_split_regex(text, {P.q(K.LETTER_SPACED)}) AS gaps FROM raw_turns"),
+    ("turns", "SELECT doc_key, conv_id, page::INT AS page, list_reduce(list_prepend('', list_transform(range(1, len(gaps) + 1), "
+              "lambda t1_: gaps[t1_] || coalesce(replace(runs[t1_], ' ', ''), ''))), lambda t2_, t3_: t2_ || t3_) AS text FROM unsp"),
     ("guard", "SELECT doc_key, conv_id, count(*) AS page_count, sum(length(text))::BIGINT AS char_count FROM turns GROUP BY ALL"),
     ("judged", f"SELECT *, CASE WHEN page_count > {K.MAX_PAGES} THEN 'too_many_pages' WHEN char_count / page_count < "
                f"{K.PAGE_MIN_CHARS} THEN 'looks_scanned' ELSE '' END AS ingest_error FROM guard"),

@@ -256,9 +256,13 @@ def window_ctes(source: str, key: str) -> list[tuple[str, str]]:
 DOC_PAGES = ("pg", "SELECT 'cv' || doc_id AS doc_key, 1 AS page, text FROM documents")
 
 
+READY = f"length({strip('text')}) >= {K.TEXT_MIN_CHARS} AND strlen({strip('text')}) <= {K.MAX_BYTES}"
+READY_PAGES = ("pg", f"{DOC_PAGES[1]} WHERE {READY}")
+
+
 def child_ctes(scope: str = "source") -> list[tuple[str, str]]:
     """``chunks(scope, doc_key, parent_id, chunk_id, section, page, text, toks)``."""
-    return [DOC_PAGES] + parent_ctes() + window_ctes("parents", "parent_id") + [
+    return [READY_PAGES] + parent_ctes() + window_ctes("parents", "parent_id") + [
         ("scopes", f"SELECT 'cv' || doc_id AS doc_key, {scope} AS scope FROM documents"),
         ("chunks0", "SELECT scope, p.doc_key, parent_id, parent_id || '-c' || c_idx AS chunk_id, section, page, "
                     "wn.text FROM wn JOIN parents p USING (parent_id) JOIN scopes s USING (doc_key)"),
@@ -267,7 +271,7 @@ def child_ctes(scope: str = "source") -> list[tuple[str, str]]:
 
 
 def fixed_child_ctes(scope: str = "source") -> list[tuple[str, str]]:
-    return [("ft", "SELECT 'cv' || doc_id AS doc_key, text FROM documents")] + window_ctes("ft", "doc_key") + [
+    return [("ft", f"SELECT 'cv' || doc_id AS doc_key, text FROM documents WHERE {READY}")] + window_ctes("ft", "doc_key") + [
         ("scopes", f"SELECT 'cv' || doc_id AS doc_key, {scope} AS scope FROM documents"),
         ("parents", "SELECT doc_key, doc_key || '-f' || c_idx AS parent_id, '' AS section, 1 AS page, text FROM wn"),
         ("chunks0", "SELECT scope, doc_key, parent_id, parent_id || '-c0' AS chunk_id, section, page, text "

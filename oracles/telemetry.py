@@ -14,6 +14,7 @@ RATE = {n: "CASE model " + " ".join(f"WHEN {P.q(m)} THEN {r[n]}" for m, r in K.U
 CALLS = ("cl", f"SELECT event_id AS call_id, user_id AS session_id, event_type AS stage, {MODELS}[event_id % 5 + 1] AS model, 'v' || k % 3 AS prompt_version, "
                "k * 10 AS prompt_tokens, floor(value)::INT AS completion_tokens, value AS latency_ms, k % 4 = 0 AS cache_hit, CASE WHEN event_type = 'error' "
                "THEN 'error' ELSE 'ok' END AS status FROM (SELECT *, (props::JSON ->> 'k')::INT AS k FROM events)")
+CALLS_AT = ("cl", CALLS[1].replace("'ok' END AS status", "'ok' END AS status, ts AS created_at"))
 PRICED = [CALLS, ("pc", f"SELECT *, ((prompt_tokens * ({RATE[0]})::DECIMAL(9, 2) + completion_tokens * ({RATE[1]})::DECIMAL(9, 2)) * 0.000001::DECIMAL(9, 6))::DECIMAL(18, 9) "
                         "AS cost FROM cl")]
 LINES = ("ln", f"SELECT l_suppkey AS suite, l_orderkey || '/' || {OKEY} AS answer_id, (1 + floor(l_extendedprice / 25000))::DOUBLE AS expected, "
@@ -50,7 +51,21 @@ RATES_SQL = "SELECT user_id AS caller, date_trunc('hour', ts) AS window_start, c
 
 ORACLES = {
     "stream_rate_windows": RATES_SQL,
-    "spend_breach": P.with_(PRICED, "SELECT model AS installation, sum(cost)::DOUBLE AS spent_usd FROM pc GROUP BY model HAVING sum(cost) >= 0.05"),
+    "stream_rate_tiers": """
+        WITH asked AS (SELECT CASE WHEN user_id % 5 = 0 THEN user_id::VARCHAR ELSE event_type END AS caller,
+                              ['auth', 'register', 'generate', 'upload', 'other'][event_id % 5 + 1] AS tier, ts FROM events),
+             w AS (SELECT caller, tier, date_trunc(CASE tier WHEN 'auth' THEN 'minute' ELSE 'hour' END, ts) AS window_start, count(*) AS requests
+                   FROM asked GROUP BY ALL)
+        SELECT *, requests > CASE tier WHEN 'auth' THEN 5 WHEN 'register' THEN 10 WHEN 'generate' THEN 30 WHEN 'upload' THEN 40 ELSE 1000000000 END AS over FROM w""",
+    "stream_chunks": P.with_(
+        P.child_ctes() + [("es", "SELECT chunk_id, '[CV › ' || section || ']' || chr(10) || text AS et FROM chunks0")]
+        + P.vector_ctes("es", "chunk_id", "cv", "et"),
+        "SELECT doc_key, parent_id, chunk_id, section, md5(text) AS text_md5, len(list_filter(vec, lambda s1_: abs(s1_) > 1e-6))::INT AS n_dims "
+        "FROM chunks0 LEFT JOIN cv USING (chunk_id)"),
+    "spend_breach": P.with_(
+        [CALLS_AT] + PRICED[1:] + [("rt", "SELECT model AS installation, call_id, created_at, sum(cost) OVER (PARTITION BY model ORDER BY created_at, call_id) AS spent FROM pc")],
+        "SELECT installation, call_id, created_at, spent::DOUBLE AS spent_usd FROM rt WHERE spent >= 0.05 "
+        "QUALIFY row_number() OVER (PARTITION BY installation ORDER BY created_at, call_id) = 1"),
     "stream_ingest": DOCUMENTS["ingest_status"],
     "status_stream": DOCUMENTS["documents_ready"],
     "cost_by_rate": P.with_(PRICED, "SELECT call_id, model, prompt_tokens, completion_tokens, cost::DOUBLE AS cost_usd FROM pc"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from gapmatch.operators import telemetry as L
 from gapmatch.sources import contracts as C
 from gapmatch.sources import store as W
 from gapmatch.streaming import jobs as J
@@ -80,12 +81,42 @@ def test_streams_do_not_depend_on_batching(spark, tmp_path):
     assert found[1] == found[6] and len(found[1]) == 6 and [r[2:] for r in found[1]] == [(6, True)] * 3 + [(3, False)] * 3
 
 
-def test_breach_is_reported_once(spark, tmp_path):
-    schema = "installation string, cost_usd decimal(18,9)"
-    for n, rows in enumerate([[("a", "0.4"), ("b", "0.1")], [("a", "0.7")], [("a", "5.0")]]):
-        spark.createDataFrame(rows, "installation string, c string").selectExpr("installation", "cast(c as decimal(18,9)) cost_usd").coalesce(1) \
-            .write.mode("append").parquet(str(tmp_path / f"in/n{n}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    J.spend_breaches(stream, str(tmp_path / "out"), 1.0).awaitTermination()
-    got = J.first_breaches(spark, str(tmp_path / "out")).collect()
-    assert [r.installation for r in got] == ["a"] and float(got[0].spent_usd) in (1.1, 5.4, 5.7, 6.1)
+@pytest.mark.parametrize("files", [1, 4])
+def test_breach_is_the_same_call_for_any_batching(spark, tmp_path, files):
+    rows = [("a", 1, "10:00", "0.4"), ("b", 2, "10:00", "0.1"), ("a", 4, "11:30", "0.3"), ("a", 3, "11:30", "0.3"), ("a", 5, "11:40", "5.0"), ("b", 6, "12:00", "0.2")]
+    calls = spark.createDataFrame(rows, "installation string, call_id int, at string, c string").selectExpr(
+        "installation", "call_id", "cast(concat('2024-01-01 ', at, ':00') as timestamp) created_at", "cast(c as decimal(18,9)) cost_usd")
+    folder = str(tmp_path / "in")
+    calls.repartition(files, "call_id").write.parquet(folder)
+    base = str(tmp_path / "out")
+    J.spend(J.file_stream(spark, folder, "*.parquet", calls.schema, per_trigger=1), base).awaitTermination()
+    hours = J.newest(spark, f"{base}/spend", ["installation", "hour"])
+    got = [(r.installation, r.call_id, float(r.spent_usd)) for r in L.first_breaches(hours, calls, 1.0).collect()]
+    assert got == [("a", 4, 1.0)]
+    assert L.first_breaches(hours, calls, 0).count() == 0
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tiers_have_their_own_windows_and_ceilings(spark, tmp_path, files):
+    rows = [("u", "auth", f"10:00:{s:02d}") for s in range(6)] + [("u", "auth", "10:01:00")]
+    rows += [("u", "register", f"10:{m:02d}:00") for m in range(11)] + [("v", "nothing", "10:59:59")]
+    asked = spark.createDataFrame(rows, "caller string, tier string, at string").selectExpr("caller", "tier", "cast(concat('2024-01-01 ', at) as timestamp) ts")
+    folder, base = str(tmp_path / "in"), str(tmp_path / "out")
+    asked.repartition(files).write.parquet(folder)
+    J.request_tiers(J.file_stream(spark, folder, "*.parquet", asked.schema, per_trigger=1), base, lateness="1 day").awaitTermination()
+    got = J.newest(spark, f"{base}/tiers", ["caller", "tier", "window_start"]).collect()
+    assert sorted((r.caller, r.tier, r.window_start.strftime("%H:%M"), r.requests, r.over) for r in got) == [
+        ("u", "auth", "10:00", 6, True), ("u", "auth", "10:01", 1, False), ("u", "register", "10:00", 11, True), ("v", "nothing", "10:00", 1, False)]
+
+
+def test_a_document_that_arrives_again_replaces_its_chunks(spark, tmp_path):
+    long = "Built the billing service and ran its migration without an outage. " * 20
+    folder, base = tmp_path / "in", str(tmp_path / "out")
+    for n, rows in enumerate([[("a", long), ("b", long), ("c", "short")], [("a", long + "Second version of this text."), ("b", "")]]):
+        spark.createDataFrame(rows, "doc_key string, text string").coalesce(1).write.parquet(str(folder / f"n{n}"))
+    stream = spark.readStream.schema("doc_key string, text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+    J.ingest(stream, base).awaitTermination()
+    status, parents, children = J.ingested(spark, base)
+    assert {r.doc_key: (r.ingest_status, r.chunk_count > 0) for r in status.collect()} == {"a": ("ready", True), "b": ("failed", False), "c": ("failed", False)}
+    assert {r.doc_key for r in parents.collect()} == {"a"} == {r.doc_key for r in children.collect()}
+    assert any("Second version" in r.text for r in children.collect()) and len(children.first().vec) == 384
