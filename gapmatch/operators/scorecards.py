@@ -6,7 +6,7 @@ Evaluations: session_id, question_id, answer_key (orderable), score10 (tenths, i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
@@ -34,6 +34,11 @@ def competencies(evaluations: DataFrame, key: str = "session_id") -> DataFrame:
     )
 
 
+def readiness_of(match: Column, n: Column, s10: Column) -> Column:
+    """Readiness from the match score and the number and summed tenths of the latest answers."""
+    return F.when(n > 0, F.bround((2 * match * n + 6 * s10) / (5 * n), 0).cast("long")).otherwise(match)
+
+
 def readiness(scores: DataFrame, latest: DataFrame, key: str = "session_id", minimum: int = MIN_ANSWERS) -> DataFrame:
     """(key, overall_score, answers, answer_mean, readiness_score, readiness_band).
 
@@ -48,8 +53,7 @@ def readiness(scores: DataFrame, latest: DataFrame, key: str = "session_id", min
         .filter(F.col("answers") >= minimum)
         .select(
             key, "overall_score", "answers",
-            F.when(n > 0, F.bround(s / (10 * n), 1)).alias("answer_mean"),
-            F.when(n > 0, F.bround((2 * m * n + 6 * s) / (5 * n), 0).cast("long")).otherwise(m).alias("readiness_score"),
+            F.when(n > 0, F.bround(s / (10 * n), 1)).alias("answer_mean"), readiness_of(m, n, s).alias("readiness_score"),
         )
         .withColumn("readiness_band", T.band(F.col("readiness_score"), K.READINESS_BANDS))
     )
@@ -89,24 +93,28 @@ def gaps(items: DataFrame, comps: DataFrame, key: str = "session_id") -> DataFra
 def action_items(sessions: DataFrame, items: DataFrame, comps: DataFrame, key: str = "session_id") -> DataFrame:
     """(key, place, priority, title): missing must-haves, weak dimensions, thin evidence; at most 8.
 
-    Every source is ranked and cut to eight per session before the tiers are merged.
+    Every source is read once, and ranked and cut to eight per session and tier before the tiers are merged.
     """
-    must = _top(items.filter("status = 'missing' and category = 'must_have'"), key, ["order_key"], 8).select(
-        key, F.lit(0).alias("tier"), "pos", F.lit("high").alias("priority"), F.col("requirement").alias("title")
+    wanted = F.when((F.col("status") == "missing") & (F.col("category") == "must_have"), 0).when(F.col("status") == "partial", 2)
+    place = Window.partitionBy(key, "tier").orderBy("order_key")
+    from_items = (
+        items.select(key, "order_key", "requirement", wanted.alias("tier"))
+        .filter("tier is not null")
+        .withColumn("pos", F.row_number().over(place))
+        .filter("pos <= 8")
+        .select(key, "tier", "pos", F.when(F.col("tier") == 0, "high").otherwise("medium").alias("priority"), F.col("requirement").alias("title"))
     )
     weak = _top(comps.filter("score <= 3"), key, ["score", "name"], 8).select(
         key, F.lit(1).alias("tier"), "pos",
         F.when(F.col("score") <= 2, "high").otherwise("medium").alias("priority"), F.col("name").alias("title"),
     )
-    thin = _top(items.filter("status = 'partial'"), key, ["order_key"], 8).select(
-        key, F.lit(2).alias("tier"), "pos", F.lit("medium").alias("priority"), F.col("requirement").alias("title")
-    )
-    found = _ordered(must.unionByName(weak).unionByName(thin), key, 8)
-    idle = sessions.select(key).join(found.select(key).distinct(), key, "left_anti").select(
-        key, F.lit(3).alias("tier"), F.lit("low").alias("priority"), F.lit("Rehearse the strongest answers").alias("title"),
-        F.lit(1).alias("place"),
+    found = _ordered(from_items.unionByName(weak), key, 8)
+    # A session for which nothing was found gets one item of its own.
+    return sessions.select(key).distinct().join(found, key, "full").select(
+        key, F.coalesce("tier", F.lit(3)).alias("tier"), F.coalesce("priority", F.lit("low")).alias("priority"),
+        F.coalesce("title", F.when(F.col("tier").isNull(), "Rehearse the strongest answers")).alias("title"),
+        F.coalesce("place", F.lit(1)).alias("place"),
     )
-    return found.unionByName(idle)
 
 
 def score_history(latest: DataFrame, key: str = "session_id", n: int = 5) -> DataFrame:

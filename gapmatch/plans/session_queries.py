@@ -97,11 +97,12 @@ def display_tone(spark, sf_dir):
 
 
 # --- progress ----------------------------------------------------------------------------
+def _results(spark, sf_dir):
+    return G.session_results(_scores(spark, sf_dir), order_answers(spark, sf_dir))
+
+
 def _points(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
-    return G.session_points(
-        order_sessions(spark, sf_dir), scores, S.readiness(scores, latest_answers(spark, sf_dir)), order_answers(spark, sf_dir)
-    )
+    return G.session_points(order_sessions(spark, sf_dir), _results(spark, sf_dir))
 
 
 def session_points(spark, sf_dir):
@@ -109,11 +110,13 @@ def session_points(spark, sf_dir):
 
 
 def recurring_gaps(spark, sf_dir):
-    return G.recurring_gaps(order_sessions(spark, sf_dir), order_items(spark, sf_dir))
+    found = G.recurring_gaps(order_sessions(spark, sf_dir), order_items(spark, sf_dir))
+    return found.withColumn("applications", F.array_join("applications", " | "))
 
 
 def competency_trend(spark, sf_dir):
-    return G.competency_trend(order_sessions(spark, sf_dir), competency_means(spark, sf_dir))
+    found = G.competency_trend(order_sessions(spark, sf_dir), competency_means(spark, sf_dir))
+    return found.withColumn("series", F.array_join(F.transform("series", lambda v: F.format_string("%.2f", v)), ","))
 
 
 def progress_totals(spark, sf_dir):
@@ -127,11 +130,8 @@ def session_overview(spark, sf_dir):
     documents = lines.filter("l_linestatus = 'O'").select(F.col("l_orderkey").alias("session_id"))
     questions = lines.select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("question_id")).distinct()
     answers = lines.filter("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("question_id"))
-    scores = _scores(spark, sf_dir)
-    return G.session_overview(
-        order_sessions(spark, sf_dir).select("user_id", "session_id", "title"), documents, scores, questions, answers,
-        S.readiness(scores, latest_answers(spark, sf_dir)),
-    )
+    sessions = order_sessions(spark, sf_dir).select("user_id", "session_id", "title")
+    return G.session_overview(sessions, documents, questions, answers, _results(spark, sf_dir))
 
 
 def newest_page(spark, sf_dir):

@@ -43,7 +43,7 @@ CARDS = SCORES + LATEST + [
 POINTS = CARDS + [
     SESSIONS,
     ("aa", "SELECT session_id, count(*) AS answers, sum(score10) AS s10 FROM ans GROUP BY session_id"),
-    ("pts", f"SELECT user_id, s.session_id, title, created_at, sc.overall_score AS match_score, readiness_score, coalesce(aa.answers, 0) AS answers, "
+    ("pts", f"SELECT user_id, s.session_id, title, target_role, created_at, sc.overall_score AS match_score, readiness_score, coalesce(aa.answers, 0) AS answers, "
             f"coalesce(s10, 0) AS s10, {P.half_even('s10', '10 * aa.answers', 2)} AS mean_answer_score FROM sess s LEFT JOIN sc USING (session_id) "
             "LEFT JOIN cd USING (session_id) LEFT JOIN aa USING (session_id)"),
 ]
@@ -169,12 +169,15 @@ ORACLES = {
         [SESSIONS, ITEMS,
          ("mi", f"SELECT user_id, title, created_at, session_id, order_key, requirement, {GAP} AS gap_key FROM ri JOIN sess USING (session_id) WHERE status = 'missing' "
                 "AND kind = 'evidenceable'"),
-         ("gg", "SELECT user_id, gap_key, count(DISTINCT title) AS missing_in, min_by(requirement, (created_at, session_id, order_key)) AS label FROM mi WHERE gap_key <> '' "
+         ("gg", "SELECT user_id, gap_key, count(DISTINCT title) AS missing_in, min_by(requirement, (created_at, session_id, order_key)) AS label, "
+                "string_agg(title, ' | ' ORDER BY created_at, session_id, order_key) FILTER (nth = 1) AS applications FROM (SELECT *, row_number() OVER (PARTITION BY "
+                "user_id, gap_key, title ORDER BY created_at, session_id, order_key) AS nth FROM mi) mi WHERE gap_key <> '' "
                 "GROUP BY ALL HAVING count(DISTINCT title) >= 2")],
-        "SELECT user_id, gap_key, label, missing_in, (row_number() OVER (PARTITION BY user_id ORDER BY missing_in DESC, label, gap_key))::INT AS place FROM gg QUALIFY place <= 8"),
+        "SELECT user_id, gap_key, label, missing_in, applications, (row_number() OVER (PARTITION BY user_id ORDER BY missing_in DESC, label, gap_key))::INT AS place FROM gg QUALIFY place <= 8"),
     "competency_trend": P.with_(
         [SESSIONS] + COMPS + [
-            ("tr", "SELECT user_id, name, count(*) AS points, min_by(score, (created_at, session_id)) AS first, max_by(score, (created_at, session_id)) AS latest "
+            ("tr", "SELECT user_id, name, count(*) AS points, min_by(score, (created_at, session_id)) AS first, max_by(score, (created_at, session_id)) AS latest, "
+                   "string_agg(printf('%.2f', score), ',' ORDER BY created_at, session_id) AS series "
                    "FROM comp JOIN sess USING (session_id) GROUP BY ALL HAVING count(*) >= 2")],
         "SELECT *, round(latest - first, 2) AS delta FROM tr"),
     "progress_totals": P.with_(

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from gapmatch.operators import evaluation as E
 from gapmatch.operators import interview as I
@@ -58,19 +59,44 @@ def test_progress(spark):
         [item(1, 0, "Experience with Terraform", "missing"), item(2, 0, "Terraform or similar", "missing"), item(3, 0, "Terraform again", "missing"),
          item(2, 1, "Kafka", "missing"), item(3, 1, "Kafka", "missing"), item(4, 0, "Terraform", "missing"), item(1, 2, "Redis", "strong")], ITEM)
     got = G.recurring_gaps(sessions, items).collect()
-    assert [(g.user_id, g.gap_key, g.label, g.missing_in) for g in got] == [(7, "terraform", "Experience with Terraform", 2)]
+    assert [(g.user_id, g.gap_key, g.label, g.missing_in, g.applications) for g in got] == [(7, "terraform", "Experience with Terraform", 2, ["One", "Two"])]
     by_id = G.recurring_gaps(sessions, items, by_title=False).orderBy("place").collect()
     assert [(g.gap_key, g.missing_in) for g in by_id] == [("terraform", 3), ("kafka", 2)]
     comps = spark.createDataFrame([(1, "Depth", 2.0), (3, "Depth", 3.5), (4, "Depth", 1.0)], "session_id int, name string, score double")
-    assert [(t.user_id, t.first, t.latest, t.delta) for t in G.competency_trend(sessions, comps).collect()] == [(7, 2.0, 3.5, 1.5)]
-    points = G.session_points(
-        sessions, spark.createDataFrame([(1, 40), (2, 61)], "session_id int, overall_score long"),
-        spark.createDataFrame([(1, 50), (3, 70)], "session_id int, readiness_score long"), spark.createDataFrame([(1, 30), (1, 45)], "session_id int, score10 long"))
+    assert [(t.user_id, t.first, t.latest, t.series, t.delta) for t in G.competency_trend(sessions, comps).collect()] == [(7, 2.0, 3.5, [2.0, 3.5], 1.5)]
+    results = spark.createDataFrame([(1, 40, 50, 2, 75), (2, 61, None, 0, 0), (3, None, 70, 0, 0)],
+                                    "session_id int, match_score long, readiness_score long, answers long, s10 long")
+    points = G.session_points(sessions.withColumn("target_role", F.lit("Engineer")), results)
     t = {r.user_id: r for r in G.progress_totals(points).collect()}
     assert (t[7].sessions_total, t[7].sessions_scored, t[7].latest_readiness, t[7].readiness_delta, t[7].mean_match, t[7].has_trend) == (3, 2, 70, 20, 50.5, False)
     assert t[7].mean_answer_score == 3.75 and t[8].best_readiness is None and t[8].mean_answer_score is None
 
 
+def test_results_count_all_answers_and_grade_the_latest(spark):
+    answers = spark.createDataFrame([(1, 1, 1, 10), (1, 1, 2, 40), (1, 2, 1, 30), (3, 1, 1, 20)], "session_id int, question_id int, answer_key int, score10 long")
+    scores = spark.createDataFrame([(1, 50), (2, 80)], "session_id int, overall_score long")
+    got = G.session_results(scores, answers, ("answer_key",)).orderBy("session_id").collect()
+    assert [tuple(r) for r in got] == [(1, 50, 62, 3, 80), (2, 80, None, 0, 0), (3, None, None, 1, 20)]
+    assert G.session_results(scores, answers, ("answer_key",), minimum=0).filter("session_id = 2").first().readiness_score == 80
+
+
+def test_every_table_is_read_once(spark, tmp_path):
+    """Roll-ups over stored tables scan each of them once."""
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    sessions = stored("sessions", [(7, 1, "One", "Engineer", 1)], "user_id int, session_id int, title string, target_role string, created_at int")
+    items = stored("items", [item(1, 0, "R", "missing")], ITEM)
+    comps = stored("comps", [(1, "Depth", 2.0)], "session_id int, name string, score double")
+    scores = stored("scores", [(1, 50)], "session_id int, overall_score long")
+    answers = stored("answers", [(1, 1, 1, 10)], "session_id int, question_id int, answer_key int, score10 long")
+    results = G.session_results(scores, answers, ("answer_key",))
+    for df, tables in ((S.action_items(sessions, items, comps), 3), (G.progress_totals(G.session_points(sessions, results)), 3),
+                       (G.recurring_gaps(sessions, items), 2), (G.competency_trend(sessions, comps), 2)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == tables
+
+
 def test_metrics_on_tiny_tables(spark):
     outcomes = spark.createDataFrame([("q1", 1), ("q2", 4), ("q3", None)], "query_id string, first_rank long")
     m = E.retrieval_metrics(outcomes).first()
