@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import telemetry as L
 from ..sources import contracts as C
 from ..sources import store as W
-from .tables import calls, document_kind, documents, index, order_items, order_sessions, spread, table
+from .tables import calls, document_kind, documents, index, order_key, order_sessions, spread, table
 
 
 def _priced(spark, sf_dir):
@@ -134,15 +134,18 @@ def erase_document(spark, sf_dir):
 
 
 def erase_cascade(spark, sf_dir):
-    """Rows left in every table after the pending orders are erased with everything below them."""
+    """Rows left in every table after the pending orders are erased with everything below them.
+
+    Items and suggestions carry their session; answers and evaluations are reached through the questions.
+    """
     sessions = order_sessions(spark, sf_dir)
-    items = order_items(spark, sf_dir)
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), order_key().alias("order_key"))
     lines = items.select("session_id", F.concat_ws("/", "session_id", "order_key").alias("item_id"))
     tables = {
         "sessions": sessions.select("session_id"),
         "match_report": sessions.select("session_id", F.col("session_id").alias("report_id")),
-        "match_item": lines.select(F.col("session_id").alias("report_id"), "item_id"),
-        "cv_suggestion": lines.select("item_id", F.col("item_id").alias("suggestion_id")),
+        "match_item": lines.select("session_id", F.col("session_id").alias("report_id"), "item_id"),
+        "cv_suggestion": lines.select("session_id", "item_id", F.col("item_id").alias("suggestion_id")),
         "question": lines.select("session_id", F.col("item_id").alias("question_id")),
         "answer": lines.select(F.col("item_id").alias("question_id"), F.col("item_id").alias("answer_id")),
         "evaluation": lines.select(F.col("item_id").alias("answer_id"), F.col("item_id").alias("evaluation_id")),
@@ -150,12 +153,11 @@ def erase_cascade(spark, sf_dir):
     }
     tombstones = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("session_id"))
     left = W.erase_sessions(tables, tombstones)
-    counts = [
-        df.agg(F.count("*").alias("n_rows"), F.count(df["session_id"] if "session_id" in df.columns else F.lit(1)).alias("with_session"))
-        .select(F.lit(name).alias("table"), "n_rows", "with_session")
+    rows = [
+        df.select(F.lit(name).alias("table"), (df["session_id"].isNotNull() if "session_id" in df.columns else F.lit(True)).alias("known"))
         for name, df in left.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), counts)
+    return reduce(lambda a, b: a.unionByName(b), rows).groupBy("table").agg(F.count("*").alias("n_rows"), F.count_if("known").alias("with_session"))
 
 
 def memo_misses(spark, sf_dir):

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 
 CATEGORY = ("must_have", "nice_to_have")
 KIND = ("evidenceable", "behavioural")
@@ -118,21 +117,16 @@ def broken(rules: dict, payload) -> Column:
 
 
 def check_json(rows: DataFrame, contract: str, payload: str = "payload") -> DataFrame:
-    """Add ``violations`` of a JSON column. Bound once, so a payload is parsed once for all rules."""
+    """Add ``violations`` of a JSON column.
+
+    The parsed payload comes out of a generator, which filters on the outcome do not pass: it is parsed once for
+    all rules, and the rules are plain columns.
+    """
     schema, rules = CONTRACTS[contract]
     parsed = F.from_json(payload, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return rows.withColumn(
-        "violations",
-        T.let(
-            parsed,
-            lambda p: F.when(p.isNull() | p["_bad"].isNotNull(), F.array(F.lit("malformed"))).otherwise(broken(rules, p)),
-        ),
-    )
-
-
-def parse(rows: DataFrame, contract: str, payload: str = "payload") -> DataFrame:
-    """Add the typed payload as ``p``."""
-    return rows.withColumn("p", F.from_json(payload, CONTRACTS[contract][0]))
+    p = F.col("_p")
+    checked = F.when(p.isNull() | p["_bad"].isNotNull(), F.array(F.lit("malformed"))).otherwise(broken(rules, p))
+    return rows.select("*", F.explode(F.array(parsed)).alias("_p")).select(*[F.col(f"`{c}`") for c in rows.columns], checked.alias("violations"))
 
 
 def check_request(rows: DataFrame, request: str) -> DataFrame:

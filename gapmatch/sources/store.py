@@ -41,21 +41,32 @@ CHILDREN = {
 
 
 def erase_sessions(tables: dict[str, DataFrame], tombstones: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the erased sessions, following the keys down from ``sessions``.
+    """Every table without the erased sessions. Call telemetry stays, with its session forgotten.
 
-    The keys to drop are found by semi-joins from the parent's dropped keys; each table is scanned
-    once. Call telemetry stays, with its session forgotten.
+    A table that carries ``session_id`` beside its own keys, as children should from the day they are written, is
+    one scan and one anti-join with the erased sessions. Others follow their keys up to the nearest table that
+    carries it: the erased keys of those parents are found by semi-joins, and only for tables that need them.
     """
-    gone = {"sessions": tombstones.select("session_id").distinct()}
-    left = {"sessions": tables["sessions"].join(gone["sessions"], "session_id", "left_anti")}
-    for name, (key, parent, column) in CHILDREN.items():
-        if name not in tables:
-            continue
-        parent_gone = gone[parent]
-        left[name] = tables[name].join(parent_gone, column, "left_anti")
-        gone[name] = tables[name].join(parent_gone, column, "left_semi").select(key).distinct()
+    erased = tombstones.select("session_id").distinct()
+    owned = {name for name, df in tables.items() if "session_id" in df.columns}
+
+    def gone(name: str) -> DataFrame:
+        """Erased keys of a table under its own key column."""
+        if name == "sessions":
+            return erased
+        key, parent, column = CHILDREN[name]
+        if name in owned:
+            return tables[name].join(erased, "session_id", "left_semi").select(key).distinct()
+        return tables[name].join(gone(parent), column, "left_semi").select(key).distinct()
+
+    left = {"sessions": tables["sessions"].join(erased, "session_id", "left_anti")}
+    for name, (_, parent, column) in CHILDREN.items():
+        if name in owned:
+            left[name] = tables[name].join(erased, "session_id", "left_anti")
+        elif name in tables:
+            left[name] = tables[name].join(gone(parent), column, "left_anti")
     if "llm_call" in tables:
-        mark = gone["sessions"].withColumn("_gone", F.lit(True))
+        mark = erased.withColumn("_gone", F.lit(True))
         left["llm_call"] = (
             tables["llm_call"].join(mark, "session_id", "left")
             .withColumn("session_id", F.when(F.col("_gone").isNull(), F.col("session_id")))

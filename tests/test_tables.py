@@ -17,6 +17,8 @@ def test_contracts_quarantine_with_reasons(spark):
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)] + [(4, "{oops")], "i int, payload string")
     got = {r.i: r.violations for r in C.check_json(df, "evaluation").collect()}
     assert got == {0: [], 1: ["rubric"], 2: ["criterion_range"], 3: ["criteria_size", "overall_score"], 4: ["malformed"]}
+    plan = C.quarantined(C.check_json(df, "evaluation"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
     report = spark.createDataFrame([('{"overall_score": 100.4, "verdict": "v", "summary": "s"}',), ('{"overall_score": 100.6, "verdict": "v"}',)], "payload string")
     assert [r.violations for r in C.check_json(report, "match_report").collect()] == [[], ["overall_score", "summary"]]
     assert C.accepted(C.check_json(report, "match_report")).count() == 1
@@ -51,6 +53,19 @@ def test_erasure_reaches_every_child_and_keeps_telemetry(spark):
     assert sorted(str(r.session_id) for r in left["llm_call"].collect()) == ["2", "None"]
 
 
+def test_tables_that_carry_their_session_are_erased_without_their_parents(spark, tmp_path):
+    for name, rows, schema in (("sessions", [(1,), (2,)], "session_id int"), ("question", [(10, 1), (20, 2)], "question_id int, session_id int"),
+                               ("answer", [(100, 10, 1), (200, 20, 2)], "answer_id int, question_id int, session_id int"),
+                               ("evaluation", [(7, 100), (8, 200)], "evaluation_id int, answer_id int")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+    tables = {n: spark.read.parquet(str(tmp_path / n)) for n in ("sessions", "question", "answer", "evaluation")}
+    left = W.erase_sessions(tables, spark.createDataFrame([(1,)], "session_id int"))
+    assert {n: [r[f"{n}_id"] for r in x.withColumnRenamed("session_id", "sessions_id").collect()] for n, x in left.items()} == {
+        "sessions": [2], "question": [20], "answer": [200], "evaluation": [8]}
+    scans = {n: x._jdf.queryExecution().executedPlan().toString().count("FileScan") for n, x in left.items()}
+    assert scans == {"sessions": 1, "question": 1, "answer": 1, "evaluation": 2}
+
+
 def test_schema_drift(spark):
     stored = spark.createDataFrame([(1,)], "a int")
     ok = t.StructType([t.StructField("a", t.IntegerType()), t.StructField("b", t.StringType())])
