@@ -202,6 +202,11 @@ def child_chunks(parent_rows: DataFrame, label: str, key: str = "doc_key", keep:
     )
 
 
+def document_of(chunk_id: Column) -> Column:
+    """The document key inside a chunk id of either strategy."""
+    return F.regexp_replace(chunk_id, r"-(s\d+-p|f)\d+-c\d+$", "")
+
+
 def fixed_chunks(docs: DataFrame, key: str = "doc_key", keep: tuple = ()) -> DataFrame:
     """Structure-blind baseline: every window of the joined pages is its own parent."""
     joined = docs.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import text as T
+from .chunking import document_of
 from .retrieval import RetrievalConfig
 
 #: What each configuration of the comparison leaves out, and one with other chunks.
@@ -91,6 +92,31 @@ def match_label(requirements: DataFrame, labels: DataFrame, keys: list[str]) ->
     return requirements.join(met, keys, "left")
 
 
+def grounding_outcomes(items: DataFrame, passages: DataFrame, sources: DataFrame, labels: DataFrame) -> DataFrame:
+    """Verdicts with the columns the grounding metrics read.
+
+    The quote is sought in the whole document it cites (``sources``: doc_key, text) and in the passages
+    retrieved for its requirement.
+    """
+    key = ["scope", "query_id"]
+    quote = T.normalise(F.col("evidence_quote"))
+    in_context = (
+        items.join(passages.select(*key, F.col("text").alias("passage")), key)
+        .groupBy(*key)
+        .agg(F.max(F.contains(T.normalise(F.col("passage")), quote)).alias("quote_in_context"))
+    )
+    asked = items.withColumn("requirement", F.col("text")).withColumn("doc_key", document_of(F.col("evidence_chunk_id")))
+    return (
+        match_label(asked, labels, key)
+        .join(in_context, key, "left")
+        .join(sources.select("doc_key", T.normalise(F.col("text")).alias("source_text")), "doc_key", "left")
+        .select(
+            *key, "requirement", F.col("status").alias("predicted"), "expected", "category", F.col("evidence_quote").alias("quote"),
+            F.when(quote.isNotNull(), F.coalesce(F.contains("source_text", quote), F.lit(False))).alias("quote_in_source"), "quote_in_context", "kind",
+        )
+    )
+
+
 def grounding_metrics(items: DataFrame, *by: str) -> DataFrame:
     """``items``: predicted, expected (null = unlabelled), quote (null = none), quote_in_source,
     quote_in_context."""

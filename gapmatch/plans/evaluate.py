@@ -40,27 +40,6 @@ def _pair_texts(spark: SparkSession, folder: str, column: str) -> DataFrame:
     return pairs.join(files, "file").select("scope", F.concat(F.lit(column), "scope").alias("doc_key"), "text")
 
 
-def grounding_outcomes(items: DataFrame, passages: DataFrame, sources: DataFrame, labels: DataFrame) -> DataFrame:
-    """Items with the columns the grounding metrics read."""
-    key = ["scope", "query_id"]
-    quote = T.normalise(F.col("evidence_quote"))
-    in_context = (
-        items.join(passages.select(*key, F.col("text").alias("passage")), key)
-        .groupBy(*key)
-        .agg(F.max(F.contains(T.normalise(F.col("passage")), quote)).alias("quote_in_context"))
-    )
-    asked = items.withColumn("requirement", F.col("text"))
-    return (
-        E.match_label(asked, labels, key)
-        .join(in_context, key, "left")
-        .join(sources.select("scope", T.normalise(F.col("text")).alias("source_text")), "scope")
-        .select(
-            *key, "requirement", F.col("status").alias("predicted"), "expected", "category", F.col("evidence_quote").alias("quote"),
-            F.contains("source_text", quote).alias("quote_in_source"), "quote_in_context", "kind",
-        )
-    )
-
-
 def quality_metrics(spark: SparkSession, folder: str, digest: str = "md5") -> DataFrame:
     """One row per configuration of the ablation grid: retrieval and grounding metrics side by side."""
     embed = hashed_embedder(digest=digest)
@@ -80,7 +59,7 @@ def quality_metrics(spark: SparkSession, folder: str, digest: str = "md5") -> Da
         retrieval = E.retrieval_metrics(E.first_relevant(ranked, ix.children, wanted))
         passages = written(R.retrieve(ix.children, ix.parents, reqs, cfg, embed=embed, lexicon=ix.lexicon), "passages", ("scope", "query_id", "rank"))
         items = written(V.verify_citations(V.verdicts(reqs, passages), passages), "items")
-        outcomes = grounding_outcomes(items, passages, cvs, labels)
+        outcomes = E.grounding_outcomes(items, passages, cvs, labels)
         reports = P.match_reports(items.withColumnRenamed("scope", "session_id").withColumn("order_key", F.col("query_id").cast("int")).withColumn("requirement", F.col("text")))
         stated = E.numeric_consistency(reports, outcomes.filter("kind = 'evidenceable'").withColumnRenamed("scope", "session_id"))
         judged = V.heuristic_judge(items, passages)

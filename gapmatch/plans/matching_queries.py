@@ -115,19 +115,18 @@ def refused_postings(spark, sf_dir):
     return P.refused_sessions(docs, Q.extract(docs, "doc_key"), "doc_key")
 
 
-def label_match(spark, sf_dir):
-    """First label phrase that occurs in a requirement: the label phrases of a session are the opening
-    words of its documents."""
-    labels = (
-        documents(spark, sf_dir)
-        .join(table(spark, sf_dir, "labels"), "doc_id")
-        .select(
-            "scope", F.col("doc_id").alias("label_pos"), F.regexp_extract("text", r"^\S+", 0).alias("phrase"), _expected().alias("expected"),
-        )
-        .filter("length(phrase) >= 2")
+def _labels(spark, sf_dir):
+    """Label phrases of a session: every distinctive term of the whole texts of its labelled documents."""
+    labelled = table(spark, sf_dir, "labels").select("doc_id", _expected().alias("expected"))
+    return spread(documents(spark, sf_dir).select("scope", "doc_id", "text")).join(labelled, "doc_id").select(
+        "scope", F.col("doc_id").alias("label_pos"), F.explode(T.salient_terms(F.col("text"))).alias("phrase"), "expected"
     )
+
+
+def label_match(spark, sf_dir):
+    """First label phrase that occurs in a requirement."""
     asked = posting_items(spark, sf_dir).select("scope", "query_id", F.col("text").alias("requirement"))
-    return E.match_label(asked, labels, ["scope", "query_id"]).select("scope", "query_id", "expected")
+    return E.match_label(asked, _labels(spark, sf_dir), ["scope", "query_id"]).select("scope", "query_id", "expected")
 
 
 def _expected():
@@ -135,22 +134,9 @@ def _expected():
 
 
 def _outcomes(spark, sf_dir):
-    """Documents as items: the label is the expected status, a rule on the text the predicted one, and
-    the quote is the first sentence of the document (or of its neighbour, for every seventh)."""
-    docs = spread(documents(spark, sf_dir).select("scope", "doc_id", "text"))
-    parts = docs.select(
-        "scope", "doc_id", T.normalise(F.col("text")).alias("norm"),
-        F.try_element_at(T.sentences(F.col("text")), F.lit(1)).alias("first"), T.quantity_mentions(F.col("text")).alias("numbers"),
-    )
-    labels = table(spark, sf_dir, "labels").select("doc_id", _expected().alias("expected"))
-    predicted = F.when(F.col("first").isNull(), "missing").when(F.col("numbers") > 0, "partial").otherwise("strong")
-    quote = F.when(predicted == "missing", F.lit(None)).when(F.col("doc_id") % 7 == 3, F.concat(F.lit("zq "), "first")).when(
-        F.col("doc_id") % 11 == 5, F.lit(None)).otherwise(F.col("first"))
-    return parts.join(labels, "doc_id", "left").select(
-        "scope", "doc_id", predicted.alias("predicted"), "expected", quote.alias("quote"), "norm"
-    ).withColumn("quote_in_source", F.contains("norm", T.normalise(F.col("quote")))).withColumn(
-        "quote_in_context", F.contains(F.left("norm", F.lit(60)), T.normalise(F.col("quote")))
-    ).drop("norm")
+    """The engine's own verdicts against the labels."""
+    sources = documents(spark, sf_dir).select("doc_key", "text")
+    return E.grounding_outcomes(judged_items(spark, sf_dir), passages(spark, sf_dir), sources, _labels(spark, sf_dir))
 
 
 def grounding_metrics(spark, sf_dir):
@@ -158,7 +144,15 @@ def grounding_metrics(spark, sf_dir):
 
 
 def grounding_disagreements(spark, sf_dir):
-    return E.disagreements(_outcomes(spark, sf_dir)).select("doc_id", "predicted", "expected", F.left("quote", F.lit(70)).alias("quote"))
+    return E.disagreements(_outcomes(spark, sf_dir)).select("scope", "query_id", "predicted", "expected", "quote")
+
+
+def grounding_rollup(spark, sf_dir):
+    """Metric rows of the whole suite: grounding, counts stated in summaries, support by the judge."""
+    stated = summary_consistency(spark, sf_dir).agg(F.round(E.share(F.col("consistent")), 6).alias("summary_numeric_consistency"))
+    judged = judge_support(spark, sf_dir).agg(F.round(E.share(F.col("supported")), 6).alias("judge_support_rate"))
+    rows = E.long_metrics(E.grounding_metrics(_outcomes(spark, sf_dir)), "grounding")
+    return rows.union(E.long_metrics(stated, "summary")).union(E.long_metrics(judged, "judge"))
 
 
 def summary_consistency(spark, sf_dir):
@@ -199,6 +193,6 @@ QUERIES = {
     for f in (
         idf, weighted_coverage, pivot_gate, best_sentence, best_evidence, verdicts, match_report, report_digest,
         citation_check, kind_carry, requirement_extract, refused_postings, label_match, grounding_metrics,
-        grounding_disagreements, summary_consistency, judge_support, letter_material, bullet_gate,
+        grounding_disagreements, grounding_rollup, summary_consistency, judge_support, letter_material, bullet_gate,
     )
 }

@@ -116,16 +116,28 @@ CITED = ITEM_CTES + [
     ("spans", "SELECT scope, query_id, substring(hay, instr(lower(hay), lower(needle)), length(needle)) AS span FROM tried WHERE needle <> '' AND "
               "contains(lower(hay), lower(needle)) QUALIFY row_number() OVER (PARTITION BY scope, query_id ORDER BY rank) = 1"),
 ]
-OUTCOMES = P.sentence_ctes("documents", "doc_id") + [
-    ("oc0", f"SELECT d.source AS scope, d.doc_id, lower({P.squeeze('d.text')}) AS norm, s.sentence AS first, "
-            f"len(regexp_extract_all(d.text, {P.q(K.QUANTITY)})) AS numbers FROM documents d LEFT JOIN st s ON s.doc_id = d.doc_id AND s.pos = 0"),
-    ("oc1", "SELECT *, CASE WHEN first IS NULL THEN 'missing' WHEN numbers > 0 THEN 'partial' ELSE 'strong' END AS predicted FROM oc0"),
-    ("oc2", "SELECT *, CASE WHEN predicted = 'missing' THEN NULL WHEN doc_id % 7 = 3 THEN 'zq ' || first WHEN doc_id % 11 = 5 THEN NULL ELSE first END AS quote FROM oc1"),
-    ("oc", f"SELECT scope, doc_id, predicted, {EXPECTED} AS expected, l.doc_id IS NOT NULL AS labelled, quote, contains(norm, lower({P.squeeze('quote')})) AS src, "
-           f"contains(norm[1:60], lower({P.squeeze('quote')})) AS ctx FROM oc2 LEFT JOIN labels l USING (doc_id)"),
-    ("ob", "SELECT * REPLACE (CASE WHEN labelled THEN expected END AS expected) FROM oc"),
+LABELS = [
+    ("lt", f"SELECT source AS scope, doc_id AS pos, unnest({P.salient('text')}) AS phrase, {EXPECTED} AS expected FROM documents JOIN labels USING (doc_id)"),
+    ("lq", "SELECT q.scope, q.query_id, min_by(lt.expected, pos) AS expected FROM queries q LEFT JOIN lt ON lt.scope = q.scope AND contains(lower(q.text), phrase) GROUP BY ALL"),
 ]
+OUTCOMES = LABELS + [
+    ("cx", f"SELECT i.scope, i.query_id, bool_or(contains(lower({SQZ}), lower({P.squeeze('evidence_quote')}))) AS ctx FROM items i JOIN ps p USING (scope, query_id) GROUP BY ALL"),
+    ("ob", f"SELECT i.scope, i.query_id, status AS predicted, expected, evidence_quote AS quote, contains(lower({P.squeeze('d.text')}), lower({P.squeeze('evidence_quote')})) "
+           "AS src, ctx FROM items i JOIN lq USING (scope, query_id) LEFT JOIN cx USING (scope, query_id) "
+           "LEFT JOIN documents d ON d.doc_id = try_cast(regexp_extract(evidence_chunk_id, '^cv(\\d+)-', 1) AS BIGINT)"),
+]
+GROUNDING = (
+    "count(*) AS requirements, count(expected) AS labelled, round(avg(src::INT) FILTER (quote IS NOT NULL), 6) AS citation_validity, "
+    "round(avg(ctx::INT) FILTER (quote IS NOT NULL), 6) AS citation_in_context, coalesce(round(avg((quote IS NULL)::INT) FILTER (predicted <> 'missing'), 6), 0) "
+    "AS unsupported_verdict_rate, round(avg((predicted = expected)::INT), 6) AS status_accuracy, "
+    "round(avg((abs({p} - {e}) <= 1)::INT) FILTER (expected IS NOT NULL), 6) AS status_within_one, "
+    "round(avg((predicted <> 'missing')::INT) FILTER (expected = 'missing'), 6) AS false_evidence_rate, round(avg((predicted = 'missing')::INT) "
+    "FILTER (expected = 'strong'), 6) AS missed_evidence_rate FROM ob"
+)
+GROUNDING_METRICS = ("requirements labelled citation_validity citation_in_context unsupported_verdict_rate status_accuracy status_within_one "
+                     "false_evidence_rate missed_evidence_rate").split()
 ORD = "(CASE {0} WHEN 'missing' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END)"
+GROUNDING = GROUNDING.format(p=ORD.format("predicted"), e=ORD.format("expected"))
 
 # --- requirement extraction ----------------------------------------------------------------
 CAPS = P.only_capitals("t")
@@ -174,20 +186,10 @@ ORACLES = {
                                                       "ELSE 'behavioural' END AS kind FROM posting"),
     "requirement_extract": P.with_(EXTRACT, f"SELECT doc_key, order_index, text, category, {KIND} AS kind FROM rx"),
     "refused_postings": P.with_(EXTRACT, "SELECT doc_key, 'no_requirements' AS status FROM dt ANTI JOIN rx USING (doc_key)"),
-    "label_match": P.with_(
-        [P.SESSION_QUERIES,
-         ("lb", f"SELECT source AS scope, doc_id AS pos, regexp_extract(text, '^\\S+') AS phrase, {EXPECTED} AS expected FROM documents JOIN labels USING (doc_id)")],
-        "SELECT q.scope, q.query_id, min_by(expected, pos) AS expected FROM queries q LEFT JOIN lb ON lb.scope = q.scope AND length(phrase) >= 2 AND "
-        "contains(lower(q.text), lower(phrase)) GROUP BY ALL"),
-    "grounding_metrics": P.with_(
-        OUTCOMES,
-        "SELECT scope, count(*) AS requirements, count(expected) AS labelled, round(avg(src::INT) FILTER (quote IS NOT NULL), 6) AS citation_validity, "
-        "round(avg(ctx::INT) FILTER (quote IS NOT NULL), 6) AS citation_in_context, coalesce(round(avg((quote IS NULL)::INT) FILTER (predicted <> 'missing'), 6), 0) "
-        "AS unsupported_verdict_rate, round(avg((predicted = expected)::INT), 6) AS status_accuracy, "
-        f"round(avg((abs({ORD.format('predicted')} - {ORD.format('expected')}) <= 1)::INT) FILTER (expected IS NOT NULL), 6) AS status_within_one, "
-        "round(avg((predicted <> 'missing')::INT) FILTER (expected = 'missing'), 6) AS false_evidence_rate, round(avg((predicted = 'missing')::INT) "
-        "FILTER (expected = 'strong'), 6) AS missed_evidence_rate FROM ob GROUP BY scope"),
-    "grounding_disagreements": P.with_(OUTCOMES, "SELECT doc_id, predicted, expected, quote[1:70] AS quote FROM ob WHERE expected IS NOT NULL AND predicted <> expected"),
+    "label_match": P.with_([P.SESSION_QUERIES] + LABELS, "SELECT scope, query_id, expected FROM lq"),
+    "grounding_metrics": P.with_(ITEM_CTES + OUTCOMES, f"SELECT scope, {GROUNDING} GROUP BY scope"),
+    "grounding_disagreements": P.with_(
+        ITEM_CTES + OUTCOMES, "SELECT scope, query_id, predicted, expected, quote FROM ob WHERE expected IS NOT NULL AND predicted <> expected"),
     "summary_consistency": P.with_(
         REPORT, "SELECT session_id, session_id[4:]::INT % 3 <> 0 AND n_scored = n_scored AS consistent FROM rp"),
     "judge_support": P.with_(
@@ -217,3 +219,10 @@ ORACLES = {
         "SELECT session_id, order_key, len(ph)::INT AS n_placeholders, CASE WHEN status = 'strong' THEN 'already_evidenced' WHEN evidence_quote IS NULL AND "
         "len(list_filter(ph, lambda w_: contains(bullet, w_))) < 2 THEN 'finished_claim' ELSE '' END AS refusal FROM bg"),
 }
+SUPPORT = ORACLES["judge_support"]
+ORACLES["grounding_rollup"] = P.with_(
+    REPORT + OUTCOMES + [("gm", f"SELECT {GROUNDING}")],
+    " UNION ALL ".join(f"SELECT 'grounding' AS suite, '{m}' AS metric, {m}::DOUBLE AS value FROM gm" for m in GROUNDING_METRICS)
+    + " UNION ALL SELECT 'summary', 'summary_numeric_consistency', round(avg((session_id[4:]::INT % 3 <> 0)::INT), 6) FROM rp"
+    + f" UNION ALL SELECT 'judge', 'judge_support_rate', (SELECT round(avg(supported::INT), 6) FROM ({SUPPORT}) x)",
+)

@@ -139,3 +139,18 @@ def test_money(spark):
     assert L.spend_gate(priced, 0.0035).first().refused and not L.spend_gate(priced, 0).first().refused
     assert L.spend_gate(priced.limit(0)).first().refused is False
     assert [r.model for r in L.unpriced(calls, L.rate_table(spark)).collect()] == ["mystery"]
+
+
+def test_quotes_are_sought_in_the_document_they_cite(spark):
+    items = spark.createDataFrame(
+        [("s", "1", "Runs Kafka", "strong", "must_have", "evidenceable", "Ran  kafka daily", "cv1-s0-p0-c0"),
+         ("s", "2", "Knows Rust", "strong", "must_have", "evidenceable", "ran kafka daily", "cv2-f3-c0"),
+         ("s", "3", "Speaks Greek", "missing", "must_have", "evidenceable", None, None)],
+        "scope string, query_id string, text string, status string, category string, kind string, evidence_quote string, evidence_chunk_id string")
+    passages = spark.createDataFrame([("s", "1", "We ran Kafka daily."), ("s", "1", "Else."), ("s", "2", "Nothing.")], "scope string, query_id string, text string")
+    sources = spark.createDataFrame([("cv1", "x" * 500 + " We ran Kafka\ndaily."), ("cv2", "No such line.")], "doc_key string, text string")
+    labels = spark.createDataFrame([("s", 1, "kafka", "strong"), ("s", 2, "rust", "missing"), ("t", 3, "greek", "missing")],
+                                   "scope string, label_pos int, phrase string, expected string")
+    got = E.grounding_outcomes(items, passages, sources, labels).orderBy("query_id").collect()
+    assert [(g.predicted, g.expected, g.quote_in_source, g.quote_in_context) for g in got] == [
+        ("strong", "strong", True, True), ("strong", "missing", False, False), ("missing", None, None, None)]
