@@ -57,7 +57,7 @@ def sections(pages: Column) -> Column:
             ),
         )
 
-        def section(start, j):
+        def section(starts, start, j):
             stop = F.coalesce(F.get(starts, j + 1), F.size(rows) + 1)
             head = F.get(rows, start - 1)
             body = F.transform(
@@ -71,7 +71,10 @@ def sections(pages: Column) -> Column:
                 T.strip(F.array_join(body, "\n")).alias("body"),
             )
 
-        return F.filter(F.transform(starts, section), lambda s: s["body"] != "")
+        return T.let(
+            starts,
+            lambda bound: F.filter(F.transform(bound, lambda start, j: section(bound, start, j)), lambda s: s["body"] != ""),
+        )
 
     found = T.let(_page_lines(pages), cut)
     whole_pages = F.transform(
@@ -109,7 +112,8 @@ def parents(body: Column) -> Column:
 
 
 def windows(text: Column) -> Column:
-    """array<struct<start:int,text:string>>: overlapping child windows cut at blanks.
+    """array<struct<start:int,first:int,text:string>>: overlapping child windows cut at blanks, with the
+    positions of their first character and of the first that is not blank.
 
     Each window starts where the one before ended, so this is a fold. The text is first cut into
     fixed blocks; a window reads from two neighbouring blocks only, which keeps the fold linear in
@@ -117,6 +121,9 @@ def windows(text: Column) -> Column:
     """
     size, overlap = K.CHILD_CHARS, K.CHILD_OVERLAP
 
+    def blanks(piece: Column) -> Column:
+        return F.length(piece) - F.length(F.regexp_replace(piece, K.wide(r"^\s+"), ""))
+
     def fold(row: Column) -> Column:
         blocks, n = row["blocks"], row["n"]
         step = size // 2 - overlap  # least advance of a window
@@ -138,7 +145,7 @@ def windows(text: Column) -> Column:
                 F.least(start + size, n)
             )
             piece = F.struct(
-                start.alias("start"), T.strip(F.left(window, stop - start)).alias("text")
+                start.alias("start"), (start + blanks(window)).alias("first"), T.strip(F.left(window, stop - start)).alias("text")
             )
             return F.when(acc["next"] < 0, acc).otherwise(
                 F.struct(
@@ -151,7 +158,7 @@ def windows(text: Column) -> Column:
 
         zero = F.struct(
             F.lit(0).alias("next"),
-            F.expr("cast(array() as array<struct<start:int,text:string>>)").alias("out"),
+            F.expr("cast(array() as array<struct<start:int,first:int,text:string>>)").alias("out"),
         )
         return F.aggregate(rounds, zero, advance, lambda acc: acc["out"])
 
@@ -160,7 +167,7 @@ def windows(text: Column) -> Column:
         F.length(text).alias("n"),
     )
     cut = F.filter(T.let(row, fold), lambda w: w["text"] != "")
-    whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("text")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), blanks(text).alias("first"), text.alias("text")))
     return F.when(F.length(text) <= size, whole).otherwise(cut)
 
 
@@ -228,32 +235,22 @@ def fixed_chunks(docs: DataFrame, key: str = "doc_key", keep: tuple = ()) -> Dat
             lambda acc: acc["out"],
         ).alias("offsets"),
     )
-    cut = joined.select(
-        *keep, key, "offsets", "full", F.posexplode(windows(F.col("full"))).alias("i", "w")
-    )
-    # The page of a piece is the last one starting at or before the piece's first visible character.
-    first = F.col("w.start") + (
-        F.length(F.substr("full", F.col("w.start") + 1, F.lit(K.CHILD_CHARS)))
-        - F.length(
-            F.regexp_replace(
-                F.substr("full", F.col("w.start") + 1, F.lit(K.CHILD_CHARS)), K.wide(r"^\s+"), ""
-            )
-        )
-    )
-    page = F.coalesce(
-        F.try_element_at(F.filter("offsets", lambda o: o["at"] <= F.col("at")), F.lit(-1))["number"],
-        F.lit(1),
-    )
-    return (
-        cut.withColumn("at", first)
-        .withColumn("page", page)
-        .select(
-            *keep, key,
-            F.format_string("%s-f%d", F.col(key), "i").alias("parent_id"),
-            F.format_string("%s-f%d-c0", F.col(key), "i").alias("chunk_id"),
-            F.lit("").alias("section"), "page",
-            F.col("w.text").alias("text"), F.col("w.text").alias("embed_text"),
-        )
+    # The page of a piece is the last one starting at or before the piece's first visible character. It is
+    # found before the pieces become rows, which then carry neither the whole text nor the page offsets.
+    def placed(offsets: Column) -> Column:
+        def page(first: Column) -> Column:
+            before = F.filter(offsets, lambda o: o["at"] <= first)
+            return F.coalesce(F.try_element_at(before, F.lit(-1))["number"], F.lit(1))
+
+        return F.transform(windows(F.col("full")), lambda w: F.struct(page(w["first"]).alias("page"), w["text"].alias("text")))
+
+    cut = joined.select(*keep, key, F.posexplode(T.let(F.col("offsets"), placed)).alias("i", "w"))
+    return cut.select(
+        *keep, key,
+        F.format_string("%s-f%d", F.col(key), "i").alias("parent_id"),
+        F.format_string("%s-f%d-c0", F.col(key), "i").alias("chunk_id"),
+        F.lit("").alias("section"), F.col("w.page").alias("page"),
+        F.col("w.text").alias("text"), F.col("w.text").alias("embed_text"),
     )
 
 

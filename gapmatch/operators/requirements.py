@@ -112,10 +112,13 @@ def _deduped(found: Column) -> Column:
     )
 
     def first_only(rows):
-        names = F.transform(rows, lambda r: r["key"])
-        return F.filter(rows, lambda r, i: (r["key"] != "") & (F.array_position(names, r["key"]) == i + 1))
+        def picked(names):
+            kept = F.slice(F.filter(F.array_distinct(names), lambda k: k != ""), 1, K.REQUIREMENT_CAP)
+            return F.transform(kept, lambda k: F.get(rows, F.array_position(names, k).cast("int") - 1))
 
-    return F.slice(T.let(keyed, first_only), 1, K.REQUIREMENT_CAP)
+        return T.let(F.transform(rows, lambda r: r["key"]), picked)
+
+    return T.let(keyed, first_only)
 
 
 def requirements(text: Column) -> Column:
