@@ -104,9 +104,10 @@ def refused_sessions(sessions: DataFrame, requirements: DataFrame, key: str = "s
 
 # --- letters, bullets, display -----------------------------------------------------------
 def letter_material(items: DataFrame, sessions: DataFrame, key: str = "session_id") -> DataFrame:
-    """(key, claims, forbidden_count): the claims a letter may make, achievements first.
+    """(key, claims array<struct<requirement,quote,confidence>>, forbidden array<string>).
 
-    ``sessions`` brings ``target_role``. Claims are cut to the letter's paragraphs before collecting.
+    The claims a letter may make, achievements first, cut to the letter's paragraphs before collecting; and the
+    requirements it must not claim, in the order of the posting. ``sessions`` brings ``target_role``.
     """
     strong = items.filter("status = 'strong' and evidence_quote is not null and evidence_quote <> ''")
     usable = strong.join(sessions.select(key, "target_role"), key).filter(
@@ -119,18 +120,33 @@ def letter_material(items: DataFrame, sessions: DataFrame, key: str = "session_i
         usable.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= K.LETTER_CLAIMS)
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("place", "requirement"))).alias("kept"))
-        .select(key, F.col("kept.requirement").alias("claims"))
+        .agg(F.array_sort(F.collect_list(F.struct(
+            "place", F.struct("requirement", F.col("evidence_quote").alias("quote"), F.bround("confidence", 2).alias("confidence")).alias("claim")
+        ))).alias("kept"))
+        .select(key, F.col("kept.claim").alias("claims"))
     )
     forbidden = items.filter("status = 'missing' and category = 'must_have' and kind = 'evidenceable'")
     return (
         sessions.select(key)
         .join(claims, key, "left")
-        .join(forbidden.groupBy(key).agg(F.count("*").alias("forbidden")), key, "left")
-        .select(key, F.coalesce("claims", T.no_strings()).alias("claims"), F.coalesce("forbidden", F.lit(0)).alias("forbidden"))
+        .join(forbidden.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("order_key", "requirement"))).alias("held")), key, "left")
+        .select(
+            key, F.coalesce("claims", F.array().cast(claims.schema["claims"].dataType)).alias("claims"),
+            F.coalesce(F.col("held.requirement"), T.no_strings()).alias("forbidden"),
+        )
     )
 
 
+def letter_lines(material: DataFrame) -> DataFrame:
+    """``letter_material`` as text: a claim with its confidence and quote, and the forbidden requirements."""
+    def line(c: Column) -> Column:
+        return F.format_string("%s [%.2f] %s", c["requirement"], c["confidence"], c["quote"])
+
+    return material.withColumn("claims", F.array_join(F.transform("claims", line), " | ")).withColumn(
+        "n_forbidden", F.size("forbidden")
+    ).withColumn("forbidden", F.array_join("forbidden", " | "))
+
+
 def gate_bullets(bullets: DataFrame) -> DataFrame:
     """Add ``refusal``: strong items need no bullet; an unevidenced one must stay a template.
 

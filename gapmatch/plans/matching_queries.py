@@ -173,8 +173,7 @@ def letter_material(spark, sf_dir):
     sessions = posting_items(spark, sf_dir).select(F.col("scope").alias("session_id")).distinct().withColumn(
         "target_role", F.lit("that the of and")
     )
-    out = P.letter_material(report_items(spark, sf_dir), sessions)
-    return out.withColumn("claims", F.array_join("claims", " | "))
+    return P.letter_lines(P.letter_material(report_items(spark, sf_dir), sessions))
 
 
 def bullet_gate(spark, sf_dir):

@@ -146,8 +146,7 @@ def owned_only(spark, sf_dir):
 
 def order_letters(spark, sf_dir):
     """Letter claims of every order."""
-    out = P.letter_material(order_items(spark, sf_dir), order_sessions(spark, sf_dir))
-    return out.withColumn("claims", F.array_join("claims", " | "))
+    return P.letter_lines(P.letter_material(order_items(spark, sf_dir), order_sessions(spark, sf_dir)))
 
 
 def gap_keys(spark, sf_dir):

@@ -208,10 +208,10 @@ ORACLES = {
                    f"len({P.words('evidence_quote')}) >= 6 AS ach, len(list_distinct(list_filter({P.tokens('requirement')}, lambda z_: "
                    "z_ NOT IN ('that', 'the', 'of', 'and')))) <= 1 AND len(" + P.tokens("requirement") + ") > 0 AS rst FROM ri WHERE status = 'strong'"),
             ("lc", "SELECT * FROM lm WHERE NOT rst QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ach DESC, confidence DESC, order_key) <= 2"),
-            ("la", "SELECT session_id, string_agg(requirement, ' | ' ORDER BY ach DESC, confidence DESC, order_key) AS claims FROM lc GROUP BY 1"),
-            ("lf", f"SELECT session_id, count(*) AS n FROM ri WHERE {MUST} GROUP BY 1"),
+            ("la", "SELECT session_id, string_agg(printf('%s [%.2f] %s', requirement, confidence, evidence_quote), ' | ' ORDER BY ach DESC, confidence DESC, order_key) AS claims FROM lc GROUP BY 1"),
+            ("lf", f"SELECT session_id, count(*) AS n, string_agg(requirement, ' | ' ORDER BY order_key) AS held FROM ri WHERE {MUST} GROUP BY 1"),
         ],
-        "SELECT session_id, coalesce(claims, '') AS claims, coalesce(n, 0) AS forbidden FROM rp LEFT JOIN la USING (session_id) LEFT JOIN lf USING (session_id)"),
+        "SELECT session_id, coalesce(claims, '') AS claims, coalesce(held, '') AS forbidden, coalesce(n, 0)::INT AS n_forbidden FROM rp LEFT JOIN la USING (session_id) LEFT JOIN lf USING (session_id)"),
     "bullet_gate": P.with_(
         REPORT + [
             ("bg", "SELECT *, regexp_replace(requirement, '\\b([A-Z]\\w+)', '[\\1]', 'g') AS bullet, list_transform(regexp_extract_all(requirement, '\\b[A-Z]\\w+')[1:3], "

@@ -203,8 +203,8 @@ ORACLES = {
          ("ol", f"SELECT r.*, len(list_filter(list_distinct({P.tokens('requirement')}), lambda b1_: NOT list_contains({P.tokens('target_role')}, b1_))) <= 1 AND "
                 f"len({P.tokens('requirement')}) > 0 AND len({P.tokens('target_role')}) > 0 AS rst FROM ri r JOIN sess USING (session_id) WHERE status = 'strong'"),
          ("oc", "SELECT *, round_even(confidence::DECIMAL(9, 4), 2) AS c2 FROM ol WHERE NOT rst QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY c2 DESC, order_key) <= 2"),
-         ("oa", "SELECT session_id, string_agg(requirement, ' | ' ORDER BY c2 DESC, order_key) AS claims FROM oc GROUP BY 1"),
-         ("ofb", "SELECT session_id, count(*) AS n FROM ri WHERE kind = 'evidenceable' AND status = 'missing' AND category = 'must_have' GROUP BY 1")],
-        "SELECT session_id, coalesce(claims, '') AS claims, coalesce(n, 0) AS forbidden FROM sess LEFT JOIN oa USING (session_id) LEFT JOIN ofb USING (session_id)"),
+         ("oa", "SELECT session_id, string_agg(printf('%s [%.2f] %s', requirement, c2::DOUBLE, evidence_quote), ' | ' ORDER BY c2 DESC, order_key) AS claims FROM oc GROUP BY 1"),
+         ("ofb", "SELECT session_id, count(*) AS n, string_agg(requirement, ' | ' ORDER BY order_key) AS held FROM ri WHERE kind = 'evidenceable' AND status = 'missing' AND category = 'must_have' GROUP BY 1")],
+        "SELECT session_id, coalesce(claims, '') AS claims, coalesce(held, '') AS forbidden, coalesce(n, 0)::INT AS n_forbidden FROM sess LEFT JOIN oa USING (session_id) LEFT JOIN ofb USING (session_id)"),
     "gap_keys": P.with_([ITEMS], f"SELECT {GAP} AS gap_key, count(*) AS n FROM ri GROUP BY 1"),
 }
