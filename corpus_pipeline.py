@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id, once."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    """One document of each group of near-duplicates (similarity 0.8 or more) stays: the one with the smallest id, once."""
+    kept = near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
 
 
