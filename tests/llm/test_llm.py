@@ -122,6 +122,42 @@ def test_repeats_across_slices_and_blocks(spark, monkeypatch):
         suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=10)
 
 
+def shared_passage(n):
+    """Documents of random text around one passage: at its ends the runs differ in all of them."""
+    rng = np.random.default_rng(6)
+    own = ["".join(rng.choice(list("abcdefgh "), 160)) for _ in range(n)]
+    passage = "".join(rng.choice(list("stuvwxyz "), 150))
+    return [(i, t[: 60 + i % 7] + passage + t[60 + i % 7 :]) for i, t in enumerate(own)]
+
+
+def test_entries_do_not_grow_with_documents_that_share_a_passage():
+    rows = shared_passage(400)
+    body = "".join(t for _, t in rows).encode()
+    block = suffix_dedup._Block(0, [i for i, _ in rows], [len(t) for _, t in rows], suffix_dedup.zstandard.compress(body), 50)
+    (key, name, doc, _), entry, (run_key, _, start, count, owner) = block.entries(7, 8)
+    assert max(Counter(key.tolist()).values()) <= 8 and max(Counter(run_key.tolist()).values()) >= 390
+    assert np.array_equal(key[entry], run_key) and np.all(doc[entry] <= owner) and (name == suffix_dedup.MARK).any()
+    crowded = name[entry] == suffix_dedup.MARK
+    places = Counter()
+    for again, (window, rep, since), (number, at) in suffix_dedup._crowded_windows(block, run_key[crowded], start[crowded], count[crowded], owner[crowded]):
+        places.update(again.tolist() + at.tolist())
+        assert len(set(zip(window.tolist(), rep.tolist()))) == len(window) == number.max() + 1
+    assert places == Counter(p for s, c in zip(start[crowded].tolist(), count[crowded].tolist()) for p in range(s, s + c))
+
+
+def test_repeats_of_crowded_representatives_equal_brute_force(spark, documents, monkeypatch):
+    rows = shared_passage(300) + [(400 + i, "x" * (60 + 9 * i)) for i in range(20)] + [(7, "another row of the id seven " * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for runs, crowd in (((4, 64), 1 << 12), ((1, 1), 2), ((400, 400), 2)):
+        monkeypatch.setattr(suffix_dedup, "RUNS", runs)
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        got = suffix_dedup.remove_repeats(df).collect()
+        assert sorted(map(tuple, got)) == brute_repeats(rows)
+    monkeypatch.setattr(suffix_dedup, "RUNS", (1, 1))
+    monkeypatch.setattr(suffix_dedup, "CROWD", 0)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(documents).collect())) == brute_repeats(rows_of(documents))
+
+
 # --- 7: MinHash near-dedup -----------------------------------------------------------------------------------
 
 
