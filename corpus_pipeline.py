@@ -23,10 +23,15 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; a text that is null or has no letter goes. A missing lang is set to the prediction."""
+    """Documents with a language; a text that is null or has no letter goes. A missing lang is set to the prediction, if
+    there are labelled documents to learn from."""
     bounded_batches(spark)
-    found, language, _ = predicted(docs.filter("doc_id is not null"), learn(docs))
-    return found.filter(F.col(language) != "und").withColumn("lang", F.coalesce("lang", language)).select(*docs.columns)
+    model = learn(docs)
+    found, language, _ = predicted(docs.filter("doc_id is not null"), model)
+    found = found.filter(F.col(language).isNotNull())
+    if model.languages:
+        found = found.withColumn("lang", F.coalesce("lang", language))
+    return found.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

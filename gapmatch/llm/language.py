@@ -112,9 +112,11 @@ class _Scorer:
         return out
 
 
-def _guess(total: np.ndarray | None, languages: list[str]) -> tuple[str, float]:
-    if total is None or not languages:
-        return "und", 0.0
+def _guess(text: str | None, scorer: _Scorer) -> tuple[str | None, float]:
+    languages = scorer.model.languages
+    total = scorer.total(text) if text is not None and languages else None
+    if total is None:
+        return "und" if text is not None and not languages and any(_words(text)) else None, 0.0
     best = int(total.argmax())  # ties: the language with more labelled documents
     return languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
@@ -135,7 +137,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def predicted(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
-    """All columns of docs (text, ...) with two more, and the names of these (free ones): language and score."""
+    """All columns of docs (text, ...) with two more, and the names of these (free ones): language and score.
+
+    Language is null for a null text or one without letters, and ``und`` for any other if nothing could be learnt.
+    """
     names = []
     for name in ("lang_pred", "score"):
         while name.lower() in (c.lower() for c in docs.columns):
@@ -145,9 +150,9 @@ def predicted(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches):
-        languages, scorer = shared.value.languages, _Scorer(shared.value)
+        scorer = _Scorer(shared.value)
         for batch in batches:
-            got = [_guess(scorer.total(t.as_py()) if t.is_valid and languages else None, languages) for t in batch.column(at)]
+            got = [_guess(t.as_py(), scorer) for t in batch.column(at)]
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
 
@@ -164,4 +169,4 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     found, _, _ = predicted(source, learn(docs, per_language))
-    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), "score")

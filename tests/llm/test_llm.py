@@ -575,3 +575,17 @@ def test_pipeline_takes_near_copies_from_80_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_dedup(spark, docs, FOLDER)
     assert sorted(r["doc_id"] for r in got.collect()) == [r[0] for r in brute_near(rows, 80) if r[3]] == [1, 11, 12]
+
+
+def test_language_stage_keeps_lettered_documents_without_labels(spark, odd):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1)
+    tables = [odd.withColumn("lang", F.lit(None).cast("string"))]
+    tables.append(tables[0].union(spark.createDataFrame([(held, "some words", "en", "a", 10, "x", 1)], DOCS)))
+    for df in tables:
+        got = corpus_pipeline.language_id(spark, df, FOLDER)
+        want = [(i, t) for i, t in rows_of(df) if i is not None and t and any(c.isalpha() for c in t)]
+        assert want and sorted(rows_of(got)) == sorted(want) and got.columns == df.columns
+    # A label that reads like the sign for an unknown language loses nothing either.
+    named = odd.withColumn("lang", F.lit("und"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, named, FOLDER).collect()) == sorted(
+        i for i, t in rows_of(odd) if i is not None and t and any(c.isalpha() for c in t))
