@@ -133,6 +133,12 @@ def fit_in_one_task(sample: DataFrame, form: bool, fit) -> bytes:
     return bytes(found["model"]) if found else b""
 
 
+def first_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs for a bounded number of ids, a row per id: of several the text with the least hash."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    return texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def scored(docs: DataFrame, form: bool, names: list[str], value) -> DataFrame:
     """docs (doc_id, text): ``value(offsets, places)`` gives a list of double arrays, named ``names``."""
     def run(batches):

@@ -77,15 +77,14 @@ def quality(docs: DataFrame, ratings: DataFrame, wanted: float | None = None, sa
     """docs (doc_id, text), ratings (doc_id, rating). Returns (doc_id, held_out, expected_grade, tail, keep).
 
     ``tail`` is the probability of a rating of at least ``wanted`` (by default the best grade rated), ``keep`` whether
-    it is 0.5 or more. The sample is drawn by hash of the id outside the held-out fold, at most ``sample`` texts. Null
+    it is 0.5 or more. The sample is drawn by hash of the id outside the held-out fold, at most ``sample`` ratings, each with one text of its id. Null
     and empty texts have the features of their form only. With one grade rated, or none, everything is kept, and
     the expected grade is that grade, or null. Rows without an id take no part; null ratings are none.
     """
     spark = docs.sparkSession
     rated = ratings.select(F.col("doc_id").cast("long"), F.col("rating").cast("double")).filter("doc_id is not null and rating is not null")
     rated = rated.filter(X.fold(F.col("doc_id"), FOLDS) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "rating").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    chosen = texts.join(F.broadcast(rated), "doc_id").select(F.col("rating").alias("target"), "text")  # at most ``sample`` ids
+    chosen = X.first_texts(docs, rated).join(F.broadcast(rated), "doc_id").select(F.col("rating").alias("target"), "text")  # at most ``sample`` rows
 
     def fit(target, offsets, places) -> bytes:
         w, cuts, grades = fit_ordinal(target, offsets, places)

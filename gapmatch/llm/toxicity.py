@@ -64,7 +64,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, pos
     """docs (doc_id, text), labels (doc_id, toxic). Returns (doc_id, held_out, score, predicted), a row per row of docs.
 
     The sample is drawn by hash of the id from rows outside the held-out fold, at most ``positives`` texts labelled
-    1 and ``unlabelled`` texts of any kind (their labels are not looked at). ``prior`` is the share of toxic texts;
+    1 and ``unlabelled`` texts of any kind (their labels are not looked at), one text of each id. ``prior`` is the share of toxic texts;
     by default their share among the labelled rows outside the fold. Null and empty texts have no features and get
     the score of the bias alone. With no toxic label to learn from every score is 0. Rows without an id take no part.
     """
@@ -76,10 +76,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, pos
     draw = F.xxhash64("doc_id")
     toxic = learn.filter("toxic = 1").select("doc_id").distinct().orderBy(draw, "doc_id").limit(positives)
     ids = docs.select(F.col("doc_id").cast("long")).filter("doc_id is not null").filter(X.fold(F.col("doc_id"), FOLDS) != 0)
-    other = ids.orderBy(draw, "doc_id").limit(unlabelled).distinct()
+    other = ids.distinct().orderBy(draw, "doc_id").limit(unlabelled)
     chosen = toxic.withColumn("target", F.lit(1.0)).union(other.withColumn("target", F.lit(0.0)))
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("target", "text")  # at most positives + unlabelled ids
+    sample = X.first_texts(docs, chosen).join(F.broadcast(chosen), "doc_id").select("target", "text")  # at most positives + unlabelled rows
     body = X.fit_in_one_task(sample, False, lambda t, o, p: _model(t, o, p, prior)) if prior > 0 else b""
     model = spark.sparkContext.broadcast(np.frombuffer(body, np.float32).astype(np.float64))  # 2 ** BITS + 1 numbers
 

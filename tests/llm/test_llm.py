@@ -589,3 +589,25 @@ def test_language_stage_keeps_lettered_documents_without_labels(spark, odd):
     named = odd.withColumn("lang", F.lit("und"))
     assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, named, FOLDER).collect()) == sorted(
         i for i, t in rows_of(odd) if i is not None and t and any(c.isalpha() for c in t))
+
+
+def test_samples_hold_one_row_of_a_repeated_id(spark, monkeypatch):
+    """An id in a third of all rows is one text of a sample, and does not drive the others out of it."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"plain text number {i}", "en") for i in ids] + [(ids[0], f"another text {k}", "en") for k in range(len(ids) // 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted, whole = [], features.fit_in_one_task
+
+    def fit(sample, *rest):
+        fitted.append(Counter(r["target"] for r in sample.collect()))
+        return whole(sample, *rest)
+
+    monkeypatch.setattr(features, "fit_in_one_task", fit)
+    quality.quality(docs, spark.createDataFrame([(i, float(i % 2)) for i in ids], "doc_id long, rating double"))
+    toxicity.toxicity(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"))
+    odd_ids = sum(i % 2 for i in ids)
+    assert fitted == [Counter(float(i % 2) for i in ids), Counter({1.0: odd_ids, 0.0: len(ids)})]
+    model = language.learn(docs)
+    assert set(model.row[0]) - {"another"} == {"plain", "text", "number"}
+    per_id = language.learn(docs.withColumn("text", F.when(F.col("doc_id") == ids[0], "lone").otherwise(F.col("text"))))
+    assert set(per_id.row[0]) == {"plain", "text", "number"}  # "lone" is met in one text of the sample
