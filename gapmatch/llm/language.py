@@ -21,7 +21,6 @@ from .batches import bounded_batches
 from .features import fold
 
 PER_LANGUAGE = 1500  #: labelled documents in the sample, about, for each language
-LANGUAGES = 1000  #: languages at most, the most frequent ones
 SEEN = 2  #: times a word or n-gram is met in the sample to be known
 ORDERS = (4, 3, 2, 1)
 REMEMBERED = 200_000  #: words backed off that a task remembers
@@ -122,17 +121,17 @@ def _guess(text: str | None, scorer: _Scorer) -> tuple[str | None, float]:
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """The model of docs (doc_id, text, lang) outside the held-out fold. Sampled by hash of the id, one text of each
+    """The model of docs (doc_id, text, lang), with every language that is not null, outside the held-out fold. Sampled by hash of the id, one text of each
     id and language, so reruns agree."""
     labelled = docs.select(F.col("doc_id").cast("long"), "text", "lang").filter("doc_id is not null and lang is not null").filter(
         fold(F.col("doc_id"), 3) != 1)
-    sizes = labelled.select("lang", "doc_id").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.select("lang", "doc_id").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in sizes]
     if not languages:
         return Model(pd.DataFrame({"lang": [], "kind": [], "gram": [], "n": []}), [])
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    sample = labelled.filter(F.col("lang").isin(languages) & drawn & F.col("text").isNotNull())
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in sizes], "lang string, share double")
+    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    sample = labelled.join(F.broadcast(shares), "lang").filter(drawn & F.col("text").isNotNull())
     sample = sample.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     return Model(counts.filter(F.col("n") >= SEEN).toPandas(), languages)  # bounded by the sample

@@ -611,3 +611,11 @@ def test_samples_hold_one_row_of_a_repeated_id(spark, monkeypatch):
     assert set(model.row[0]) - {"another"} == {"plain", "text", "number"}
     per_id = language.learn(docs.withColumn("text", F.when(F.col("doc_id") == ids[0], "lone").otherwise(F.col("text"))))
     assert set(per_id.row[0]) == {"plain", "text", "number"}  # "lone" is met in one text of the sample
+
+
+def test_every_labelled_language_is_learned(spark):
+    ids = [i for i in range(1700) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, " ".join(["w" + "".join("abcdefghij"[int(c)] for c in str(i))] * 2), f"l{i:04d}") for i in ids]
+    assert len(ids) > 1050
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model.languages) == [r[2] for r in rows] and len(model.row[0]) == len(ids)
