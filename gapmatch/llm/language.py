@@ -121,8 +121,8 @@ def _guess(text: str | None, scorer: _Scorer) -> tuple[str | None, float]:
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """The model of docs (doc_id, text, lang), with every language that is not null, outside the held-out fold. Sampled by hash of the id, one text of each
-    id and language, so reruns agree."""
+    """The model of docs (doc_id, text, lang), with every language that is not null, outside the held-out fold. Sampled
+    by hash of the id, one text of each id and language, so reruns agree."""
     labelled = docs.select(F.col("doc_id").cast("long"), "text", "lang").filter("doc_id is not null and lang is not null").filter(
         fold(F.col("doc_id"), 3) != 1)
     sizes = labelled.select("lang", "doc_id").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
