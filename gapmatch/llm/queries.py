@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cascade import quality_rules
 from .kd_search import top_k
 from .language import identify
 from .mixing import mix
@@ -68,8 +69,13 @@ def op10_toxicity(spark, sf_dir):
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark, sf_dir):
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_suffix_dedup, op3_topk_search, op4_packing, op5_language, op6_mixing, op7_near_dedup, op8_warc_audit, op9_vector_dedup, op10_toxicity)}
+    op1_quality, op2_suffix_dedup, op3_topk_search, op4_packing, op5_language, op6_mixing, op7_near_dedup, op8_warc_audit, op9_vector_dedup, op10_toxicity,
+    op11_quality_rules)}
 
 ORACLES = {
     "op3_topk_search": """
@@ -99,4 +105,34 @@ ORACLES = {
         SELECT page_id, nth, "offset", length, ("offset" // 1048576)::BIGINT AS leaf, digest,
             CASE WHEN page_id % 211 = 13 THEN 'missing' WHEN page_id % 89 = 7 THEN 'corrupt' ELSE 'ok' END AS status
         FROM placed""",
+    "op11_quality_rules": r"""
+        WITH given AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce("text", '') AS t FROM documents WHERE doc_id IS NOT NULL
+        ), parts AS (
+            SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+                list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+            FROM given
+        ), windows AS (
+            SELECT r, i, list_slice(words, i, i + 7) AS g FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM parts)
+        ), repeated AS (
+            SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+        ), covered AS (
+            SELECT r, sum(least(8, n))::BIGINT AS n FROM (
+                SELECT r, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8) AS n FROM repeated) GROUP BY r
+        ), measured AS (
+            SELECT doc_id, len(words)::BIGINT AS n_words, list_sum(list_transform(words, lambda w: length(w)))::BIGINT AS chars,
+                len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+                len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) AS n_letter_words,
+                len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)\s*$'))) AS n_dotted,
+                len(list_filter(lines, lambda l: regexp_matches(l, '^\s*[-*•]'))) AS n_bullets
+            FROM parts LEFT JOIN covered USING (r)
+        ), judged AS (
+            SELECT *, coalesce(chars, 0) AS word_chars, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT (2 * word_chars < 5 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words
+                OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_letter_words < 7 * n_words OR 10 * n_dotted > 3 * n_lines
+                OR 10 * n_bullets > 9 * n_lines) AS kept
+        FROM judged""",
 }
