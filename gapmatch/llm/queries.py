@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .cascade import quality_rules
 from .kd_search import top_k
 from .language import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import best_fit_packing
+from .period_runs import period_runs
 from .quality import quality
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
@@ -73,9 +77,31 @@ def op11_quality_rules(spark, sf_dir):
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def looped(doc_id: int, words: list[bytes]) -> list[bytes]:
+    """Every tenth document, by crc32 of its id, ends in a loop whose place and period the crc gives."""
+    g, turn = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    n = len(words)
+    if turn or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_period_runs(spark, sf_dir):
+    found = period_runs(_table(spark, sf_dir, "documents"), looped)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_alignment(spark, sf_dir):
+    return align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_suffix_dedup, op3_topk_search, op4_packing, op5_language, op6_mixing, op7_near_dedup, op8_warc_audit, op9_vector_dedup, op10_toxicity,
-    op11_quality_rules)}
+    op11_quality_rules, op12_period_runs, op13_alignment)}
 
 ORACLES = {
     "op3_topk_search": """
