@@ -13,10 +13,11 @@ block, where they are summed by unit and document. Texts are encoded once and ne
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from functools import lru_cache
-from itertools import accumulate, count
+from itertools import accumulate, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ REMEMBERED = 1 << 27  #: bytes of units, links and listed groups a worker rememb
 EXPANDED = 1 << 20  #: links worked on at a time
 JOINT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
+SIGNS = ".,;:!?"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,13 +54,9 @@ def _place(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def groups_of(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes], target: bytes) -> list[tuple[list[int], list[int]]] | None:
-    """The groups of two id lists over the same bytes; None if the bytes of one of them are not the target's."""
-    tokens_a, tokens_b = [bytes_a[x] for x in a], [bytes_b[x] for x in b]
-    if b"".join(tokens_a) != target or b"".join(tokens_b) != target:
-        return None
-    ends_a = dict(zip(accumulate(map(len, tokens_a)), count(1)))
-    ends_b = dict(zip(accumulate(map(len, tokens_b)), count(1)))
+def sliced(a: list[int], b: list[int], ends_a: dict[int, int], ends_b: dict[int, int]) -> list[tuple[list[int], list[int]]]:
+    """The groups of two id lists over the same bytes, given their dictionaries end -> ids up to it: both lists are cut
+    where tokens of both end."""
     found, i, j = [], 0, 0
     for end in sorted(ends_a.keys() & ends_b.keys()):
         p, q = ends_a[end], ends_b[end]
@@ -67,6 +65,25 @@ def groups_of(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[by
     return found
 
 
+def byte_pairs(path: str, letters: dict[str, int]):
+    """A faster encoder of the same ids as a byte-level tokenizer's file, or None if its merges are not in order of
+    their ids (then ranks are not ids) or it does more than to split and merge."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    special = {t["content"] for t in spec["added_tokens"]}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if not plain or model.get("ignore_merges") or model.get("dropout") or any(x >= y for x, y in zip(merged, merged[1:])) or len(merged) + 256 != len(vocabulary):
+        return None
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
+    return tiktoken.Encoding("byte-pairs", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
     """Two tokenizers: the first is given a space and the text, the second adds that space itself."""
 
@@ -77,8 +94,10 @@ class Tokenizers:
 
         self.first = Tokenizer.from_file(_place(first))
         self.first.encode_special_tokens = True
-        self.second = sentencepiece.SentencePieceProcessor(model_file=_place(second))
         letters = byte_alphabet()
+        pairs = byte_pairs(_place(first), letters)
+        self.first_ids = pairs.encode_ordinary if pairs else lambda text: self.first.encode(text, add_special_tokens=False).ids
+        self.second = sentencepiece.SentencePieceProcessor(model_file=_place(second))
         named = self.first.get_vocab()
         self.bytes_a = [b""] * (max(named.values()) + 1)
         for token, i in named.items():
@@ -86,26 +105,66 @@ class Tokenizers:
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = ([len(x) for x in each] for each in (self.bytes_a, self.bytes_b))
+        self.names_a, self.names_b = ([str(i) for i in range(len(each))] for each in (self.bytes_a, self.bytes_b))
         self.width = len(pieces)
-        # A piece with a space inside would join units.
+        # A piece with a space inside would join units; letters that no piece has side by side are never joined.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.joined = {p[i : i + 2] for i, p in enumerate(pieces) if not self.second.is_byte(i) for i in range(len(p) - 1)}
 
     def units(self, text: str) -> list[str]:
         return JOINT.split(text) if self.cuts else [text]
 
-    def groups(self, units: list[str]):
-        first = self.first.encode_batch([" " + u for u in units], add_special_tokens=False)
-        second = self.second.encode(units, num_threads=1)
-        for u, a, b in zip(units, first, second):
-            yield groups_of(a.ids, b, self.bytes_a, self.bytes_b, b" " + u.encode())
-
-
-def listed(groups) -> bytes:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups).encode()
+    def closed(self, unit: str) -> int:
+        """Where the signs begin that close a unit, if neither tokenizer joins them to the letter before; else 0."""
+        at = len(unit.rstrip(SIGNS))
+        return at if 0 < at < len(unit) and unit[at - 1].isalpha() and unit[at - 1 : at + 1] not in self.joined else 0
+
+    def encoded(self, units: list[str]) -> list[tuple[list[int], list[int], bytes]]:
+        """(first ids, second ids, bytes) of units after a space."""
+        spaced = [" " + u for u in units]
+        return [(self.first_ids(s), b, s.encode()) for s, b in zip(spaced, self.second.encode(units, num_threads=1))]
+
+    def encoded_signs(self, letter: str, signs: str) -> tuple[list[int], list[int], bytes]:
+        """The same of closing signs: the second tokenizer needs a letter before them."""
+        return self.first_ids(signs), self.second.encode(letter + signs)[len(self.second.encode(letter)) :], signs.encode()
+
+    def aligned(self, ids: list[tuple[list[int], list[int], bytes]]):
+        """(listed groups, sizes, links) of each unit: whether both encodings are whole, ids of each, groups, links."""
+        all_a = b"".join([self.bytes_a[x] for a, _, _ in ids for x in a])
+        all_b = b"".join([self.bytes_b[x] for _, b, _ in ids for x in b])
+        whole = all_a == all_b == b"".join([t for _, _, t in ids])
+        names_a, names_b, sizes_a, sizes_b, width = self.names_a, self.names_b, self.sizes_a, self.sizes_b, self.width
+        for a, b, target in ids:
+            ends_a = dict(zip(accumulate([sizes_a[x] for x in a]), count(1)))
+            ends_b = dict(zip(accumulate([sizes_b[x] for x in b]), count(1)))
+            # If all bytes together are right, those of a unit are if they are as many as its own.
+            good = len(target) in ends_a and len(target) in ends_b if whole else (
+                b"".join([self.bytes_a[x] for x in a]) == b"".join([self.bytes_b[x] for x in b]) == target)
+            if not good:
+                yield b"", (0, 0, 0, 0, 0), []
+                continue
+            text, links = [], []
+            for own_a, own_b in sliced(a, b, ends_a, ends_b):
+                if len(own_a) == 1 == len(own_b):
+                    text.append(names_a[own_a[0]] + "|" + names_b[own_b[0]])
+                    links.append(own_a[0] * width + own_b[0])
+                else:
+                    text.append(",".join([names_a[x] for x in own_a]) + "|" + ",".join([names_b[y] for y in own_b]))
+                    links += [x * width + y for x in own_a for y in own_b]
+            yield ";".join(text).encode(), (1, len(a), len(b), len(text), len(links)), links
+
+
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(values):
+        return values
+    out = np.zeros((max(size, 2 * len(values)), *values.shape[1:]), values.dtype)
+    out[: len(values)] = values
+    return out
 
 
 class _Units:
-    """What a worker remembers of units: by number, whether both encodings are whole, their sizes, links and listed groups."""
+    """What a worker remembers of units: by number, their sizes, links and listed groups."""
 
     def __init__(self, first: str, second: str):
         self.tokenizers = Tokenizers(first, second)
@@ -114,30 +173,82 @@ class _Units:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.texts: list[bytes] = []
-        self.used, self.rows, self.parts = 0, [], []
-        self.sizes = np.zeros((0, 5), np.int64)  # whole, ids of each, groups, links
-        self.links = np.zeros(0, np.int64)
+        self.used = self.n_links = 0
+        self._sizes, self._links, self._first = np.zeros((1024, 5), np.int64), np.zeros(4096, np.int64), np.zeros(1024, np.int64)
+        self._uses = np.zeros(1024, np.int64)
+
+    def trim(self, most: int) -> None:
+        """Forget what was used once since the last time, or more if the rest is over half of ``most`` bytes."""
+        n, least = len(self.texts), 2
+        cost = np.array([len(t) for t in self.texts]) + 8 * self._sizes[:n, 4] + 260
+        while cost[self._uses[:n] >= least].sum() > most // 2:
+            least *= 2
+        kept = np.flatnonzero(self._uses[:n] >= least)
+        uses, sizes = self._uses[kept] // 2, self._sizes[kept]
+        links = self._links[spread(self._first[kept], sizes[:, 4])]
+        names = list(self.number)
+        names, texts = [names[i] for i in kept.tolist()], [self.texts[i] for i in kept.tolist()]
+        self.clear()
+        self.number, self.texts = dict(zip(names, range(len(names)))), texts
+        self._uses, self._sizes, self._links = (_grown(x, 1024) for x in (uses, sizes, links))
+        self._first = _grown(np.cumsum(sizes[:, 4]) - sizes[:, 4], 1024)
+        self.n_links, self.used = len(links), int(cost[kept].sum())
+
+    def _add(self, units: list[str], found) -> None:
+        texts, sizes, links = [], [], []
+        for text, size, own in found:
+            texts.append(text)
+            sizes.append(size)
+            links += own
+        n = len(self.texts)
+        self._sizes, self._first, self._uses = (_grown(x, n + len(units)) for x in (self._sizes, self._first, self._uses))
+        self._links = _grown(self._links, self.n_links + len(links))
+        self._sizes[n : n + len(units)] = sizes
+        each = self._sizes[n : n + len(units), 4]
+        self._first[n : n + len(units)] = self.n_links + np.cumsum(each) - each
+        self._links[self.n_links : self.n_links + len(links)] = links
+        self.n_links += len(links)
+        self.texts += texts
+        self.number.update(zip(units, range(n, n + len(units))))
+        self.used += sum(map(len, units)) + sum(map(len, texts)) + 8 * len(links) + 250 * len(units)
+
+    def _learn(self, units: list[str]) -> None:
+        parts = {u: at for u in units if (at := self.tokenizers.closed(u))}
+        plain = [u for u in units if u not in parts]
+        plain = list(dict.fromkeys(plain + [c for u, at in parts.items() if (c := u[:at]) not in self.number]))
+        for part in (plain[a : a + 2000] for a in range(0, len(plain), 2000)):
+            self._add(part, self.tokenizers.aligned(self.tokenizers.encoded(part)))
+        # Closing signs are stored under a key that no unit has: a space never follows another character than white space in a unit.
+        signs = {u[at:]: u[at - 1] for u, at in parts.items() if "\0 " + u[at:] not in self.number}
+        if signs:
+            self._add(["\0 " + x for x in signs], self.tokenizers.aligned([self.tokenizers.encoded_signs(letter, x) for x, letter in signs.items()]))
+
+        def composed():
+            for u, at in parts.items():
+                core, sign = self.number[u[:at]], self.number["\0 " + u[at:]]
+                one, two = self._sizes[core].tolist(), self._sizes[sign].tolist()
+                if not (one[0] and two[0]):
+                    yield b"", (0, 0, 0, 0, 0), []
+                    continue
+                a, b = int(self._first[core]), int(self._first[sign])
+                yield self.texts[core] + b";" + self.texts[sign], (1, *(x + y for x, y in zip(one[1:], two[1:]))), [
+                    *self._links[a : a + one[4]].tolist(), *self._links[b : b + two[4]].tolist()]
+
+        if parts:
+            self._add(list(parts), list(composed()))
 
     def numbers(self, units: list[str]) -> np.ndarray:
-        new = list(dict.fromkeys([u for u in units if u not in self.number]))
-        for part in (new[a : a + 2000] for a in range(0, len(new), 2000)):
-            for u, groups in zip(part, self.tokenizers.groups(part)):
-                self.number[u] = len(self.texts)
-                links = [x * self.tokenizers.width + y for a, b in groups or () for x in a for y in b]
-                text = listed(groups) if groups else b""
-                self.texts.append(text)
-                self.rows.append((groups is not None, sum(len(a) for a, _ in groups or ()), sum(len(b) for _, b in groups or ()), len(groups or ()), len(links)))
-                self.parts.append(np.array(links, np.int64))
-                self.used += 200 + len(u) + len(text) + 8 * len(links)
-        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        found = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
+        missed = np.flatnonzero(found < 0).tolist()
+        if missed:
+            self._learn(list(dict.fromkeys([units[i] for i in missed])))
+            found[missed] = [self.number[units[i]] for i in missed]
+        self._uses[: len(self.texts)] += np.bincount(found, minlength=len(self.texts))
+        return found
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sizes, first link, links) by unit."""
-        if self.rows:
-            self.sizes = np.concatenate([self.sizes, np.array(self.rows, np.int64)])
-            self.links = np.concatenate([self.links, *self.parts])
-            self.rows, self.parts = [], []
-        return self.sizes, np.cumsum(self.sizes[:, 4]) - self.sizes[:, 4], self.links
+        return self._sizes[: len(self.texts)], self._first[: len(self.texts)], self._links[: self.n_links]
 
 
 @lru_cache(maxsize=1)
@@ -236,7 +347,7 @@ def _blocks(first: str, second: str, block_bytes: int, remembered: int):
                     yield block.row((task << 32) + n)
                     n += 1
                     if known.used > remembered:
-                        known.clear()
+                        known.trim(remembered)
                     block = _Block(known)
         if block.ids:
             yield block.row((task << 32) + n)

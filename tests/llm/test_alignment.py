@@ -70,6 +70,25 @@ def test_alignment_equals_brute_force(spark, tokenizers):
     assert sorted(map(tuple, A.align(df, block_bytes=200, remembered=2000).collect())) == want
 
 
+def test_both_encoders_of_the_first_file_agree(tokenizers, spark):
+    texts = [t for t in HARD if t] + [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect() if r["text"]]
+    assert A.byte_pairs(A._place(A.FIRST), A.byte_alphabet()) is not None
+    assert all(tokenizers.first_ids(" " + t) == tokenizers.first.encode(" " + t, add_special_tokens=False).ids for t in texts)
+
+
+def test_trimmed_memory_keeps_what_is_used(tokenizers):
+    known = A._Units(A.FIRST, A.SECOND)
+    units = [f"word{k % 70}" for k in range(100)] + ["word1,", "word2."]
+    before = known.numbers(units)
+    want = {u: (known.texts[n], known.tables()[0][n].tolist()) for u, n in zip(units, before.tolist())}
+    known.trim(1 << 20)
+    assert 0 < len(known.number) < len(set(units))
+    again = known.numbers(units)
+    sizes, first, links = known.tables()
+    assert {u: (known.texts[n], sizes[n].tolist()) for u, n in zip(units, again.tolist())} == want
+    assert all(len(links[first[n] : first[n] + sizes[n, 4]]) == sizes[n, 4] for n in again.tolist()) and first[-1] + sizes[-1, 4] == len(links)
+
+
 def test_query_equals_brute_force(spark, tokenizers):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op13_alignment(spark, FOLDER).collect())) == sorted(brute(tokenizers, rows))
