@@ -1,7 +1,12 @@
-"""Arrow batches that hold a bounded number of bytes of text."""
+"""Arrow batches of bounded size, workers that give memory back, and names that clash with no column."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
@@ -13,3 +18,34 @@ def bounded_batches(spark: SparkSession) -> None:
         now = spark.conf.get(name, None)
         if now is None or str(now) == usual:
             spark.conf.set(name, wanted)
+
+
+def release() -> None:
+    """Memory that is free inside this process goes back to the system: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of Arrow batches; what earlier stages and its own last batch left is released."""
+    def call(batches):
+        release()
+        yield from run(batches)
+        release()
+
+    return call
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many closing underscores as make it differ from all columns and each other."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

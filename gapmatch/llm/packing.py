@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right
-from functools import cache
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import bytes_kernel as K
-from .batches import bounded_batches
+from .batches import bounded_batches, tidied
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 WORDS = 1_000_000  #: words remembered by a worker, about 0.2 KB each
-SIGNS = ".,;:!?"
+SIGNS = b".,;:!?"
 TEXT = 1 << 18  #: bytes of text whose words are looked up together
 COMPLETIONS = 4  #: fillings tried per largest length
 BRANCHES = 24  #: lengths tried as the first of a filling
@@ -53,6 +53,12 @@ class _Tokens:
         suffix = self.tokenizer.model.end_of_word_suffix or "\0"
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        self.folds = ids("AZ") == ids("az")
+        self.signs = SIGNS if ids("az.") == ids("az") + ids(".") else b""
         self.clear()
 
     def clear(self) -> None:
@@ -62,12 +68,12 @@ class _Tokens:
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, ids of each).
 
-        Letters with or without closing signs are one or two units of the tokenizer, and a unit's last id tells that
-        it is the last. Where that does not add up, a token belongs to the word in which it starts.
+        Letters are one unit of the tokenizer, and a unit's last id tells that it is the last. Where that does not add
+        up, a token belongs to the word in which it starts.
         """
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(found.ids, np.uint32)
-        units = np.cumsum([1 if w.isalpha() else 2 if w.rstrip(SIGNS).isalpha() else len(ids) + 1 for w in words])
+        units = np.cumsum([1 if w.isalpha() else len(ids) + 1 for w in words])
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == units[-1] and (len(ids) == 0 or ends[-1] == len(ids)):
             return ids, np.diff(ends[units - 1], prepend=0)
@@ -75,22 +81,45 @@ class _Tokens:
         starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
         return ids, np.diff(np.searchsorted(starts, begins))
 
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.code)
+        while n + len(words) > len(self.start):
+            self.start, self.size = (np.resize(x, 2 * len(x)) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[n : n + len(words)] = sizes
+        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.code.update(zip(words, range(n, n + len(words))))
+        self.used += len(ids)
+
+    def _looked_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
     def _learn(self, words: list[bytes]) -> None:
-        texts = {w: w.decode("utf-8", "replace") for w in words}
-        plain = [w for w, t in texts.items() if t.rstrip(SIGNS).isalpha()]
-        other = [w for w, t in texts.items() if not t.rstrip(SIGNS).isalpha()]
-        for part in (x[a : a + 4000] for x in (plain, other) for a in range(0, len(x), 4000)):
-            ids, sizes = self._encoded([texts[w] for w in part])
-            n = len(self.code)
-            while n + len(part) > len(self.start):
-                self.start, self.size = (np.resize(x, 2 * len(x)) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.size[n : n + len(part)] = sizes
-            self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.code.update(zip(part, range(n, n + len(part))))
-            self.used += len(ids)
+        """Letters and the signs that close them are units of the tokenizer: such a word is its letters' ids, then its signs'."""
+        closed, plain, other = [], {}, {}
+        for w in words:
+            core = w.rstrip(self.signs) if self.signs else w
+            text = core.decode("utf-8", "replace")
+            if not text.isalpha():
+                other[w] = w.decode("utf-8", "replace")
+                continue
+            if core not in self.code:
+                plain[core] = text
+            if len(core) < len(w):
+                sign = w[len(core) :]
+                closed.append((w, core, sign))
+                if sign not in self.code:
+                    other[sign] = sign.decode()
+        for part in (x[a : a + 4000] for x in (list(plain.items()), list(other.items())) for a in range(0, len(x), 4000)):
+            self._add([w for w, _ in part], *self._encoded([t for _, t in part]))
+        if closed:
+            pairs = np.array([(self.code[core], self.code[sign]) for _, core, sign in closed], np.int64)
+            ids, sizes = self._looked_up(pairs.ravel())
+            self._add([w for w, _, _ in closed], ids, sizes.reshape(-1, 2).sum(1))
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, ids of each)."""
@@ -104,21 +133,23 @@ class _Tokens:
                 new = list(dict.fromkeys(words))
             self._learn(new)
             codes[missed] = [self.code[words[i]] for i in missed.tolist()]
-        size = self.size[codes]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+        return self._looked_up(codes)
+
+    def _folded(self, body: bytes) -> bytes:
+        """A-Z in lower case, if the tokenizer does so first; not where a special token may be spelt."""
+        return body.lower() if self.folds and b"<|" not in body else body
 
     def texts(self, bodies: list[bytes]):
         """Ids of every text, many short texts (or one piece of a long one) at a time."""
         at = 0
         while at < len(bodies):
             if len(bodies[at]) > TEXT:
-                yield np.concatenate([self.ids(p.split())[0] for p in _pieces(bodies[at])])
+                yield np.concatenate([self.ids(p.split())[0] for p in _pieces(self._folded(bodies[at]))])
                 at += 1
                 continue
             words, counts, size = [], [], 0
             while at < len(bodies) and size + len(bodies[at]) <= TEXT:
-                found = bodies[at].split()
+                found = self._folded(bodies[at]).split()
                 words += found
                 counts.append(len(found))
                 size += len(bodies[at])
@@ -139,7 +170,7 @@ def _pieces(body: bytes):
         a = b
 
 
-@cache
+@lru_cache(maxsize=1)
 def _tokens(path: str, words: int) -> _Tokens:
     return _Tokens(path, words)
 
@@ -167,7 +198,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                 yield _rows(rows, with_ids)
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null")
-    return source.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return source.mapInArrow(tidied(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def _rows(rows, with_ids):
