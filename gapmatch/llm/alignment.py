@@ -32,7 +32,7 @@ from .batches import bounded_batches
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
 BLOCK = 1 << 24  #: bytes of text in a block, about
-REMEMBERED = 1 << 27  #: bytes of units, links and listed groups a worker remembers between blocks, about
+REMEMBERED = 3 << 26  #: bytes of units, links and listed groups a worker remembers between blocks, about
 EXPANDED = 1 << 20  #: links worked on at a time
 JOINT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"

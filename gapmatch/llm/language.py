@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import bounded_batches
+from .batches import bounded_batches, free_names, tidied
 from .features import fold
 
 PER_LANGUAGE = 1500  #: labelled documents in the sample, about, for each language
@@ -87,10 +88,28 @@ class Model:
 
 
 class _Scorer:
+    """Scores texts by a model; of words the model does not know, a bounded number is remembered."""
+
     def __init__(self, model: Model):
-        self.model, self.words = model, dict(model.row[0])
-        self.rows = np.resize(model.table[0], (max(2 * len(model.table[0]), 1024), len(model.languages)))
-        self.fixed = len(self.words)
+        self.model, self.known = model, model.row[0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.extra: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.model.languages)))
+
+    def _backed_off(self, words: list[str]) -> np.ndarray:
+        """Sum of the scores of unknown words."""
+        new = set(words).difference(self.extra)
+        if len(self.extra) + len(new) > REMEMBERED:
+            self.clear()
+            new = set(words)
+        for w in new:
+            at = self.extra[w] = len(self.extra)
+            if at == len(self.rows):
+                self.rows = np.resize(self.rows, (2 * at, self.rows.shape[1]))
+            self.rows[at] = self.model.backed_off(w)
+        return self.rows[np.fromiter(map(self.extra.__getitem__, words), np.int64, len(words))].sum(0)
 
     def total(self, text: str) -> np.ndarray | None:
         """Sum over all words, or None if there is no letter."""
@@ -98,15 +117,11 @@ class _Scorer:
         for words in _words(text):
             if not words:
                 continue
-            new = set(words).difference(self.words)
-            if len(self.words) + len(new) - self.fixed > REMEMBERED:
-                self.words, new = dict(self.model.row[0]), set(words).difference(self.model.row[0])
-            for w in new:
-                at = self.words[w] = len(self.words)
-                if at == len(self.rows):
-                    self.rows = np.resize(self.rows, (2 * at, self.rows.shape[1]))
-                self.rows[at] = self.model.backed_off(w)
-            part = self.rows[np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))].sum(0)
+            at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+            met = at >= 0
+            part = self.model.table[0][at[met]].sum(0)
+            if not met.all():
+                part = part + self._backed_off([words[i] for i in np.flatnonzero(~met).tolist()])
             out = part if out is None else out + part
         return out
 
@@ -133,7 +148,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     sample = labelled.join(F.broadcast(shares), "lang").filter(drawn & F.col("text").isNotNull())
     sample = sample.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidied(_count), "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     return Model(counts.filter(F.col("n") >= SEEN).toPandas(), languages)  # bounded by the sample
 
 
@@ -142,11 +157,7 @@ def predicted(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
 
     Language is null for a null text or one without letters, and ``und`` for any other if nothing could be learnt.
     """
-    names = []
-    for name in ("lang_pred", "score"):
-        while name.lower() in (c.lower() for c in docs.columns):
-            name += "_"
-        names.append(name)
+    names = free_names(docs.columns, "lang_pred", "score")
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")  # bounded by the sample
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
@@ -157,7 +168,7 @@ def predicted(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
 
-    return docs.mapInArrow(run, schema), *names
+    return docs.mapInArrow(tidied(run), schema), *names
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -22,7 +22,11 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2  #: copies of a source at most
 CHUNK = 128
-WORDS = r"[^\\x20\\x09-\\x0D]+"
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     source = F.col("source").cast("string")
     return docs.select(
         F.col("doc_id").cast("long"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("k"),
-        F.coalesce(F.expr(f"regexp_count(text, '{WORDS}')"), F.lit(0)).cast("long").alias("size")).filter("doc_id is not null")
+        word_count(F.col("text")).alias("size")).filter("doc_id is not null")
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:

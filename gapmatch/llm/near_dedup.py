@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import bytes_kernel as K
-from .batches import bounded_batches
+from .batches import bounded_batches, tidied
 from .graph import components, forest
 
 ROWS = 5  #: bins per band
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null")
     signs = written(
-        texts.mapInArrow(_signatures(bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures"
+        texts.mapInArrow(tidied(_signatures(bands, rows)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures"
     )
     key = ["n_shingles", "k1", "k2"]
     classes = written(signs.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         .select("doc_id", "family", "size", F.pmod(F.xxhash64("doc_id"), "tiles").alias("salt"), "meets")
     )
     bodies = texts.join(work, "doc_id").select("doc_id", "text", "family", "size", "salt", "meets")
-    sent = bodies.mapInArrow(_family_sets, "family long, x long, y long, side int, doc_id long, body binary")
+    sent = bodies.mapInArrow(tidied(_family_sets), "family long, x long, y long, side int, doc_id long, body binary")
     links = sent.groupBy("family", "x", "y").applyInArrow(_tile_links(percent), "v long, m long")
     comp = components(links, "near")
     found = (

@@ -116,20 +116,24 @@ ORACLES = {
         )
         SELECT query_id, r::INTEGER AS "rank", vec_id, score FROM ranked WHERE r <= 5""",
     "op8_warc_audit": """
-        WITH records AS (
-            SELECT page_id, concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+        WITH sides AS (
+            SELECT 'ours' AS side, page_id, url, html FROM pages WHERE page_id IS NOT NULL UNION ALL
+            SELECT 'theirs', page_id, url, CASE WHEN page_id % 89 = 7 THEN '#' || substr(html, 2) ELSE html END FROM pages WHERE page_id % 211 <> 13
+        ), records AS (
+            SELECT side, page_id, concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
                 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ',
                 octet_length(encode(coalesce(html, ''))), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record
-            FROM pages WHERE page_id IS NOT NULL
+            FROM sides
         ), digests AS (
-            SELECT page_id, octet_length(encode(record))::BIGINT AS length, sha256(record) AS digest FROM records
+            SELECT side, page_id, octet_length(encode(record))::BIGINT AS length, sha256(record) AS digest FROM records
         ), numbered AS (
-            SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY digest)::INTEGER AS nth FROM digests
+            SELECT *, row_number() OVER (PARTITION BY side, page_id ORDER BY digest)::INTEGER AS nth FROM digests
         ), placed AS (
-            SELECT *, (sum(length) OVER (ORDER BY page_id, nth) - length)::BIGINT AS "offset" FROM numbered
+            SELECT o.page_id, o.nth, (sum(o.length) OVER (ORDER BY o.page_id, o.nth) - o.length)::BIGINT AS "offset", o.length, o.digest, t.digest AS theirs
+            FROM numbered o LEFT JOIN numbered t ON t.side = 'theirs' AND t.page_id = o.page_id AND t.nth = o.nth WHERE o.side = 'ours'
         )
         SELECT page_id, nth, "offset", length, ("offset" // 1048576)::BIGINT AS leaf, digest,
-            CASE WHEN page_id % 211 = 13 THEN 'missing' WHEN page_id % 89 = 7 THEN 'corrupt' ELSE 'ok' END AS status
+            CASE WHEN theirs IS NULL THEN 'missing' WHEN theirs <> digest THEN 'corrupt' ELSE 'ok' END AS status
         FROM placed""",
     "op11_quality_rules": r"""
         WITH given AS (

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import bytes_kernel as K
-from .batches import bounded_batches
+from .batches import bounded_batches, tidied
 
 LENGTH = 50
 GRAM = 16
@@ -418,17 +418,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     spark = docs.sparkSession
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null")
-    blocks = written(source.mapInArrow(_pack, "block long, ids array<long>, lengths array<long>, size long, body binary"), "blocks")
+    blocks = written(source.mapInArrow(tidied(_pack), "block long, ids array<long>, lengths array<long>, size long, body binary"), "blocks")
     total, count = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     most = min(max(ENTRIES // max(count, 1), RUNS[0]), RUNS[1])
     plain = blocks.select("block", "ids", "lengths", "body")
     sent = "block long, bucket long, body binary"
-    first = written(plain.mapInArrow(_send_entries(length, buckets, most), sent).groupBy("bucket").applyInArrow(_judge(CROWD), sent), "ranks")
+    first = written(plain.mapInArrow(tidied(_send_entries(length, buckets, most)), sent).groupBy("bucket").applyInArrow(_judge(CROWD), sent), "ranks")
     first = first.groupBy("block").agg(F.collect_list(F.struct("bucket", "body")).alias("replies"))
     open_ = plain.join(first, "block").select("block", "ids", "lengths", "body", "replies")
-    second = written(open_.mapInArrow(_send_edges(length, buckets, most), sent).groupBy("bucket").applyInArrow(_rank_edges(length, buckets), sent), "repeats")
+    second = written(open_.mapInArrow(tidied(_send_edges(length, buckets, most)), sent).groupBy("bucket").applyInArrow(_rank_edges(length, buckets), sent), "repeats")
     second = second.groupBy("block").agg(F.collect_list(F.col("body")).alias("replies"))
     done = plain.join(second, "block", "left").select("block", "ids", "lengths", "body", "replies")
-    out = done.mapInArrow(_cut(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = done.mapInArrow(tidied(_cut(length, texts)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")

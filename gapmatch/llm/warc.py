@@ -1,13 +1,18 @@
 """WARC fixity audit with Merkle trees.
 
 Pages become WARC records in the order of their ids; the manifest keeps offset, length and SHA-256 of each. Records
-whose offsets fall into one range of bytes make a leaf, sixteen nodes make their parent. Two replicas are compared
-from the root down: only children of nodes that differ are looked at, and only records of leaves that differ.
+whose offsets fall into one range of bytes make a leaf, sixteen nodes make their parent. The replica's records are
+dealt to the same leaves by the first key of each, on their own, and its tree is built from its own digests. The two
+trees are compared from the root down: only children of nodes that differ are looked at, and only records of leaves
+that differ are joined.
+
+Records are sorted in ranges of bounded size, also those of one id; sums and numbers run inside a range, and what the
+ranges before it hold is added.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,7 +20,8 @@ from ..storage import written
 
 RANGE = 1 << 20  #: bytes of archive in a leaf
 FAN = 16
-CUTS = 255  #: ranges of ids in which offsets are summed, less one
+ROWS = 1 << 16  #: records sorted together, about
+KEY = ["page_id", "nth"]
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -27,52 +33,88 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.filter("page_id is not null").select(F.col("page_id").cast("long"), F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
 
 
+def _ranged(rows: DataFrame, *by) -> DataFrame:
+    """rows sorted into ranges of about ``ROWS`` rows, stored with the number of the range as ``part``."""
+    rows = written(rows, "rows")
+    ranges = max(1, -(-rows.count() // ROWS))
+    return written(rows.repartitionByRange(ranges, *by).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def _ahead(totals: DataFrame, value: str, fold=F.sum) -> DataFrame:
+    """(part, ahead): ``value`` folded over all ranges before; one row per range."""
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    return totals.select("part", fold(value).over(before).alias("ahead"))
+
+
 def digests(recs: DataFrame) -> DataFrame:
-    """(page_id, nth, length, digest): nth tells records of one id apart, in the order of their digests."""
+    """(page_id, nth, length, digest, part, before): nth tells records of one id apart, in the order of their digests;
+    ``before`` is the sum of all lengths before a record."""
     plain = recs.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
-    same = W.partitionBy("page_id").orderBy("digest")
-    return plain.withColumn("nth", F.row_number().over(same))
+    # Equal records of one id may be many: a random tie-breaker lets a range end between them.
+    sorted_ = _ranged(plain.withColumn("tie", F.rand(8)), "page_id", "digest", "tie")
+    order = ["page_id", "digest", "tie"]
+    inside = W.partitionBy("part").orderBy(*order)
+    numbered = sorted_.withColumn("own", F.sum("length").over(inside) - F.col("length")).withColumn(
+        "place", F.row_number().over(W.partitionBy("part", "page_id").orderBy("digest", "tie")))
+    ahead = _ahead(sorted_.groupBy("part").agg(F.sum("length").alias("bytes")), "bytes")
+    # Only the first id of a range can have records in ranges before it.
+    ends = sorted_.groupBy("part").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    edge = sorted_.join(ends, "part").filter((F.col("page_id") == F.col("first")) | (F.col("page_id") == F.col("last")))
+    held = edge.groupBy("page_id", "part").agg(F.count(F.lit(1)).alias("n"))  # two rows per range
+    earlier = held.withColumn("earlier", F.sum("n").over(W.partitionBy("page_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).drop("n")
+    return numbered.join(ahead, "part").join(earlier, ["part", "page_id"], "left").select(
+        "page_id", (F.col("place") + F.coalesce("earlier", F.lit(0))).cast("int").alias("nth"), "length", "digest",
+        (F.col("own") + F.coalesce("ahead", F.lit(0))).alias("before"))
 
 
 def manifest(found: DataFrame, range_bytes: int = RANGE) -> DataFrame:
-    """Adds (offset, leaf). Offsets are summed inside ranges of ids, and the ranges' totals before them are added."""
-    cuts = found.agg(F.percentile_approx("page_id", [k / (CUTS + 1) for k in range(1, CUTS + 1)], 10000)).first()[0] or []
-    part = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("page_id")))
-    placed = found.withColumn("part", part)
-    totals = placed.groupBy("part").agg(F.sum("length").alias("bytes"))
-    ahead = totals.select("part", (F.sum("bytes").over(W.orderBy("part")) - F.col("bytes")).alias("ahead"))  # at most CUTS + 1 rows
-    inside = W.partitionBy("part").orderBy("page_id", "nth")
-    summed = placed.withColumn("before", F.sum("length").over(inside) - F.col("length"))
-    offset = F.col("ahead") + F.col("before")
-    return summed.join(ahead, "part").select(
-        "page_id", "nth", "length", "digest", offset.alias("offset"), F.floor(offset / range_bytes).cast("long").alias("leaf"))
-
-
-def tree(leaves: DataFrame, fan: int = FAN) -> list[DataFrame]:
-    """Levels of the tree over leaves (node, digest), leaves first; the last level is the root."""
-    levels = [written(leaves, "tree")]
-    while levels[-1].filter("node > 0").limit(1).count():
-        up = levels[-1].groupBy(F.floor(F.col("node") / fan).cast("long").alias("node"))
+    """(page_id, nth, length, digest, offset, leaf)."""
+    return found.select(
+        *KEY, "length", "digest", F.col("before").alias("offset"), F.floor(F.col("before") / range_bytes).cast("long").alias("leaf"))
+
+
+def dealt(found: DataFrame, ours: DataFrame) -> DataFrame:
+    """The replica's records with the leaf of ours whose keys they are among: the last one that begins at or before them."""
+    begins = ours.groupBy("leaf").agg(F.min(F.struct(*KEY)).alias("k")).select("k.page_id", "k.nth", F.lit(0).alias("kind"), "leaf")
+    none = [F.lit(None).cast("long").alias(c) for c in ("length",)] + [F.lit(None).cast("string").alias("digest")]
+    rows = begins.select("page_id", "nth", "kind", "leaf", *none).unionByName(
+        found.select("page_id", "nth", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("leaf"), "length", "digest"))
+    sorted_ = _ranged(rows, "page_id", "nth", "kind")
+    inside = W.partitionBy("part").orderBy("page_id", "nth", "kind")
+    ahead = _ahead(sorted_.groupBy("part").agg(F.max("leaf").alias("most")), "most", F.max)
+    leaf = F.coalesce(F.last("leaf", ignorenulls=True).over(inside), F.col("ahead"), F.lit(0))
+    return sorted_.join(ahead, "part").withColumn("leaf", leaf.cast("long")).filter("kind = 1").select(*KEY, "length", "digest", "leaf")
+
+
+def leaf_digests(listed: DataFrame, most: int = RANGE // 64) -> DataFrame:
+    """(node, digest) of the records (page_id, nth, digest, leaf) of each leaf. A leaf of more records than its bytes
+    can hold is not listed: it differs from any true one."""
+    sizes = listed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    items = F.sort_array(F.collect_list(F.struct(*KEY, "digest")))
+    line = F.transform(items, lambda x: F.concat_ws(":", x["page_id"].cast("string"), x["nth"].cast("string"), x["digest"]))
+    whole = listed.join(sizes, "leaf", "left_anti").groupBy(F.col("leaf").alias("node")).agg(F.sha2(F.concat_ws(",", line).cast("binary"), 256).alias("digest"))
+    return whole.unionByName(sizes.select(F.col("leaf").alias("node"), F.concat(F.lit("crowded "), F.col("n").cast("string")).alias("digest")))
+
+
+def tree(leaves: DataFrame, levels: int | None = None, fan: int = FAN) -> list[DataFrame]:
+    """Levels of the tree over leaves (node, digest), leaves first; the last level is the root, or the ``levels``-th."""
+    made = [written(leaves, "tree")]
+    while len(made) < levels if levels else made[-1].filter("node > 0").limit(1).count():
+        up = made[-1].groupBy(F.floor(F.col("node") / fan).cast("long").alias("node"))
         listed = F.transform(F.sort_array(F.collect_list(F.struct("node", "digest"))), lambda x: F.concat(x["node"].cast("string"), x["digest"]))
-        levels.append(written(up.agg(F.sha2(F.concat_ws(",", listed).cast("binary"), 256).alias("digest")), "tree"))
-    return levels
-
-
-def leaf_digests(listed: DataFrame) -> DataFrame:
-    """(node, digest) of the records (leaf, offset, nth, digest) of each range of bytes; a missing record counts as such."""
-    items = F.sort_array(F.collect_list(F.struct("offset", F.coalesce("digest", F.lit("-")).alias("digest"))))
-    return listed.groupBy(F.col("leaf").alias("node")).agg(
-        F.sha2(F.concat_ws(",", F.transform(items, lambda x: x["digest"])).cast("binary"), 256).alias("digest"))
+        made.append(written(up.agg(F.sha2(F.concat_ws(",", listed).cast("binary"), 256).alias("digest")), "tree"))
+    return made
 
 
 def mismatches(ours: list[DataFrame], theirs: list[DataFrame], fan: int = FAN) -> DataFrame:
-    """Leaves that differ, found from the roots down."""
+    """Leaves that differ, found from the roots down; a node that one side lacks differs."""
     odd = None
     for a, b in zip(reversed(ours), reversed(theirs)):
-        a = a.withColumnRenamed("digest", "a")
         if odd is not None:
-            a = a.join(odd, F.floor(F.col("node") / fan) == F.col("above"), "left_semi")
-        odd = a.join(b, "node", "left").filter(~F.col("a").eqNullSafe(F.col("digest"))).select(F.col("node").alias("above"))
+            below: Column = F.floor(F.col("node") / fan) == F.col("above")
+            a, b = a.join(odd, below, "left_semi"), b.join(odd, below, "left_semi")
+        both = a.withColumnRenamed("digest", "a").join(b, "node", "full")
+        odd = written(both.filter(~F.col("a").eqNullSafe(F.col("digest"))).select(F.col("node").alias("above")), "mismatches")
     return odd.select(F.col("above").alias("leaf"))
 
 
@@ -84,15 +126,14 @@ def audit(pages: DataFrame, replica: DataFrame, range_bytes: int = RANGE) -> Dat
     under one id are records told apart by ``nth``. A table that is empty on either side is an audit without matches.
     """
     ours = written(manifest(digests(records(pages)), range_bytes), "manifest")
-    theirs = written(digests(records(replica)).select("page_id", "nth", F.col("length").alias("their_length"), F.col("digest").alias("theirs")), "replica")
-    key = ["page_id", "nth"]
-    copied = ours.join(theirs, key, "left").select("leaf", "offset", F.col("theirs").alias("digest"))
-    odd = mismatches(tree(leaf_digests(ours)), tree(leaf_digests(copied)))
-    suspects = ours.join(odd, "leaf", "left_semi").select(*key).join(theirs, key, "left").select(*key, "theirs", F.lit(True).alias("looked"))
+    theirs = written(dealt(digests(records(replica)), ours), "replica")
+    first = tree(leaf_digests(ours))
+    odd = mismatches(first, tree(leaf_digests(theirs), len(first)))
+    looked = theirs.join(odd, "leaf", "left_semi").select(*KEY, F.col("length").alias("their_length"), F.col("digest").alias("theirs"))
+    suspects = ours.join(odd, "leaf", "left_semi").join(looked, KEY, "full")
     status = (
-        F.when(F.col("looked").isNull() | (F.col("theirs") == F.col("digest")), "ok").when(F.col("theirs").isNull(), "missing").otherwise("corrupt"))
-    known = ours.join(suspects, key, "left").select(*key, "offset", "length", "leaf", "digest", status.alias("status"))
-    none = F.lit(None).cast("long")
-    extra = theirs.join(ours, key, "left_anti").select(
-        *key, none.alias("offset"), F.col("their_length").alias("length"), none.alias("leaf"), F.col("theirs").alias("digest"), F.lit("extra").alias("status"))
-    return known.union(extra)
+        F.when(F.col("digest").isNull(), "extra").when(F.col("theirs").isNull(), "missing")
+        .when(F.col("theirs") == F.col("digest"), "ok").otherwise("corrupt"))
+    columns = [*KEY, "offset", F.coalesce("length", "their_length").alias("length"), "leaf", F.coalesce("digest", "theirs").alias("digest")]
+    sound = ours.join(odd, "leaf", "left_anti").select(*KEY, "offset", "length", "leaf", "digest", F.lit("ok").alias("status"))
+    return sound.unionByName(suspects.select(*columns, status.alias("status")))

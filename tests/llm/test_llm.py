@@ -531,11 +531,23 @@ def test_query_equals_statement(spark, name):
     assert sorted(map(tuple, df.select(*order).collect()), key=repr) == sorted(cur.fetchall(), key=repr)
 
 
+CLASHES = ["_id", "_text", "_null", "_cut", "_gone", "_copies", "_copy", "key", "code", "least", "copies", "size", "kept", "m", "rep", "family"]
+
+
+def clashing(spark, docs):
+    """documents with columns that operators might use, and an id with two texts, one of them twice."""
+    rows = [(100001, None, None, None, None), (100002, "1 2 3", "en", "src1", 5)]
+    first, second = " ".join(f"alpha{k}" for k in range(60)), " ".join(f"omega{k}" for k in range(70))
+    rows += [(100003, first, "en", "src1", len(first))] * 2 + [(100003, second, "en", "src2", len(second))]
+    docs = docs.union(spark.createDataFrame(rows, docs.schema))
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.lit("clash"))
+    return docs, first, second
+
+
 def test_pipeline_stages(spark):
     """Each stage against a plain version of its decision, on its own input."""
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("_id", F.lit("clash")).withColumn("kept", F.lit(1))
-    docs = docs.union(spark.createDataFrame([(100001, None, None, None, None, "c", 1), (100002, "1 2 3", "en", "src1", 5, "c", 1)], docs.schema))
-    docs = docs.withColumnRenamed("_id", "extra")
+    docs, first, second = clashing(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"))
     columns = docs.columns
 
     def step(k, df):
@@ -543,29 +555,64 @@ def test_pipeline_stages(spark):
         assert k == 4 or (out.columns == columns and dict(out.dtypes) == dict(df.dtypes))
         return spark.createDataFrame(out.collect(), out.schema)
 
+    def only(df):
+        return Counter(t for i, t in rows_of(df) if i == 100003)
+
     named = step(0, docs)
     assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in named.collect()} == {
         i for i, t in rows_of(docs) if not t or not any(c.isalpha() for c in t)}
+    assert only(named) == {first: 2, second: 1}
     single = step(1, named)
-    assert sorted(r["doc_id"] for r in single.collect()) == [r[0] for r in brute_near(rows_of(named)) if r[3]]
-    cut = step(2, single)
-    want = {r[0]: r for r in brute_repeats(rows_of(single))}
+    plain = [r for r in rows_of(named) if r[0] != 100003]
+    assert sorted(r["doc_id"] for r in single.filter("doc_id <> 100003").collect()) == [r[0] for r in brute_near(plain, 80) if r[3]]
+    assert only(single) == {first: 1, second: 1}
+    twice = single.union(single.filter("doc_id = 100003"))
+    cut = step(2, twice)
+    want = {r[0]: r for r in brute_repeats([r for r in rows_of(single) if r[0] != 100003])}
     gone = {i for i, r in want.items() if r[1] and r[2] == r[1]}
-    assert {r["doc_id"] for r in cut.collect()} == set(want) - gone
-    assert all(hashlib.sha256(t.encode()).hexdigest() == want[i][4] for i, t in rows_of(cut) if "�" not in t and want[i][1] - want[i][2] == len(t.encode()))
+    left = [r for r in rows_of(cut) if r[0] != 100003]
+    assert sorted(i for i, _ in left) == sorted(set(want) - gone) and only(cut) == {first: 2, second: 2}
+    assert all(hashlib.sha256(t.encode()).hexdigest() == want[i][4] for i, t in left if "�" not in t and want[i][1] - want[i][2] == len(t.encode()))
     mixed = step(3, cut)
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(cut).collect()}
-    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({i: c for i, c in copies.items() if c})
+    taken = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mixing.mix(cut).collect()}
+    expected = Counter()
+    for r in cut.collect():
+        expected[r["doc_id"], r["text"]] += taken[r["doc_id"], r["source"], len(words(r["text"]))]
+    assert Counter(rows_of(mixed)) == +expected
     packed = step(4, mixed)
-    assert {r["doc_id"] for r in packed.collect()} == {i for i, c in copies.items() if c}
+    assert {r["doc_id"] for r in packed.collect()} == {i for i, _ in +expected}
     assert check_sequences([(r["sequence_id"], r["offset"], r["length"]) for r in packed.collect()]) <= -(-sum(r["length"] for r in packed.collect()) // 2048) + 1
 
 
+def test_stages_on_an_empty_table(spark, documents):
+    docs, _, _ = clashing(spark, documents)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.filter("doc_id < -1"), FOLDER)
+        assert out.collect() == [] and (name == "best-fit packing" or out.columns == docs.columns)
+
+
 def test_pipeline_runs_as_a_whole(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert rows and corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][0] == "language ID"
 
 
+def test_stages_on_hard_texts(spark, odd):
+    """Nulls, blanks, repeated rows, a text of two million characters: every stage runs, and only what it is to drop goes."""
+    long = " ".join(f"w{k * 7919 % 1000003}" for k in range(300_000))
+    docs = odd.union(spark.createDataFrame([(20, long, "en", "a", len(long), "x", 1), (21, long + " more words", "en", "b", 1, "x", 1)], DOCS))
+    lettered = corpus_pipeline.language_id(spark, docs, FOLDER)
+    assert sorted(i for i, _ in rows_of(lettered)) == [4, 4, 5, 6, 7, 8, 9, 20, 21]
+    single = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert sorted(i for i, _ in rows_of(single)) == [1, 2, 3, 4, 6, 8, 9, 10, 20]
+    cut = corpus_pipeline.suffix_dedup(spark, docs, FOLDER)
+    assert {i: t for i, t in rows_of(cut)}[21] == " more words"[-len(" more words"):] and {i: t for i, t in rows_of(cut)}[20] == long
+    assert [t for i, t in sorted(rows_of(cut), key=str) if i == 1] == [None]
+    copies = Counter(i for i, _ in rows_of(corpus_pipeline.mixing(spark, docs, FOLDER)))
+    assert set(copies) <= {4, 5, 6, 7, 8, 9, 10, 20, 21}
+    packed = corpus_pipeline.packing(spark, docs, FOLDER).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 20, 21}
+
+
 def test_pipeline_takes_near_copies_from_80_percent(spark):
     """One changed word of 54: 45 of 55 shingles are shared, 0.818; one of 40: 31 of 41 are, 0.756."""
     rows = []
