@@ -19,7 +19,7 @@ from . import text as T
 def _synonyms(keyword: Column) -> Column:
     pairs = []
     for word, others in K.SYNONYMS.items():
-        pairs += [F.lit(word), F.array(*[F.lit("x:" + o) for o in others.split()])]
+        pairs += [F.lit(word), F.array(*[F.lit("x:" + o) for o in others])]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), keyword), T.no_strings())
 
 

@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
@@ -27,7 +27,7 @@ class Lexicon(NamedTuple):
     terms: DataFrame
 
 
-def _or_blank(toks):
+def or_blank(toks):
     """A text without tokens holds the placeholder ``_``."""
     return F.when(F.size(toks) > 0, toks).otherwise(F.array(F.lit("_")))
 
@@ -35,7 +35,7 @@ def _or_blank(toks):
 def tokenised(chunks: DataFrame) -> DataFrame:
     """(scope, item_id, toks) of indexed chunks."""
     return chunks.select(
-        "scope", F.col("chunk_id").alias("item_id"), _or_blank(F.col("toks")).alias("toks")
+        "scope", F.col("chunk_id").alias("item_id"), or_blank(F.col("toks")).alias("toks")
     )
 
 
@@ -45,6 +45,10 @@ def scope_stats(items: DataFrame) -> DataFrame:
     )
 
 
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
 def term_stats(items: DataFrame, stats: DataFrame) -> DataFrame:
     """(scope, term, df, idf); a term in more than half of the chunks gets the floor weight."""
     df = (
@@ -52,9 +56,7 @@ def term_stats(items: DataFrame, stats: DataFrame) -> DataFrame:
         .groupBy("scope", "term")
         .agg(F.count("*").alias("df"))
     )
-    raw = df.join(stats, "scope").withColumn(
-        "raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    )
+    raw = df.join(stats, "scope").withColumn("raw", raw_idf(F.col("n"), F.col("df")))
     floor = raw.groupBy("scope").agg((F.avg("raw") * K.BM25_EPSILON).alias("floor"))
     return raw.join(floor, "scope").select(
         "scope", "term", "df",
@@ -65,7 +67,7 @@ def term_stats(items: DataFrame, stats: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
     """(scope, query_id, terms, weights, avg_len): repeated query words count repeatedly."""
     asked = queries.select("scope", "query_id", T.tokens(F.col("text")).alias("toks"))
-    exploded = asked.select("scope", "query_id", F.explode(_or_blank(F.col("toks"))).alias("term"))
+    exploded = asked.select("scope", "query_id", F.explode(or_blank(F.col("toks"))).alias("term"))
     counted = exploded.groupBy("scope", "query_id", "term").agg(F.count("*").alias("times"))
     weighed = counted.join(terms, ["scope", "term"]).select(
         "scope", "query_id", F.struct("term", (F.col("times") * F.col("idf")).alias("w")).alias("t")

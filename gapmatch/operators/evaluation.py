@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import text as T
 from .chunking import document_of
-from .retrieval import RetrievalConfig
-
-#: What each configuration of the comparison leaves out, and one with other chunks.
-LEFT_OUT = {
-    "all on": (), "rerank off": ("rerank",), "words off": ("bm25",), "variants off": ("multi_query",),
-    "vectors alone": ("multi_query", "bm25", "rerank"),
-}
-ABLATIONS = {name: (replace(RetrievalConfig(), **dict.fromkeys(off, False)), "parent_child") for name, off in LEFT_OUT.items()}
-ABLATIONS["windows"] = (RetrievalConfig(), "fixed")
-
+from .ranks import with_below
 
 def share(flag: Column) -> Column:
     """Mean of a boolean over the rows where it is known; null when there are none."""
@@ -92,8 +81,11 @@ def match_label(requirements: DataFrame, labels: DataFrame, keys: list[str]) ->
     return requirements.join(met, keys, "left")
 
 
-def grounding_outcomes(items: DataFrame, passages: DataFrame, sources: DataFrame, labels: DataFrame) -> DataFrame:
-    """Verdicts with the columns the grounding metrics read.
+def grounding_outcomes(
+    items: DataFrame, passages: DataFrame, sources: DataFrame, labels: DataFrame | None = None, expected: DataFrame | None = None
+) -> DataFrame:
+    """Verdicts with the columns the grounding metrics read. ``expected`` (scope, query_id, expected) are labels that
+    have been matched before.
 
     The quote is sought in the whole document it cites (``sources``: doc_key, text) and in the passages
     retrieved for its requirement.
@@ -106,9 +98,9 @@ def grounding_outcomes(items: DataFrame, passages: DataFrame, sources: DataFrame
         .agg(F.max(F.contains(T.normalise(F.col("passage")), quote)).alias("quote_in_context"))
     )
     asked = items.withColumn("requirement", F.col("text")).withColumn("doc_key", document_of(F.col("evidence_chunk_id")))
+    labelled = match_label(asked, labels, key) if expected is None else asked.join(expected, key, "left")
     return (
-        match_label(asked, labels, key)
-        .join(in_context, key, "left")
+        labelled.join(in_context, key, "left")
         .join(sources.select("doc_key", T.normalise(F.col("text")).alias("source_text")), "doc_key", "left")
         .select(
             *key, "requirement", F.col("status").alias("predicted"), "expected", "category", F.col("evidence_quote").alias("quote"),
@@ -214,17 +206,9 @@ def self_consistency(repeats: DataFrame, key: str, *by: str) -> DataFrame:
 
 
 def average_ranks(scores: DataFrame, value: str, name: str, by: str) -> DataFrame:
-    """(by, value, name): the shared rank of every distinct value within its group.
-
-    Ranks are found on the counts of distinct values, which are few even when one group holds a
-    large part of all rows; the rows themselves are never sorted.
-    """
-    counts = scores.groupBy(by, value).agg(F.count("*").alias("n"))
-    below = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        by, value,
-        (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2).alias(name),
-    )
+    """(by, value, name): the shared rank of every distinct value within its group."""
+    counts = with_below(scores.groupBy(by, value).agg(F.count("*").alias("n")), by, value)
+    return counts.select(by, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
 
 
 def spearman(scores: DataFrame, by: str) -> DataFrame:

@@ -249,8 +249,8 @@ def verify_citations(items: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def heuristic_judge(items: DataFrame, passages: DataFrame) -> DataFrame:
-    """(key, supported, score): does the quote carry the decisive term and enough weight, weighed
-    within the requirement's own passages? Any function of this shape can serve as the judge."""
+    """(key, supported, score, gate): does the quote carry the decisive term and enough weight, weighed
+    within the requirement's own passages? ``judges`` runs it beside others."""
     own = passages.withColumn("scope", F.concat_ws("|", "scope", "query_id"))
     asked = items.filter("evidence_quote is not null and evidence_quote <> ''").select(
         F.concat_ws("|", "scope", "query_id").alias("scope"), "query_id", "text", "evidence_quote",
@@ -267,5 +267,5 @@ def heuristic_judge(items: DataFrame, passages: DataFrame) -> DataFrame:
     )
     return scored.select(
         *KEY, (F.col("gate") & (F.col("score") >= K.JUDGE_COVERAGE)).alias("supported"),
-        F.round("score", 3).alias("score"),
+        F.round("score", 3).alias("score"), "gate",
     )

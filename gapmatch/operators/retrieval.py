@@ -8,7 +8,6 @@ Scope is a key column of every step, so no step can mix two scopes. Chunks carry
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,22 +19,9 @@ from .bm25 import Lexicon, bm25_top_k
 from .topk import cosine, top_k
 from .vectors import Embedder, hashed_embedder
 
+Variants = Callable[[Column], Column]
 Reranker = Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame]
-
-
-@dataclass(frozen=True)
-class RetrievalConfig:
-    """Switches for measuring what each stage adds; the defaults are the whole pipeline."""
-
-    multi_query: bool = True
-    bm25: bool = True
-    rerank: bool = True
-    candidate_k: int = K.CANDIDATE_K
-    top_k: int = K.TOP_K
-    max_variants: int = K.MAX_VARIANTS
-
-
-FULL = RetrievalConfig()
+LEXICAL = "bm25"  #: name of the lexical ranking; dense ones are named by the number of their variant
 
 
 # --- query variants ----------------------------------------------------------------------
@@ -67,19 +53,21 @@ def query_variants(requirement: Column, limit: int = K.MAX_VARIANTS) -> Column:
 
 
 # --- rankings ----------------------------------------------------------------------------
+def as_asked(requirement: Column) -> Column:
+    """No variants: the query as it stands."""
+    return F.array(requirement)
+
+
 def dense_rankings(
-    chunks: DataFrame, queries: DataFrame, embed: Embedder, cfg: RetrievalConfig = FULL, **kw
+    chunks: DataFrame, queries: DataFrame, embed: Embedder, variants: Variants = query_variants, k: int = K.CANDIDATE_K, **kw
 ) -> DataFrame:
     """(scope, query_id, ranking, chunk_id, score, rank), one ranking per query variant."""
-    variants = (
-        query_variants(F.col("text"), cfg.max_variants) if cfg.multi_query else F.array(F.col("text"))
-    )
-    asked = queries.select("scope", "query_id", F.posexplode(variants).alias("v", "q")).select(
+    asked = queries.select("scope", "query_id", F.posexplode(variants(F.col("text"))).alias("v", "q")).select(
         "scope", F.concat_ws("|", F.col("v").cast("string"), "query_id").alias("query_id"),
         embed(F.col("q")).cast("array<float>").alias("vec"),
     )
     items = chunks.select("scope", F.col("chunk_id").alias("item_id"), "vec")
-    return top_k(items, asked, cosine, cfg.candidate_k, **kw).select(
+    return top_k(items, asked, cosine, k, **kw).select(
         "scope", F.regexp_replace("query_id", r"^\d+\|", "").alias("query_id"),
         F.substring_index("query_id", "|", 1).alias("ranking"),
         F.col("item_id").alias("chunk_id"), "score", "rank",
@@ -87,12 +75,12 @@ def dense_rankings(
 
 
 def bm25_rankings(
-    chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = FULL, lexicon: Lexicon | None = None, **kw
+    chunks: DataFrame, queries: DataFrame, lexicon: Lexicon | None = None, k: int = K.CANDIDATE_K, **kw
 ) -> DataFrame:
     """``lexicon`` holds stored term statistics; without it they are counted from the chunks."""
-    found = bm25_top_k(chunks, queries, cfg.candidate_k, lexicon, **kw)
+    found = bm25_top_k(chunks, queries, k, lexicon, **kw)
     return found.select(
-        "scope", "query_id", F.lit("bm25").alias("ranking"), F.col("item_id").alias("chunk_id"),
+        "scope", "query_id", F.lit(LEXICAL).alias("ranking"), F.col("item_id").alias("chunk_id"),
         "score", "rank",
     )
 
@@ -163,43 +151,31 @@ def keep_order(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k:
 
 
 def all_rankings(
-    chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = FULL,
-    embed: Embedder | None = None, lexicon: Lexicon | None = None, **kw,
+    chunks: DataFrame, queries: DataFrame, embed: Embedder | None = None, lexicon: Lexicon | None = None,
+    variants: Variants = query_variants, k: int = K.CANDIDATE_K, **kw,
 ) -> DataFrame:
     """Dense and lexical rankings in one table. ``embed`` is what the index was built with."""
-    rankings = dense_rankings(chunks, queries, embed or hashed_embedder(), cfg, **kw)
-    if cfg.bm25:
-        rankings = rankings.unionByName(bm25_rankings(chunks, queries, cfg, lexicon, **kw))
-    return rankings
+    dense = dense_rankings(chunks, queries, embed or hashed_embedder(), variants, k, **kw)
+    return dense.unionByName(bm25_rankings(chunks, queries, lexicon, k, **kw))
 
 
 def rank_chunks(
-    chunks: DataFrame, queries: DataFrame, cfg: RetrievalConfig = FULL,
-    embed: Embedder | None = None, reranker: Reranker | None = None,
-    rankings: DataFrame | None = None, **kw,
+    chunks: DataFrame, queries: DataFrame, embed: Embedder | None = None, reranker: Reranker = coverage_rerank,
+    rankings: DataFrame | None = None, k: int = K.CANDIDATE_K, **kw,
 ) -> DataFrame:
-    """Ranked child chunks of every query.
-
-    ``rankings`` may hold the full set computed before; the switches then only select from it.
-    """
+    """Ranked child chunks of every query, from ``rankings`` or from all of them."""
     if rankings is None:
-        rankings = all_rankings(chunks, queries, cfg, embed, **kw)
-    else:
-        if not cfg.bm25:
-            rankings = rankings.filter("ranking <> 'bm25'")
-        if not cfg.multi_query:
-            rankings = rankings.filter("ranking in ('0', 'bm25')")
-    reranker = reranker or (coverage_rerank if cfg.rerank else keep_order)
-    return reranker(fuse(rankings), chunks, queries, cfg.candidate_k)
+        rankings = all_rankings(chunks, queries, embed, k=k, **kw)
+    return reranker(fuse(rankings), chunks, queries, k)
 
 
 # --- small to big ------------------------------------------------------------------------
 def passages(
-    ranked: DataFrame, chunks: DataFrame, parents: DataFrame, cfg: RetrievalConfig = FULL
+    ranked: DataFrame, chunks: DataFrame, parents: DataFrame, top: int = K.TOP_K
 ) -> DataFrame:
     """(scope, query_id, rank, chunk_id, parent_id, section, page, score, text).
 
-    The best hit of every parent, in rank order, at most ``top_k``; below the noise floor only the
+    The best hit of every parent, in rank order, at most ``top``; below the noise floor only the
     single best passage is kept. The parent text joins after the cut.
     """
     located = ranked.join(
@@ -211,7 +187,7 @@ def passages(
         located.withColumn("nth", F.row_number().over(per_parent))
         .filter("nth = 1")
         .withColumn("place", F.row_number().over(per_query.orderBy("rank")))
-        .filter(F.col("place") <= cfg.top_k)
+        .filter(F.col("place") <= top)
         .withColumn("loud", F.count(F.when(F.col("score") >= K.SCORE_FLOOR, 1)).over(per_query))
         .filter((F.col("score") >= K.SCORE_FLOOR) | ((F.col("loud") == 0) & (F.col("place") == 1)))
         .withColumn("rank", F.row_number().over(per_query.orderBy("place")))
@@ -223,10 +199,8 @@ def passages(
     )
 
 
-def retrieve(
-    chunks: DataFrame, parents: DataFrame, queries: DataFrame, cfg: RetrievalConfig = FULL, **kw
-) -> DataFrame:
-    return passages(rank_chunks(chunks, queries, cfg, **kw), chunks, parents, cfg)
+def retrieve(chunks: DataFrame, parents: DataFrame, queries: DataFrame, top: int = K.TOP_K, **kw) -> DataFrame:
+    return passages(rank_chunks(chunks, queries, **kw), chunks, parents, top)
 
 
 def parent_text(chunks: DataFrame, parents: DataFrame, wanted: DataFrame) -> DataFrame:

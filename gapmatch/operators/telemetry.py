@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import text as T
+from ..storage import written
+from .ranks import with_below
 
 MONEY = "decimal(18,9)"
 
@@ -100,26 +102,28 @@ def exact_percentile(rows: DataFrame, key: str, value: str, p: float, slack: flo
     """(key, n, value at p), exact and interpolated, without holding a group's values anywhere.
 
     A sketch brackets the wanted rank; rows below the bracket are only counted, and just the sliver
-    inside it is ranked, as counts of distinct values.
+    inside it is ranked, as counts of distinct values cut into bounded ranges.
     """
-    bracket = rows.groupBy(key).agg(
+    slim = written(rows.select(key, value).filter(F.col(value).isNotNull()), "values")  # read twice below
+    bracket = slim.groupBy(key).agg(
         F.count(value).alias("n"),
         F.percentile_approx(value, [max(0.0, p - slack), min(1.0, p + slack)], 10_000).alias("b"),
     )
-    known = rows.select(key, value).join(bracket.select(key, "b"), key)
-    v, low, high = F.col(value), F.col("b")[0], F.col("b")[1]
-    # The two neighbours of the bracket: the wanted rank of a small group may lie one step outside.
-    edges = known.groupBy(key).agg(
-        F.count_if(v < low).alias("below"), F.max(F.when(v < low, v)).alias("before"), F.min(F.when(v > high, v)).alias("after"),
-    )
-    inside = (
-        known.filter(v.between(low, high))
-        .groupBy(key, value)
-        .agg(F.count("*").alias("times"))
-    )
-    ranked = inside.withColumn("upto", F.sum("times").over(Window.partitionBy(key).orderBy(value)))
+    bracket = written(bracket.select(key, "n", F.col("b")[0].alias("low"), F.col("b")[1].alias("high")), "bracket")
+    v, low, high = F.col(value), F.col("low"), F.col("high")
+    # One pass: the sliver by value, and a row for all the rest. The rest has the two neighbours of the bracket: the wanted
+    # rank of a small group may lie one step outside.
+    split = slim.join(bracket, key).groupBy(key, F.when(v.between(low, high), v).alias("v")).agg(
+        F.count("*").alias("times"), F.count_if(v < low).alias("below"), F.max(F.when(v < low, v)).alias("before"),
+        F.min(F.when(v > high, v)).alias("after"),
+    )
+    split = written(split, "sliver")
+    sliver = with_below(split.filter("v is not null").select(key, "v", "times"), key, "v", "times")
+    ranked = sliver.select(key, F.col("v").alias(value), (F.col("below") + F.col("times")).alias("upto"))
+    edges = split.filter("v is null").select(key, "below", "before", "after")
     at = p * (F.col("n") - 1)
-    placed = ranked.join(edges, key).join(bracket.select(key, "n"), key).withColumn("last", F.col("below") + F.col("upto"))
+    known = bracket.select(key, "n").join(edges, key, "left").withColumn("below", F.coalesce("below", F.lit(0)))
+    placed = ranked.join(known, key).withColumn("last", F.col("below") + F.col("upto"))
     # Row numbers are 0-based: a value covers ranks up to last - 1.
     def at_rank(rank, name):
         inside = F.min(F.when(F.col("last") > rank, v))

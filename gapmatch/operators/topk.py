@@ -38,7 +38,7 @@ def _cut(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
     return query[top], ids[top], score[top]
 
 
-def _best(items: pd.DataFrame, queries: pd.DataFrame, scorer: Scorer, k: int, floor: float | None):
+def best_of(items: pd.DataFrame, queries: pd.DataFrame, scorer: Scorer, k: int, floor: float | None):
     """(query row, item id, score) of the k best items of every query, scored a bounded slice at a time."""
     step = max(k, CELLS // len(queries))
     found = []
@@ -69,7 +69,7 @@ def _in_place(items: DataFrame, queries: pd.DataFrame, scorer, k, floor) -> Data
             for scope, block in batch.groupby("scope"):
                 asked = by_scope.get(scope)
                 if asked is not None:
-                    new = _best(block, asked, scorer, k, floor)
+                    new = best_of(block, asked, scorer, k, floor)
                     old = best.get(scope)
                     best[scope] = _cut(*(np.concatenate(x) for x in zip(old, new)), k) if old else new
         for scope, kept in best.items():
@@ -101,7 +101,7 @@ def _in_blocks(items: DataFrame, queries: DataFrame, scorer, k, floor) -> DataFr
         if left.empty or right.empty:
             return pd.DataFrame({"scope": [], "query_id": [], "item_id": [], "score": []})
         asked = right.reset_index(drop=True)
-        return _frame(key[0], asked, *_best(left, asked, scorer, k, floor))
+        return _frame(key[0], asked, *best_of(left, asked, scorer, k, floor))
 
     keys = ["scope", "ib", "qb"]
     return placed_items.groupBy(*keys).cogroup(placed_queries.groupBy(*keys)).applyInPandas(run, OUT)

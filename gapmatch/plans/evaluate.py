@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import evaluation as E
-from ..operators import evidence as V
+from ..operators import grid as G
 from ..operators import interview as I
 from ..operators import reports as P
 from ..operators import requirements as Q
-from ..operators import retrieval as R
 from ..operators.index import build_index, written
 from ..operators.vectors import hashed_embedder
 from ..sources import documents as D
@@ -40,52 +39,37 @@ def _pair_texts(spark: SparkSession, folder: str, column: str) -> DataFrame:
     return pairs.join(files, "file").select("scope", F.concat(F.lit(column), "scope").alias("doc_key"), "text")
 
 
-def quality_metrics(spark: SparkSession, folder: str, digest: str = "md5") -> DataFrame:
-    """One row per configuration of the ablation grid: retrieval and grounding metrics side by side."""
+def quality_metrics(spark: SparkSession, folder: str, digest: str = "md5", grid: dict[str, G.Choice] = G.GRID) -> DataFrame:
+    """One row per configuration: retrieval and grounding metrics side by side, from one grouped plan."""
     embed = hashed_embedder(digest=digest)
     cvs, jds = _pair_texts(spark, folder, "cv"), _pair_texts(spark, folder, "jd")
     docs = cvs.select("scope", "doc_key", C.single_page(F.col("text")).alias("pages"))
     labels, probes = S.read_labels(spark, f"{folder}/labels.json")
-    reqs = written(
-        Q.extract(jds, "scope").withColumn("query_id", F.col("order_index").cast("string")).drop("order_index"), "requirements"
-    )
+    # Probes and requirements are ranked together, told apart by their ids.
+    probes = probes.withColumn("query_id", F.concat(F.lit("probe-"), "query_id"))
+    reqs = written(Q.extract(jds, "scope").withColumn("query_id", F.concat(F.lit("item-"), F.col("order_index").cast("string"))), "requirements")
+    indexes = {strategy: build_index(docs, strategy, "CV", embed) for strategy in dict.fromkeys(c.strategy for c in grid.values())}
+    asked = probes.select("scope", "query_id", "text").union(reqs.select("scope", "query_id", "text"))
+    found = G.measure(indexes, written(asked, "asked"), grid, embed)
     wanted = probes.select("scope", "query_id", F.transform("wanted", T.normalise).alias("wanted"))
-    out = None
-    indexes: dict = {}
-    for name, (cfg, strategy) in E.ABLATIONS.items():
-        ix = indexes.setdefault(strategy, None) or build_index(docs, strategy, "CV", embed)
-        indexes[strategy] = ix
-        ranked = R.rank_chunks(ix.children, probes, cfg, embed, lexicon=ix.lexicon)
-        retrieval = E.retrieval_metrics(E.first_relevant(ranked, ix.children, wanted))
-        passages = written(R.retrieve(ix.children, ix.parents, reqs, cfg, embed=embed, lexicon=ix.lexicon), "passages", ("scope", "query_id", "rank"))
-        items = written(V.verify_citations(V.verdicts(reqs, passages), passages), "items")
-        outcomes = E.grounding_outcomes(items, passages, cvs, labels)
-        reports = P.match_reports(items.withColumnRenamed("scope", "session_id").withColumn("order_key", F.col("query_id").cast("int")).withColumn("requirement", F.col("text")))
-        stated = E.numeric_consistency(reports, outcomes.filter("kind = 'evidenceable'").withColumnRenamed("scope", "session_id"))
-        judged = V.heuristic_judge(items, passages)
-        # One-row tables side by side.
-        row = (
-            retrieval.withColumn("one", F.lit(1))
-            .join(E.grounding_metrics(outcomes).withColumn("one", F.lit(1)), "one")
-            .join(stated.agg(F.round(E.share(F.col("consistent")), 6).alias("summary_numeric_consistency")).withColumn("one", F.lit(1)), "one")
-            .join(judged.agg(F.round(E.share(F.col("supported")), 6).alias("judge_support_rate")).withColumn("one", F.lit(1)), "one")
-            .drop("one")
-            .select(F.lit(name).alias("config"), "*")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def scoring_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """One row: agreement with the hand-scored answers. Scoring is deterministic, so every answer is
-    scored once and its repeats are equal by construction."""
+    retrieval = G.retrieval_by_config(found, wanted, grid)
+    grounded = G.ground(found, reqs.drop("order_index"), cvs, labels, grid, verify=True)
+    place = F.regexp_extract("query_id", r"(\d+)$", 1).cast("int")
+    items = grounded.items.withColumnRenamed("scope", "session_id").withColumn("order_key", place).withColumn("requirement", F.col("text"))
+    stated = E.numeric_consistency(P.match_reports(items), grounded.outcomes.filter("kind = 'evidenceable'").withColumnRenamed("scope", "session_id"))
+    consistent = stated.groupBy(G.config_of(F.col("session_id")).alias("config")).agg(F.round(E.share(F.col("consistent")), 6).alias("summary_numeric_consistency"))
+    return retrieval.join(grounded.metrics(), "config").join(consistent, "config", "left").join(grounded.support(), "config", "left")
+
+
+def scoring_metrics(spark: SparkSession, folder: str, repeats: int = 3) -> DataFrame:
+    """One row: agreement with the hand-scored answers, and the deviation measured over ``repeats`` scorings of each."""
     answers, pairs = S.read_answers(spark, f"{folder}/answers.json")
-    scored = written(I.score_answers(I.answer_features(answers)).select("answer_id", "expected", F.col("overall_score").alias("predicted")), "scored")
-    one = scored.withColumn("suite", F.lit(1))
+    scored = G.repeated_scores(answers, lambda rows: I.score_answers(I.answer_features(rows)), repeats).withColumn("suite", F.lit(1))
+    first = scored.filter("repeat = 0").withColumn("predicted", F.col("score"))
     return (
-        E.score_agreement(one, "suite")
-        .join(E.spearman(one, "suite").drop("answers"), "suite")
-        .join(E.pairwise_accuracy(E.pair_outcomes(pairs, scored)).withColumn("suite", F.lit(1)), "suite")
+        G.scoring_by_repeat(scored, "suite")
+        .join(E.spearman(first, "suite").drop("answers"), "suite")
+        .join(E.pairwise_accuracy(E.pair_outcomes(pairs, first)).withColumn("suite", F.lit(1)), "suite", "left")
         .drop("suite")
     )
 

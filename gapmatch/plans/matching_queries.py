@@ -8,6 +8,7 @@ from ..functions import matching as M
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import evidence as V
+from ..operators import judges as J
 from ..operators import reports as P
 from ..operators import requirements as Q
 from ..operators.index import written
@@ -115,7 +116,7 @@ def refused_postings(spark, sf_dir):
     return P.refused_sessions(docs, Q.extract(docs, "doc_key"), "doc_key")
 
 
-def _labels(spark, sf_dir):
+def labels(spark, sf_dir):
     """Label phrases of a session: every distinctive term of the whole texts of its labelled documents."""
     labelled = table(spark, sf_dir, "labels").select("doc_id", _expected().alias("expected"))
     return spread(documents(spark, sf_dir).select("scope", "doc_id", "text")).join(labelled, "doc_id").select(
@@ -126,7 +127,7 @@ def _labels(spark, sf_dir):
 def label_match(spark, sf_dir):
     """First label phrase that occurs in a requirement."""
     asked = posting_items(spark, sf_dir).select("scope", "query_id", F.col("text").alias("requirement"))
-    return E.match_label(asked, _labels(spark, sf_dir), ["scope", "query_id"]).select("scope", "query_id", "expected")
+    return E.match_label(asked, labels(spark, sf_dir), ["scope", "query_id"]).select("scope", "query_id", "expected")
 
 
 def _expected():
@@ -136,7 +137,7 @@ def _expected():
 def _outcomes(spark, sf_dir):
     """The engine's own verdicts against the labels."""
     sources = documents(spark, sf_dir).select("doc_key", "text")
-    return E.grounding_outcomes(judged_items(spark, sf_dir), passages(spark, sf_dir), sources, _labels(spark, sf_dir))
+    return E.grounding_outcomes(judged_items(spark, sf_dir), passages(spark, sf_dir), sources, labels(spark, sf_dir))
 
 
 def grounding_metrics(spark, sf_dir):
@@ -166,7 +167,21 @@ def summary_consistency(spark, sf_dir):
 
 
 def judge_support(spark, sf_dir):
-    return V.heuristic_judge(judged_items(spark, sf_dir), passages(spark, sf_dir))
+    return V.heuristic_judge(judged_items(spark, sf_dir), passages(spark, sf_dir)).drop("gate")
+
+
+def _opinions(spark, sf_dir):
+    items, found = judged_items(spark, sf_dir), passages(spark, sf_dir)
+    return written(J.heuristic_judged(items, found).unionByName(J.judged(items, found, [J.VERBATIM])), "opinions")
+
+
+def judge_opinions(spark, sf_dir):
+    """Two judges over one table of verdicts, with their reasons."""
+    return _opinions(spark, sf_dir).withColumn("score", F.round("score", 3))
+
+
+def judge_rollup(spark, sf_dir):
+    return J.by_judge(_opinions(spark, sf_dir))
 
 
 def letter_material(spark, sf_dir):
@@ -192,6 +207,6 @@ QUERIES = {
     for f in (
         idf, weighted_coverage, pivot_gate, best_sentence, best_evidence, verdicts, match_report, report_digest,
         citation_check, kind_carry, requirement_extract, refused_postings, label_match, grounding_metrics,
-        grounding_disagreements, grounding_rollup, summary_consistency, judge_support, letter_material, bullet_gate,
+        grounding_disagreements, grounding_rollup, summary_consistency, judge_support, judge_opinions, judge_rollup, letter_material, bullet_gate,
     )
 }

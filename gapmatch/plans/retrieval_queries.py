@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import grid as G
 from ..operators import retrieval as R
 from ..operators.index import written
 from ..operators.topk import cosine, top_k
@@ -26,18 +27,25 @@ def _ranked(ix, asked):
     return R.rank_chunks(ix.children, asked, lexicon=ix.lexicon)
 
 
+def _scoped(spark, sf_dir):
+    """The requirements and the part of the index that their sessions are in."""
+    asked = requirements(spark, sf_dir)
+    return index(spark, sf_dir, asked=asked), asked
+
+
 def bm25_topk(spark, sf_dir):
     found = _lexical(global_index(spark, sf_dir), probes(spark, sf_dir))
     return _out(found.filter("rank <= 5")).select("query_id", "rank", "chunk_id", "score")
 
 
 def bm25_scoped(spark, sf_dir):
-    found = _lexical(index(spark, sf_dir), requirements(spark, sf_dir))
+    found = _lexical(*_scoped(spark, sf_dir))
     return _out(found).select("scope", "query_id", "rank", "chunk_id", "score")
 
 
 def hashed_dense_topk(spark, sf_dir):
-    found = R.dense_rankings(index(spark, sf_dir).children, requirements(spark, sf_dir), hashed_embedder())
+    ix, asked = _scoped(spark, sf_dir)
+    found = R.dense_rankings(ix.children, asked, hashed_embedder())
     return _out(found).select("scope", "query_id", "ranking", "rank", "chunk_id", "score")
 
 
@@ -78,39 +86,39 @@ def query_variants(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
-    ix, asked = index(spark, sf_dir), requirements(spark, sf_dir)
+    ix, asked = _scoped(spark, sf_dir)
     both = R.dense_rankings(ix.children, asked, hashed_embedder()).unionByName(_lexical(ix, asked))
     return _out(R.fuse(both))
 
 
 def coverage_rerank(spark, sf_dir):
     """Rerank of the lexical ranking alone."""
-    ix, asked = index(spark, sf_dir), requirements(spark, sf_dir)
+    ix, asked = _scoped(spark, sf_dir)
     fused = R.fuse(_lexical(ix, asked))
     return _out(R.coverage_rerank(fused, ix.children, asked, 15))
 
 
 def ranked_children(spark, sf_dir):
-    return _out(_ranked(index(spark, sf_dir), requirements(spark, sf_dir)))
+    return _out(_ranked(*_scoped(spark, sf_dir)))
 
 
 def small_to_big(spark, sf_dir):
-    ix = index(spark, sf_dir)
-    found = R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir), lexicon=ix.lexicon)
+    ix, asked = _scoped(spark, sf_dir)
+    found = R.retrieve(ix.children, ix.parents, asked, lexicon=ix.lexicon)
     return _out(found).withColumn("text_md5", F.md5("text")).drop("text")
 
 
 def parent_lookup(spark, sf_dir):
     """Parent of the best lexical hit of every requirement."""
-    ix = index(spark, sf_dir)
-    best = _lexical(ix, requirements(spark, sf_dir)).filter("rank = 1").select("scope", "chunk_id").distinct()
+    ix, asked = _scoped(spark, sf_dir)
+    best = _lexical(ix, asked).filter("rank = 1").select("scope", "chunk_id").distinct()
     return R.parent_text(ix.children, ix.parents, best).select("scope", "chunk_id", "parent_id", F.md5("text").alias("text_md5"))
 
 
 def passage_digest(spark, sf_dir):
     """Top three passages of every requirement, cut to a readable length."""
-    ix = index(spark, sf_dir)
-    found = R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir), lexicon=ix.lexicon).filter("rank <= 3")
+    ix, asked = _scoped(spark, sf_dir)
+    found = R.retrieve(ix.children, ix.parents, asked, lexicon=ix.lexicon).filter("rank <= 3")
     return found.select("scope", "query_id", "rank", "section", "page", F.left(T.squeeze(F.col("text")), F.lit(280)).alias("digest"))
 
 
@@ -144,11 +152,11 @@ def retrieval_ablation(spark, sf_dir):
     asked = probes(spark, sf_dir)
     scored: dict = {}
     out = None
-    for name, (cfg, strategy) in E.ABLATIONS.items():
-        ix = global_index(spark, sf_dir, strategy)
-        if strategy not in scored:
-            scored[strategy] = written(R.all_rankings(ix.children, asked, lexicon=ix.lexicon), "rankings")
-        ranked = R.rank_chunks(ix.children, asked, cfg, rankings=scored[strategy])
+    for name, choice in G.GRID.items():
+        ix = global_index(spark, sf_dir, choice.strategy)
+        if choice.strategy not in scored:
+            scored[choice.strategy] = written(R.all_rankings(ix.children, asked, lexicon=ix.lexicon), "rankings")
+        ranked = R.rank_chunks(ix.children, asked, reranker=choice.reranker, rankings=scored[choice.strategy].filter(choice.rankings))
         row = E.retrieval_metrics(_relevant(ranked, ix.children, asked)).select(
             F.lit(name).alias("config"), "*"
         )

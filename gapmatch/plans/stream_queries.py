@@ -11,6 +11,7 @@ from ..operators import telemetry as L
 from ..operators.index import work_dir
 from ..sources import documents as D
 from ..streaming import jobs as J
+from ..streaming.breaches import breach_events
 from . import tables
 
 
@@ -60,6 +61,17 @@ def spend_breach(spark, sf_dir):
     return found.withColumn("spent_usd", F.col("spent_usd").cast("double"))
 
 
+def spend_breach_keyed(spark, sf_dir):
+    """The same breaches from keyed state, without a second look at the calls."""
+    base = _base(spark, "breaches")
+    rates = L.rate_table(spark)
+    calls = tables.calls_of(_stream(spark, sf_dir, "events")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    priced = L.price(calls, rates).withColumn("installation", F.col("model"))
+    _done(J.start(breach_events(priced, 0.05, "0 seconds"), J.into(f"{base}/events"), base))
+    found = spark.read.schema("installation string, call_id bigint, created_at timestamp, spent_usd decimal(18,9)").parquet(f"{base}/events")
+    return found.select("installation", "call_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.col("spent_usd").cast("double").alias("spent_usd"))
+
+
 def _ingested(spark, sf_dir):
     base = _base(spark, "ingest")
     docs = _stream(spark, sf_dir, "documents").select(F.concat(F.lit("cv"), "doc_id").alias("doc_key"), "text")
@@ -67,6 +79,16 @@ def _ingested(spark, sf_dir):
     return J.ingested(spark, base)
 
 
+def ingest_transitions(spark, sf_dir):
+    """States that every document went through when all arrive twice in one batch, first as an empty draft."""
+    base = _base(spark, "transitions")
+    arrived = _stream(spark, sf_dir, "documents").select(
+        F.concat(F.lit("cv"), "doc_id").alias("doc_key"), F.explode(F.array(F.struct(F.lit(0).alias("nth"), F.lit("").alias("text")), F.struct(F.lit(1).alias("nth"), "text"))).alias("a"))
+    _done(J.ingest(arrived.select("doc_key", "a.nth", "a.text"), base, order=("nth",)))
+    steps = J.ingest_log(spark, base).groupBy("doc_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "step", "state"))), lambda s: s["state"]), ">").alias("states"))
+    return steps.join(J.ingest_states(spark, base), "doc_key")
+
+
 def stream_ingest(spark, sf_dir):
     return _ingested(spark, sf_dir)[0]
 
@@ -84,4 +106,4 @@ def status_stream(spark, sf_dir):
     return J.newest(spark, f"{base}/sessions", ["session_id"])
 
 
-QUERIES = {f.__name__: f for f in (stream_rate_windows, stream_rate_tiers, spend_breach, stream_ingest, stream_chunks, status_stream)}
+QUERIES = {f.__name__: f for f in (stream_rate_windows, stream_rate_tiers, spend_breach, spend_breach_keyed, stream_ingest, ingest_transitions, stream_chunks, status_stream)}

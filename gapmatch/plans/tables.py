@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from ..operators import chunking as C
 from ..operators import evidence as V
 from ..operators import retrieval as R
 from ..operators.scorecards import latest_per_key
-from ..operators.index import Index, build_index, written
+from ..operators.chunk_store import ChunkStore, chunks_of
+from ..operators.index import Index, build_index
 from ..sources.documents import ready_documents
+from ..storage import stamp, work_dir, written
 
 SESSIONS = 20  # values of documents.source
 
@@ -39,21 +42,61 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if few else df
 
 
+def _changed(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What tells a table from an earlier state of it."""
+    return tuple(stamp(spark, f"{sf_dir}/{name}.parquet") for name in names)
+
+
 @lru_cache(maxsize=16)
-def _index(spark: SparkSession, sf_dir: str, strategy: str) -> Index:
-    return build_index(spread(ready_documents(documents(spark, sf_dir))), strategy)
+def _store(spark: SparkSession, sf_dir: str, _: tuple) -> ChunkStore:
+    candidates = chunks_of(spread(ready_documents(documents(spark, sf_dir))), "cv")
+    return ChunkStore(spark, f"{work_dir(spark)}/chunk-store-{uuid.uuid4().hex}").create(candidates)
+
+
+def store(spark: SparkSession, sf_dir: str) -> ChunkStore:
+    """The stored chunks of the documents that pass the guards; built on first use, as at ingestion."""
+    return _store(spark, sf_dir, _changed(spark, sf_dir, "documents"))
 
 
-def index(spark: SparkSession, sf_dir: str, strategy: str = "parent_child") -> Index:
-    """The stored chunk index of the documents that pass the guards; built on first use, as at ingestion."""
-    return _index(spark, sf_dir, strategy)
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are postings, under keys of their own."""
+    found = documents(spark, sf_dir).filter(document_kind() == "jd")
+    return found.withColumn("doc_key", F.concat(F.lit("jd"), "doc_id"))
 
 
 @lru_cache(maxsize=16)
-def global_index(spark: SparkSession, sf_dir: str, strategy: str = "parent_child") -> Index:
+def _two_sided(spark: SparkSession, sf_dir: str, changed: tuple) -> ChunkStore:
+    held, docs = _store(spark, sf_dir, changed), spread(ready_documents(postings(spark, sf_dir)))
+    held.upsert(docs.withColumn("doc_kind", F.lit("jd")), chunks_of(docs, "jd"))
+    return held
+
+
+def two_sided(spark: SparkSession, sf_dir: str) -> ChunkStore:
+    """The same store with the postings beside the candidate documents."""
+    return _two_sided(spark, sf_dir, _changed(spark, sf_dir, "documents"))
+
+
+@lru_cache(maxsize=16)
+def _fixed_index(spark: SparkSession, sf_dir: str, _: tuple) -> Index:
+    return build_index(spread(ready_documents(documents(spark, sf_dir))), "fixed")
+
+
+def index(spark: SparkSession, sf_dir: str, strategy: str = "parent_child", asked: DataFrame | None = None) -> Index:
+    """The stored index of the candidate documents; ``asked`` (scope, ...) limits it to the buckets of its scopes."""
+    if strategy == "fixed":
+        return _fixed_index(spark, sf_dir, _changed(spark, sf_dir, "documents"))
+    return store(spark, sf_dir).index("cv", asked)
+
+
+@lru_cache(maxsize=16)
+def _global_index(spark: SparkSession, sf_dir: str, strategy: str, _: tuple) -> Index:
     return index(spark, sf_dir, strategy).under(F.lit("all")).with_lexicon()
 
 
+def global_index(spark: SparkSession, sf_dir: str, strategy: str = "parent_child") -> Index:
+    return _global_index(spark, sf_dir, strategy, _changed(spark, sf_dir, "documents"))
+
+
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scope, query_id, text): each benchmark text is a requirement of exactly one session."""
     return table(spark, sf_dir, "benchmark").select(
@@ -73,17 +116,26 @@ def posting_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
+def _passages(spark: SparkSession, sf_dir: str, _: tuple) -> DataFrame:
+    asked = requirements(spark, sf_dir)
+    ix = index(spark, sf_dir, asked=asked)
+    found = R.retrieve(ix.children, ix.parents, asked, lexicon=ix.lexicon)
+    return written(found, "passages", ("scope", "query_id", "rank"))
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored evidence map: passages retrieved for every requirement."""
-    ix = index(spark, sf_dir)
-    found = R.retrieve(ix.children, ix.parents, requirements(spark, sf_dir), lexicon=ix.lexicon)
-    return written(found, "passages", ("scope", "query_id", "rank"))
+    return _passages(spark, sf_dir, _changed(spark, sf_dir, "documents", "benchmark"))
 
 
 @lru_cache(maxsize=8)
+def _judged_items(spark: SparkSession, sf_dir: str, _: tuple) -> DataFrame:
+    return written(V.verdicts(posting_items(spark, sf_dir), passages(spark, sf_dir)), "items")
+
+
 def judged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored match items of every session."""
-    return written(V.verdicts(posting_items(spark, sf_dir), passages(spark, sf_dir)), "items")
+    return _judged_items(spark, sf_dir, _changed(spark, sf_dir, "documents", "benchmark"))
 
 
 def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def reflowed_lines(spark, sf_dir):
 def sentence_table(spark, sf_dir):
     found = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
     return found.select(
-        "doc_id", "pos", F.length("s").alias("n_chars"), T.clip(F.col("s"), 80).alias("clipped")
+        "doc_id", "pos", F.length("s").alias("n_chars"), T.clip(F.col("s"), 80).alias("clipped"), F.md5("s").alias("sentence_md5")
     )
 
 

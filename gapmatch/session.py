@@ -6,9 +6,10 @@ from pyspark.sql import SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on; leave sizing to the cluster."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.ansi.enabled", "true")
+    """Pin what results depend on, where the session says otherwise; leave sizing to the cluster."""
+    for name, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.ansi.enabled", "true")):
+        if str(spark.conf.get(name)).lower() != value.lower():
+            spark.conf.set(name, value)
     return spark
 
 

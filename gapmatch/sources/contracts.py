@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 CATEGORY = ("must_have", "nice_to_have")
@@ -109,6 +110,10 @@ REQUESTS = {
 }
 
 
+#: What a request of each kind carries.
+REQUEST_FIELDS = {"answer": "text string, duration_seconds double", "session": "title string", "document": "text string"}
+
+
 def broken(rules: dict, payload) -> Column:
     """array<string> of the rules that do not hold; an unknown outcome counts as broken."""
     return F.array_compact(
@@ -129,6 +134,28 @@ def check_json(rows: DataFrame, contract: str, payload: str = "payload") -> Data
     return rows.select("*", F.explode(F.array(parsed)).alias("_p")).select(*[F.col(f"`{c}`") for c in rows.columns], checked.alias("violations"))
 
 
+def check_payloads(rows: DataFrame, contract: str = "contract", payload: str = "payload") -> DataFrame:
+    """Add ``violations`` of JSON payloads of many kinds; the ``contract`` column names a contract, or a request as
+    ``request:kind``.
+
+    A payload is parsed once, to a variant, whatever its kind; a rule reads the fields of its own contract, and a field
+    that does not convert to its type counts as missing. A payload that is no JSON object is ``malformed``, a kind that is not known
+    ``unknown_contract``.
+    """
+    kinds = {name: (fields, rules) for name, (fields, rules) in CONTRACTS.items()}
+    kinds |= {f"request:{name}": (REQUEST_FIELDS[name], rules) for name, rules in REQUESTS.items()}
+    found = F.array(F.lit("unknown_contract"))
+    for name, (fields, rules) in kinds.items():
+        read = {f.name: F.try_variant_get(F.col("_v"), f"$.{f.name}", f.dataType.simpleString()) for f in T.StructType.fromDDL(fields)}
+        found = F.when(F.col(f"`{contract}`") == name, broken(rules, read)).otherwise(found)
+    known = F.col(f"`{contract}`").isin(*kinds)
+    object_ = F.schema_of_variant("_v").startswith("OBJECT")
+    checked = F.when(known & (F.col("_v").isNull() | ~object_), F.array(F.lit("malformed"))).otherwise(found)
+    # The parsed payload comes out of a generator, as above: one parse for all rules.
+    parsed = rows.select("*", F.explode(F.array(F.try_parse_json(F.col(f"`{payload}`")))).alias("_v"))
+    return parsed.select(*[F.col(f"`{c}`") for c in rows.columns], checked.alias("violations"))
+
+
 def check_request(rows: DataFrame, request: str) -> DataFrame:
     return rows.withColumn("violations", broken(REQUESTS[request], rows))
 

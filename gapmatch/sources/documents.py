@@ -20,7 +20,8 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 def read_binary_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, size_bytes, content, upload_error) with size and magic-byte guards.
 
-    The content column is only read from storage when a later step selects it.
+    The content column is only read from storage when a later step selects it. The reader passes over files without
+    any bytes: they give no row.
     """
     raw = spark.read.format("binaryFile").load(path)
     return raw.select(

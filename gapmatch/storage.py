@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,6 +17,7 @@ def work_dir(spark: SparkSession) -> str:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="gapmatch-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -31,3 +34,29 @@ def written(df: DataFrame, name: str, spread_by: tuple = ()) -> DataFrame:
         df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *spread_by)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _folder(spark, path)
+    return files.exists(place)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(files, bytes, newest change) of a stored table: another value means that the table has changed."""
+    files, place = _folder(spark, path)
+    listed, found = files.listFiles(place, True), []
+    while listed.hasNext():
+        status = listed.next()
+        found.append((status.getLen(), status.getModificationTime()))
+    return len(found), sum(size for size, _ in found), max((when for _, when in found), default=0)

@@ -49,11 +49,16 @@ def newest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 
 # --- jobs --------------------------------------------------------------------------------
-def ingest(docs: DataFrame, base: str, label: str = "CV", embed: Embedder | None = None, keep: tuple = (), **kw) -> StreamingQuery:
-    """Status rows and index chunks of documents (keep..., doc_key, text) as they arrive.
+STATES = ("pending", "processing", "ready", "failed")
 
-    Every batch is chunked once: parents are stored, children with tokens and vectors are cut from the stored
-    parents, and the status counts the stored children.
+
+def ingest(docs: DataFrame, base: str, label: str = "CV", embed: Embedder | None = None, keep: tuple = (), order: tuple = (), **kw) -> StreamingQuery:
+    """Status rows and index chunks of documents (keep..., doc_key, text, order...) as they arrive.
+
+    A key that stands several times in one batch counts once: the greatest by the ``order`` columns, then by hash of
+    its text. Every batch is chunked once: parents are stored, children with tokens and vectors are cut from the stored
+    parents, and the status counts the stored children. The log says of every document of a batch that it is pending,
+    processing, and ready or failed; each state is a folder of the batch, so a replayed batch writes it again.
     """
     embedder = embed or hashed_embedder()
 
@@ -65,14 +70,35 @@ def ingest(docs: DataFrame, base: str, label: str = "CV", embed: Embedder | None
             rows.write.mode("overwrite").parquet(path)
             return spark.read.schema(rows.schema).parquet(path)
 
-        loaded = D.load_texts(batch)
-        parents = stored(C.parent_chunks(loaded.filter("ingest_error is null"), keep=keep), "parents")
+        def logged(rows: DataFrame, state: str) -> None:
+            marked = rows.select("doc_key", F.lit(STATES.index(state)).alias("step"), F.lit(state).alias("state"))
+            marked.write.mode("overwrite").parquet(f"{base}/log/batch={batch_id:09d}/at={state}")
+
+        once = latest_per_key(batch.withColumn("_code", F.xxhash64("text")), ["doc_key"], [*order, "_code"]).drop("_code")
+        loaded = stored(D.load_texts(once).drop(*order), "loaded")
+        logged(loaded, "pending")
+        good = loaded.filter("ingest_error is null")
+        logged(good, "processing")
+        parents = stored(C.parent_chunks(good, keep=keep), "parents")
         children = stored(enrich(C.child_chunks(parents, label, keep=keep), embedder, keep), "children")
-        stored(D.ingest_status(loaded, chunks=children), "status")
+        status = stored(D.ingest_status(loaded, chunks=children), "status")
+        for state in ("ready", "failed"):
+            logged(status.filter(F.col("ingest_status") == state), state)
 
     return start(docs, write, base, **kw)
 
 
+def ingest_log(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_key, batch, step, state): every state of every document, in order of batch and step."""
+    schema = "doc_key string, step int, state string, batch int, at string"
+    return spark.read.schema(schema).parquet(f"{base}/log").drop("at")
+
+
+def ingest_states(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_key, state): where each document stands, also while a batch is running."""
+    return ingest_log(spark, base).groupBy("doc_key").agg(F.max_by("state", F.struct("batch", "step")).alias("state"))
+
+
 def ingested(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(status, parents, children) as they stand: a document that arrived again replaces its earlier rows."""
     rows = spark.read.parquet(f"{base}/status")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text", "documents", "retrieval", "matching", "sessions", "telemetry")
+AREAS = ("text", "documents", "retrieval", "index", "matching", "sessions", "telemetry", "grid")
 
 
 def statements() -> dict[str, str]:

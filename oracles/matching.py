@@ -164,6 +164,14 @@ EXTRACT = (
     ]
 )
 
+JUDGING = ITEM_CTES + [
+    ("jp", "SELECT scope || '|' || query_id AS js, text FROM ps"),
+    *idf_ctes("jp", "js", "ji"),
+    ("jq", "SELECT scope || '|' || query_id AS scope, query_id, scope AS session, text, evidence_quote FROM items WHERE evidence_quote IS NOT NULL"),
+    *armed_ctes("jq", "ja", "ji"),
+    ("jk", f"SELECT q.session, q.query_id, nd, pv, {P.text_keys(P.tokens('evidence_quote'))} AS keys FROM jq q JOIN ja USING (scope, query_id)"),
+    ("js_", f"SELECT session AS scope, query_id, round({WEIGHTED}, 9) AS s, {GATE} AS g FROM jk"),
+]
 ORACLES = {
     "idf": P.with_(PASSAGES + idf_ctes(), "SELECT scope, term, df, n, round(idf, 6) AS idf FROM id"),
     "weighted_coverage": P.with_(ARMED + WHOLE, f"SELECT scope, query_id, rank, round({PLAIN}, 6) AS coverage, round({WEIGHTED}, 6) AS weighted FROM wk_"),
@@ -193,14 +201,7 @@ ORACLES = {
     "summary_consistency": P.with_(
         REPORT, "SELECT session_id, session_id[4:]::INT % 3 <> 0 AND n_scored = n_scored AS consistent FROM rp"),
     "judge_support": P.with_(
-        ITEM_CTES + [
-            ("jp", "SELECT scope || '|' || query_id AS js, text FROM ps"),
-            *idf_ctes("jp", "js", "ji"),
-            ("jq", "SELECT scope || '|' || query_id AS scope, query_id, scope AS session, text, evidence_quote FROM items WHERE evidence_quote IS NOT NULL"),
-            *armed_ctes("jq", "ja", "ji"),
-            ("jk", f"SELECT q.session, q.query_id, nd, pv, {P.text_keys(P.tokens('evidence_quote'))} AS keys FROM jq q JOIN ja USING (scope, query_id)"),
-            ("js_", f"SELECT session AS scope, query_id, round({WEIGHTED}, 9) AS s, {GATE} AS g FROM jk"),
-        ],
+        JUDGING,
         f"SELECT scope, query_id, g AND s >= {K.JUDGE_COVERAGE} AS supported, round(s, 3) AS score FROM js_"),
     "letter_material": P.with_(
         REPORT + [
@@ -226,3 +227,21 @@ ORACLES["grounding_rollup"] = P.with_(
     + " UNION ALL SELECT 'summary', 'summary_numeric_consistency', round(avg((session_id[4:]::INT % 3 <> 0)::INT), 6) FROM rp"
     + f" UNION ALL SELECT 'judge', 'judge_support_rate', (SELECT round(avg(supported::INT), 6) FROM ({SUPPORT}) x)",
 )
+
+OPINIONS = [
+    ("vq", f"SELECT scope, query_id, {P.keywords('text')} AS asked, list_distinct({P.tokens('evidence_quote')}) AS have, evidence_quote FROM items WHERE evidence_quote IS NOT NULL"),
+    ("vm", "SELECT *, len(list_filter(asked, lambda v1_: list_contains(have, v1_))) AS met FROM vq"),
+    ("vh", f"SELECT q.scope, q.query_id, len(asked) AS n, met, coalesce(max(contains(lower({P.squeeze('p.text')}), lower({P.squeeze('evidence_quote')}))), false) AS held "
+           "FROM vm q LEFT JOIN ps p USING (scope, query_id) GROUP BY ALL"),
+    ("vo", "SELECT scope, query_id, 'verbatim' AS judge, false AS trustworthy, held AND round(met / greatest(n, 1), 3) >= 0.25 AS supported, round(met / greatest(n, 1), 3) AS score, "
+           "CASE WHEN held THEN 'quoted word for word' ELSE 'not in a passage' END || ', ' || met || ' of ' || n || ' keywords' AS rationale FROM vh"),
+    ("ho", f"SELECT scope, query_id, 'heuristic' AS judge, false AS trustworthy, g AND s >= {K.JUDGE_COVERAGE} AS supported, round(s, 3) AS score, "
+           "'decisive term ' || CASE WHEN g THEN 'present' ELSE 'absent' END || ', weighted coverage ' || round(s, 3) AS rationale FROM js_"),
+    ("oo", "SELECT * FROM vo UNION ALL SELECT * FROM ho"),
+]
+ORACLES["judge_opinions"] = P.with_(JUDGING + OPINIONS, "SELECT * FROM oo")
+ORACLES["judge_rollup"] = P.with_(
+    JUDGING + OPINIONS,
+    "SELECT o.judge, o.trustworthy, count(*) AS judged, round(avg(o.supported::INT), 6) AS support_rate, round(avg(o.score), 6) AS mean_score, "
+    "round(avg((o.supported = x.supported)::INT), 6) AS agreement, 'indicative only' AS note FROM oo o LEFT JOIN oo x "
+    "ON x.scope = o.scope AND x.query_id = o.query_id AND x.judge <> o.judge GROUP BY o.judge, o.trustworthy")

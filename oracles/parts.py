@@ -102,7 +102,7 @@ def stem(t: str) -> str:
 
 def synonyms(t: str) -> str:
     cases = " ".join(
-        f"WHEN {q(k)} THEN [{', '.join(q('x:' + o) for o in v.split())}]" for k, v in K.SYNONYMS.items()
+        f"WHEN {q(k)} THEN [{', '.join(q('x:' + o) for o in v)}]" for k, v in K.SYNONYMS.items()
     )
     return f"CASE {t} {cases} ELSE [] END"
 
@@ -257,13 +257,16 @@ DOC_PAGES = ("pg", "SELECT 'cv' || doc_id AS doc_key, 1 AS page, text FROM docum
 
 
 READY = f"length({strip('text')}) >= {K.TEXT_MIN_CHARS} AND strlen({strip('text')}) <= {K.MAX_BYTES}"
-READY_PAGES = ("pg", f"{DOC_PAGES[1]} WHERE {READY}")
 
 
-def child_ctes(scope: str = "source") -> list[tuple[str, str]]:
+POSTED = "(doc_id // 20) % 4 = 3"
+
+
+def child_ctes(scope: str = "source", kind: str = "cv", where: str = "true") -> list[tuple[str, str]]:
     """``chunks(scope, doc_key, parent_id, chunk_id, section, page, text, toks)``."""
-    return [READY_PAGES] + parent_ctes() + window_ctes("parents", "parent_id") + [
-        ("scopes", f"SELECT 'cv' || doc_id AS doc_key, {scope} AS scope FROM documents"),
+    pages = ("pg", f"SELECT '{kind}' || doc_id AS doc_key, 1 AS page, text FROM documents WHERE {READY} AND ({where})")
+    return [pages] + parent_ctes() + window_ctes("parents", "parent_id") + [
+        ("scopes", f"SELECT '{kind}' || doc_id AS doc_key, {scope} AS scope FROM documents"),
         ("chunks0", "SELECT scope, p.doc_key, parent_id, parent_id || '-c' || c_idx AS chunk_id, section, page, "
                     "wn.text FROM wn JOIN parents p USING (parent_id) JOIN scopes s USING (doc_key)"),
         ("chunks", f"SELECT *, {tokens('text')} AS toks FROM chunks0"),
@@ -343,12 +346,12 @@ def variants(e: str) -> str:
     )
 
 
-def dense_ctes(k: int = K.CANDIDATE_K, multi: bool = True, n: str = "dn") -> list[tuple[str, str]]:
+def dense_ctes(k: int = K.CANDIDATE_K, multi: bool = True, n: str = "dn", label: str = "CV") -> list[tuple[str, str]]:
     """``dn(scope, query_id, v, chunk_id, score, rank)``."""
     listed = variants("text") if multi else "[text]"
     return [
         ("emb_src", "SELECT chunk_id, CASE WHEN section = '' AND parent_id LIKE '%-f%' THEN text ELSE "
-                    "'[CV › ' || section || ']' || chr(10) || text END AS et FROM chunks"),
+                    f"'[{label} › ' || section || ']' || chr(10) || text END AS et FROM chunks"),
         *vector_ctes("emb_src", "chunk_id", "cvec", "et"),
         ("cvu", "SELECT chunk_id, vec FROM emb_src LEFT JOIN cvec USING (chunk_id)"),
         (f"{n}_v", f"SELECT scope, query_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS v FROM "

@@ -126,3 +126,43 @@ ORACLES = {
                count(*) FILTER (quality = 0 AND toxic = 0) AS n_partial, count(*) FILTER (toxic = 1) AS n_missing
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
 }
+ORACLES["spend_breach_keyed"] = ORACLES["spend_breach"]
+ORACLES["ingest_transitions"] = (
+    "SELECT doc_key, CASE WHEN ingest_status = 'ready' THEN 'pending>processing>ready' ELSE 'pending>failed' END AS states, "
+    f"ingest_status AS state FROM ({DOCUMENTS['ingest_status']})")
+
+
+# --- payloads of every kind: (contract, table, key, {rule: condition}) -----------------------
+PAYLOADS = [
+    ("requirement", "benchmark", "item_id", {"text_length": "length(text) BETWEEN 3 AND 300", "category": "item_id % 4 <> 1"}),
+    ("requirements", "customer", "c_custkey", {
+        "list_size": "c_custkey % 25 <= 20", "text_length": "c_custkey % 25 = 0 OR length(c_name) BETWEEN 3 AND 300",
+        "kind": "c_custkey % 25 = 0 OR c_custkey % 7 <> 0"}),
+    ("match_item", "part", "p_partkey", {"requirement": "p_partkey % 9 > 0", "status": "p_partkey % 4 <> 0", "confidence": "p_size / 40 BETWEEN 0 AND 1"}),
+    ("match_report", "orders", "o_orderkey", {"overall_score": "floor(o_totalprice / 4000) BETWEEN 0 AND 100", "summary": "o_orderkey % 6 > 0"}),
+    ("question", "part", "p_partkey", {
+        "category": "p_partkey % 5 <> 0", "text_length": "length(p_name || ' ' || p_type) >= 10", "difficulty": "p_partkey % 2 = 1 OR p_partkey % 8 BETWEEN 1 AND 5"}),
+    ("questions", "supplier", "s_suppkey", {"list_size": "s_suppkey % 23 BETWEEN 1 AND 20"}),
+    ("evaluation", "part", "p_partkey", {
+        "rubric": "p_partkey % 3 <> 0", "criteria_size": "p_partkey % 5 + 1 >= 3", "criterion_range": "p_partkey % 7 BETWEEN 1 AND 5",
+        "overall_score": "p_size / 8 BETWEEN 1 AND 5"}),
+    ("scorecard", "orders", "o_orderkey", {
+        "readiness_score": "floor(o_totalprice / 4500) BETWEEN 0 AND 100", "priority": "o_orderkey % 2 = 1 OR (o_orderkey % 4 <> 0 AND o_orderkey % 5 > 0)"}),
+    ("rewrite", "customer", "c_custkey", {"bullet_length": "length(c_mktsegment) * (c_custkey % 60) BETWEEN 10 AND 400"}),
+    ("letter", "documents", "doc_id", {"body_length": "length(text) >= 80"}),
+    ("request:answer", "conversations", "conv_id", {"text_length": "length(text) BETWEEN 10 AND 8000", "duration": "length(text) * 9 BETWEEN 0 AND 7200"}),
+    ("request:session", "customer", "c_custkey", {"title_length": "length(c_name) * (c_custkey % 12) BETWEEN 2 AND 160"}),
+    ("request:document", "documents", "doc_id", {"text_length": "length(text) * CASE WHEN doc_id % 50 = 0 THEN 30 ELSE 1 END <= 200000"}),
+]
+
+
+def _payload_rows():
+    for kind, name, key, rules in PAYLOADS:
+        listed = f"CASE WHEN {key} % 41 = 0 THEN ['malformed'] ELSE {violations(rules)} END"
+        yield f"SELECT {P.q(kind)} AS contract, {key} AS key, {listed} AS v FROM {name}"
+    yield "SELECT 'diary', s_suppkey, ['unknown_contract'] FROM supplier"
+
+
+ORACLES["contract_dispatch"] = (
+    "SELECT contract, array_to_string(v, ',') AS violations, count(*) AS rows, sum(key)::BIGINT AS key_sum FROM ("
+    + " UNION ALL ".join(_payload_rows()) + ") x WHERE len(v) > 0 GROUP BY ALL")

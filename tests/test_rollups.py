@@ -1,11 +1,14 @@
+import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gapmatch.operators import evaluation as E
 from gapmatch.operators import interview as I
 from gapmatch.operators import progress as G
+from gapmatch.operators import ranks
 from gapmatch.operators import scorecards as S
 from gapmatch.operators import telemetry as L
 
@@ -132,6 +135,30 @@ def test_exact_percentile(spark):
     assert got == {"a": (1001, 950.0), "b": (700, 5.0), "c": (2, 2.9)}
 
 
+@pytest.mark.parametrize("size", [7, 1 << 18])
+def test_ranks_of_one_group_with_all_rows(spark, monkeypatch, size):
+    """Ranges of a few values: the same ranks, and no window over a whole group."""
+    monkeypatch.setattr(ranks, "RANGE", size)
+    rng = random.Random(4)
+    rows = [("all", float(rng.randrange(400)), float(rng.randrange(300))) for _ in range(2000)] + [("few", 1.0, 2.0), ("few", 2.0, 2.5), ("few", 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "suite string, expected double, predicted double")
+    got = {(r.suite, r.expected): r.r for r in E.average_ranks(df, "expected", "r", "suite").collect()}
+    for suite in ("all", "few"):
+        values = [x for s, x, _ in rows if s == suite]
+        for v in set(values):
+            assert got[suite, v] == sum(x < v for x in values) + (values.count(v) + 1) / 2
+    want = np.corrcoef(*(_ranks([r[k] for r in rows if r[0] == "all"]) for k in (1, 2)))[0, 1]
+    assert {r.suite: r.spearman for r in E.spearman(df, "suite").collect()}["all"] == pytest.approx(want, abs=1e-6)
+    latencies = df.select(F.col("suite").alias("stage"), (F.col("expected") * 7 + F.col("predicted")).alias("latency_ms"))
+    p95 = {r.stage: r.p95_ms for r in L.latency_by_stage(latencies).collect()}
+    for suite in ("all", "few"):
+        assert p95[suite] == pytest.approx(np.percentile([x * 7 + y for s, x, y in rows if s == suite], 95), abs=1e-6)
+
+
+def _ranks(values):
+    return [sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in values]
+
+
 def test_money(spark):
     calls = spark.createDataFrame([("gpt-4o", 1000, 100), ("mystery", 5, 5)], "model string, prompt_tokens int, completion_tokens int")
     priced = L.price(calls, L.rate_table(spark))
