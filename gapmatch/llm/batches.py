@@ -20,9 +20,8 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, wanted)
 
 
-def release() -> None:
-    """Memory that is free inside this process goes back to the system: workers live on from stage to stage."""
-    gc.collect()
+def trim() -> None:
+    """Memory that is free inside this process goes back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -30,16 +29,34 @@ def release() -> None:
         pass
 
 
+def release() -> None:
+    """The same, after what only cycles hold has been let go: workers live on from stage to stage."""
+    gc.collect()
+    trim()
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same function of Arrow batches; what earlier stages and its own last batch left is released."""
+    """The same function of Arrow batches; memory that earlier stages or batches left is released."""
     def call(batches):
         release()
-        yield from run(batches)
+        for out in run(batches):
+            yield out
+            trim()
         release()
 
     return call
 
 
+def tidied_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same function of a group; memory that it used is released."""
+    def call(table):
+        out = run(table)
+        trim()
+        return out
+
+    return call
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names, each with as many closing underscores as make it differ from all columns and each other."""
     taken, out = {c.lower() for c in columns}, []

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import bytes_kernel as K
-from .batches import bounded_batches, tidied
+from .batches import bounded_batches, tidied, tidied_group
 from .graph import components, forest
 
 ROWS = 5  #: bins per band
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     )
     bodies = texts.join(work, "doc_id").select("doc_id", "text", "family", "size", "salt", "meets")
     sent = bodies.mapInArrow(tidied(_family_sets), "family long, x long, y long, side int, doc_id long, body binary")
-    links = sent.groupBy("family", "x", "y").applyInArrow(_tile_links(percent), "v long, m long")
+    links = sent.groupBy("family", "x", "y").applyInArrow(tidied_group(_tile_links(percent)), "v long, m long")
     comp = components(links, "near")
     found = (
         signs.select("doc_id", *key).join(classes, key, "left")

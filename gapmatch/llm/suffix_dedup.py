@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from . import bytes_kernel as K
-from .batches import bounded_batches, tidied
+from .batches import bounded_batches, tidied, tidied_group, trim
 
 LENGTH = 50
 GRAM = 16
@@ -173,7 +173,11 @@ def _blocks(batches, length: int, extra: int = 0):
     for batch in batches:
         for i in range(batch.num_rows):
             row = [batch.column(k)[i].as_py() for k in range(4 + extra)]
-            yield _Block(*row[:4], length), *row[4:]
+            made = _Block(*row[:4], length), *row[4:]
+            del row
+            yield made
+            del made
+            trim()
 
 
 def _out(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -424,10 +428,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     most = min(max(ENTRIES // max(count, 1), RUNS[0]), RUNS[1])
     plain = blocks.select("block", "ids", "lengths", "body")
     sent = "block long, bucket long, body binary"
-    first = written(plain.mapInArrow(tidied(_send_entries(length, buckets, most)), sent).groupBy("bucket").applyInArrow(_judge(CROWD), sent), "ranks")
+    first = written(plain.mapInArrow(tidied(_send_entries(length, buckets, most)), sent).groupBy("bucket").applyInArrow(tidied_group(_judge(CROWD)), sent), "ranks")
     first = first.groupBy("block").agg(F.collect_list(F.struct("bucket", "body")).alias("replies"))
     open_ = plain.join(first, "block").select("block", "ids", "lengths", "body", "replies")
-    second = written(open_.mapInArrow(tidied(_send_edges(length, buckets, most)), sent).groupBy("bucket").applyInArrow(_rank_edges(length, buckets), sent), "repeats")
+    second = written(open_.mapInArrow(tidied(_send_edges(length, buckets, most)), sent).groupBy("bucket").applyInArrow(tidied_group(_rank_edges(length, buckets)), sent), "repeats")
     second = second.groupBy("block").agg(F.collect_list(F.col("body")).alias("replies"))
     done = plain.join(second, "block", "left").select("block", "ids", "lengths", "body", "replies")
     out = done.mapInArrow(tidied(_cut(length, texts)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
