@@ -28,7 +28,9 @@ def _judged(ceiling: Decimal, forget_us: int | None):
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         spent, over, last, *waiting = state.get if state.exists else (Decimal(0), False, 0, [], [], [])
         calls = list(zip(*waiting)) if waiting[0] else []
-        for part in batches:  # none on a time-out
+        for part in batches:
+            if part.empty:  # on a time-out
+                continue
             last = max(last, int(part["at"].max()))
             if not over:
                 calls += zip(part["at"].tolist(), part["call_id"].tolist(), part["cost_usd"].tolist())

@@ -23,6 +23,7 @@ def chunks(spark):
             toks = rng.choice(words, rng.integers(0, 40), p=weight / weight.sum()).tolist()
             rows.append((scope, f"{scope}{k:04d}", toks if k % 50 else []))
     rows += [("hot", f"copy{k:03d}", ["w250", "w251"]) for k in range(60)]  # ties
+    rows += [("hot", "special", ["zz1", "w0"])]
     return spark.createDataFrame(rows, "scope string, chunk_id string, toks array<string>").repartition(5)
 
 
@@ -43,11 +44,11 @@ def test_postings_equal_all_pairs(chunks, queries, block):
 
 def test_postings_read_only_asked_terms_and_open_blocks(spark, chunks):
     held = postings.build_postings(chunks, block=64)
-    asked = spark.createDataFrame([("hot", "q", "w250 w251 w299")], "scope string, query_id string, text string")
-    found, pairs = postings.bm25_search(held, asked, 5)
-    assert rows_of(found) == rows_of(bm25.bm25_top_k(chunks, asked, 5))
-    blocks = held.rows.filter("scope = 'hot'").select("block").distinct().count()
-    assert pairs.count() < blocks  # the copies' blocks reach the threshold, blocks without them do not
+    asked = spark.createDataFrame([("hot", "q", "zz1 w0")], "scope string, query_id string, text string")
+    found, pairs = postings.bm25_search(held, asked, 1)
+    assert rows_of(found) == rows_of(bm25.bm25_top_k(chunks, asked, 1)) and len(rows_of(found)) == 1
+    # Every block has the common word, but none of the others can reach the score of the rare one.
+    assert held.rows.filter("scope = 'hot' and term = 'w0'").select("block").distinct().count() > 5 and pairs.count() == 1
     parts = {r[0] for r in asked.select(F.explode(F.split("text", " ")).alias("t")).select(postings.term_part(F.col("t"))).collect()}
     read = held.rows.filter(F.col("part").isin(list(parts)))
     files = {r[0] for r in read.select(F.input_file_name()).distinct().collect()}

@@ -98,7 +98,7 @@ def test_all_contracts_in_one_pass(spark):
     got = {r.n: r.violations for r in checked.collect()}
     assert all(got[n] == [] for n in range(len(GOOD))) and {n - 100: v for n, v in got.items() if n >= 100} == {n: v for n, (_, _, v) in enumerate(BAD)}
     plan = C.quarantined(checked)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("parse_json") == 1
+    assert plan.count("parseJson") == 1
     assert C.accepted(checked).count() == len(GOOD)
 
 

@@ -1,4 +1,5 @@
 import json
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from gapmatch.operators import telemetry as L
 from gapmatch.sources import contracts as C
 from gapmatch.sources import store as W
 from gapmatch.streaming import jobs as J
+from gapmatch.streaming.breaches import breach_events
 
 
 def test_contracts_quarantine_with_reasons(spark):
@@ -111,6 +113,31 @@ def test_breach_is_the_same_call_for_any_batching(spark, tmp_path, files):
     assert L.first_breaches(hours, calls, 0).count() == 0
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_keyed_breach_is_the_same_call_for_any_batching(spark, tmp_path, files):
+    """The events of the two-pass answer, from state alone; every installation that has been silent is let go."""
+    rows = [("a", 1, "10:00", "0.4"), ("b", 2, "10:00", "0.1"), ("a", 4, "11:30", "0.3"), ("a", 3, "11:30", "0.3"), ("a", 5, "11:40", "5.0"), ("b", 6, "12:00", "0.2"),
+            ("c", 7, "12:30", "7.5"), ("c", 8, "12:31", "1.0")]
+    schema = "installation string, call_id int, at string, c string"
+    calls = spark.createDataFrame(rows, schema).selectExpr(
+        "installation", "call_id", "cast(concat('2024-01-01 ', at, ':00') as timestamp) created_at", "cast(c as decimal(18,9)) cost_usd")
+    later = spark.createDataFrame([("z", 9, "10:00", "0.1")], schema).selectExpr(
+        "installation", "call_id", "cast(concat('2024-01-05 ', at, ':00') as timestamp) created_at", "cast(c as decimal(18,9)) cost_usd")
+    folder, base = str(tmp_path / "in"), str(tmp_path / "out")
+    calls.repartition(files, "call_id").write.parquet(folder)
+    stream = J.file_stream(spark, folder, "*.parquet", calls.schema, per_trigger=1)
+    events = breach_events(stream, 1.0, "1 day", timedelta(days=1))
+    J.start(events, J.into(f"{base}/events"), base).awaitTermination()
+    later.coalesce(1).write.mode("append").parquet(folder)
+    query = J.start(events, J.into(f"{base}/events"), base)
+    query.awaitTermination()
+    got = spark.read.schema("installation string, call_id bigint, created_at timestamp, spent_usd decimal(18,9)").parquet(f"{base}/events").collect()
+    want = L.first_breaches(L.spend_hours(calls), calls, 1.0).collect()
+    assert sorted((r.installation, r.call_id, r.created_at, r.spent_usd) for r in got) == sorted((r.installation, r.call_id, r.created_at, r.spent_usd) for r in want)
+    assert {r.installation for r in got} == {"a", "c"}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # z alone
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_tiers_have_their_own_windows_and_ceilings(spark, tmp_path, files):
     rows = [("u", "auth", f"10:00:{s:02d}") for s in range(6)] + [("u", "auth", "10:01:00")]
@@ -124,6 +151,26 @@ def test_tiers_have_their_own_windows_and_ceilings(spark, tmp_path, files):
         ("u", "auth", "10:00", 6, True), ("u", "auth", "10:01", 1, False), ("u", "register", "10:00", 11, True), ("v", "nothing", "10:00", 1, False)]
 
 
+def test_a_document_twice_in_one_batch_and_a_replayed_batch(spark, tmp_path):
+    text = "Built the billing service and ran its migration without an outage. " * 20
+    rows = [("a", 2, text + "The last version."), ("a", 1, "short"), ("b", 1, text), ("b", 1, text), ("c", 1, text), ("c", 2, "")]
+    batch = spark.createDataFrame(rows, "doc_key string, nth int, text string").repartition(3)
+    folder, base = str(tmp_path / "in"), str(tmp_path / "out")
+    batch.coalesce(1).write.parquet(folder)
+    stream = J.file_stream(spark, folder, "*.parquet", batch.schema)
+    for _ in range(2):
+        J.ingest(stream, base, order=("nth",)).awaitTermination()
+        status, _, children = J.ingested(spark, base)
+        assert {r.doc_key: r.ingest_status for r in status.collect()} == {"a": "ready", "b": "ready", "c": "failed"} and status.count() == 3
+        keys = [r.chunk_id for r in children.collect()]
+        assert len(keys) == len(set(keys)) and any("The last version." in r.text for r in children.filter("doc_key = 'a'").collect())
+        found = sorted((r.doc_key, r.state) for r in J.ingest_log(spark, base).collect())
+        # The batch is replayed: its commit is taken back, its rows stay.
+        for f in (tmp_path / "out" / "checkpoint" / "commits").glob("*0*"):
+            f.unlink()
+    assert found == [("a", "pending"), ("a", "processing"), ("a", "ready"), ("b", "pending"), ("b", "processing"), ("b", "ready"), ("c", "failed"), ("c", "pending")]
+
+
 def test_a_document_that_arrives_again_replaces_its_chunks(spark, tmp_path):
     long = "Built the billing service and ran its migration without an outage. " * 20
     folder, base = tmp_path / "in", str(tmp_path / "out")
@@ -132,6 +179,10 @@ def test_a_document_that_arrives_again_replaces_its_chunks(spark, tmp_path):
     stream = spark.readStream.schema("doc_key string, text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
     J.ingest(stream, base).awaitTermination()
     status, parents, children = J.ingested(spark, base)
+    states = {r.doc_key: r.states for r in J.ingest_log(spark, base).groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("batch", "step", "state"))).alias("states")).collect()}
+    assert [s["state"] for s in states["a"]] == ["pending", "processing", "ready"] * 2
+    assert [s["state"] for s in states["b"]] == ["pending", "processing", "ready", "pending", "failed"] and [s["state"] for s in states["c"]] == ["pending", "failed"]
+    assert {r.doc_key: r.state for r in J.ingest_states(spark, base).collect()} == {"a": "ready", "b": "failed", "c": "failed"}
     assert {r.doc_key: (r.ingest_status, r.chunk_count > 0) for r in status.collect()} == {"a": ("ready", True), "b": ("failed", False), "c": ("failed", False)}
     assert {r.doc_key for r in parents.collect()} == {"a"} == {r.doc_key for r in children.collect()}
     assert any("Second version" in r.text for r in children.collect()) and len(children.first().vec) == 384
