@@ -97,3 +97,12 @@ def test_empty_sides(spark, vectors, chunks, queries):
     assert cells.nearest(vectors, none.withColumnRenamed("item_id", "query_id"), 3)[0].collect() == []
     assert postings.bm25_search(postings.build_postings(chunks), queries.limit(0))[0].collect() == []
     assert postings.bm25_search(postings.build_postings(chunks.limit(0)), queries)[0].collect() == []
+
+
+def test_a_table_asked_of_itself_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [("all", str(k), [float(x) for x in rng.normal(size=4)]) for k in range(120)]
+    vecs = spark.createDataFrame(rows, "scope string, item_id string, vec array<double>")
+    asked = vecs.select("scope", F.col("item_id").alias("query_id"), "vec")
+    plain = rows_of(topk.top_k(vecs, asked, topk.cosine, 3))
+    assert rows_of(topk.top_k(vecs, asked, topk.cosine, 3, small=10)) == plain and len(plain) == 360
