@@ -186,3 +186,17 @@ def test_a_document_that_arrives_again_replaces_its_chunks(spark, tmp_path):
     assert {r.doc_key: (r.ingest_status, r.chunk_count > 0) for r in status.collect()} == {"a": ("ready", True), "b": ("failed", False), "c": ("failed", False)}
     assert {r.doc_key for r in parents.collect()} == {"a"} == {r.doc_key for r in children.collect()}
     assert any("Second version" in r.text for r in children.collect()) and len(children.first().vec) == 384
+
+
+def test_a_stream_reads_a_table_that_is_one_file_or_a_folder(spark, tmp_path):
+    from gapmatch.streaming import jobs as J
+
+    rows = spark.range(10)
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/t.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one/t.parquet")
+    for kind in ("many", "one"):
+        stream = J.file_stream(spark, f"{tmp_path}/{kind}", "t.parquet", rows.schema)
+        J.start(stream, J.into(f"{tmp_path}/{kind}-out"), f"{tmp_path}/{kind}-base").awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/{kind}-out").count() == 10
