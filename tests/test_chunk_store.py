@@ -125,3 +125,12 @@ def test_stamp_tells_a_changed_table(spark):
     assert one == stamp(spark, path)
     spark.range(5).write.mode("append").parquet(path)
     assert one != stamp(spark, path)
+
+
+def test_a_change_leaves_nothing_beside_the_store(spark, first):
+    import os
+
+    held = new_store(spark, first)
+    held.upsert(docs(spark, [("s1", "cv1", text(1))]).withColumn("doc_kind", F.lit("cv")), chunks_of(docs(spark, [("s1", "cv1", text(1))]), "cv"))
+    held.purge(spark.createDataFrame([("s2",)], "scope string"))
+    assert sorted(n for n in os.listdir(held.root) if not n.startswith("change-")) == sorted(os.listdir(held.root)) == ["children", "parents", "scopes", "terms"]
