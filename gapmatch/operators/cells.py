@@ -75,13 +75,14 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, most: int = PIVOTS, bl
 
     far = meet(asked.withColumn("block", F.lit(0).cast("long")), held, to_cells, ROWS, "scope string, query_id string, cell int, angle double")
     bound = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius") - WIDE))
-    bounds = written(far.join(blocks, ["scope", "cell"]).select("scope", "query_id", "block", bound.alias("bound")), "bounds")
+    bounds = written(far.hint("merge").join(blocks, ["scope", "cell"]).select("scope", "query_id", "block", bound.alias("bound")), "bounds")
 
     def kernel(rows: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
         query, ids, score = topk.best_of(rows, of, topk.cosine, k, None)
         return pd.DataFrame({"query_id": of["query_id"].to_numpy(dtype=object)[query], "item_id": ids.astype(object), "score": score})
 
     def score(pairs: DataFrame) -> DataFrame:
-        return meet(pairs.join(asked, ["scope", "query_id"]), placed, kernel)
+        # Stored pairs compress to little, so their size on disk would have them sent through the driver.
+        return meet(pairs.hint("merge").join(asked.hint("merge"), ["scope", "query_id"]), placed, kernel)
 
     return best_first(bounds, score, k)
