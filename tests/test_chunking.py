@@ -90,3 +90,9 @@ def test_readiness_needs_both_kinds(spark):
     rows = [("a", "cv", "ready"), ("a", "jd", "ready"), ("b", "cv", "ready"), ("b", "jd", "failed"), ("c", "cv", "processing")]
     got = {r.session_id: r.status for r in D.session_readiness(spark.createDataFrame(rows, "session_id string, kind string, ingest_status string")).collect()}
     assert got == {"a": "ready", "b": "created", "c": "ingesting"}
+
+
+def test_a_window_is_cut_without_evaluating_its_steps_again(spark):
+    """The plan of the windows names each step once: it does not grow with how often a step is read."""
+    plan = spark.range(1).select(C.windows(F.lit("a ").cast("string")).alias("w"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("substring_index(") == 1
