@@ -8,16 +8,16 @@ called with batches of texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..storage import exists, written
-from .vectors import Embedder, _bucketer, _unit_rows
+from .vectors import Embedder, Features, unit_rows
 
 BATCH = 100  #: texts that a model is called with
 MEMO = "memo_key string, vec array<float>, run string"
@@ -43,9 +43,8 @@ def model_embedder(name: str, load: Callable[[], Model], batch: int = BATCH) ->
 
 def word_model(dim: int) -> Model:
     """Unit vectors of hashed words, word pieces and pairs: a model without files."""
-    bucket = _bucketer(dim, "md5")
-    gram = lru_cache(maxsize=1 << 16)(bucket)
-    return lambda texts: _unit_rows([t.lower().split() for t in texts], dim, bucket, gram)
+    known = Features(dim, "md5")
+    return lambda texts: unit_rows(pa.array([t.lower().split() for t in texts], pa.list_(pa.string())), known)
 
 
 def memo_key(text: Column, model: str, dim: int) -> Column:
