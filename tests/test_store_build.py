@@ -20,7 +20,7 @@ from gapmatch.operators.vectors import hashed_embedder
 
 
 def _documents(spark):
-    rows = [(f"s{n % 3}", f"d{n}", f"Profile\n\nthe engineer number{n} writes pipelines/{n}a in Python nαύ{n % 2} " * (n % 9 + 1)) for n in range(24)]
+    rows = [(f"s{n % 3}" if n else None, f"d{n}", f"Profile\n\nthe engineer number{n} writes pipelines/{n}a in Python nαύ{n % 2} " * (n % 9 + 1)) for n in range(24)]
     return spark.createDataFrame(rows, "scope string, doc_key string, text string").withColumn("pages", C.single_page(F.col("text")))
 
 
