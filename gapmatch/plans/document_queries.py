@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators.vectors import unpack
 from ..sources import documents as D
 from .tables import documents, index, kinds, spread, table
 
@@ -76,7 +77,7 @@ def fixed_chunks(spark, sf_dir):
 
 def hash_vectors(spark, sf_dir):
     """Stored vectors in sparse long form."""
-    wide = index(spark, sf_dir).children.select("chunk_id", F.posexplode("vec").alias("dim", "w"))
+    wide = index(spark, sf_dir).children.select("chunk_id", F.posexplode(unpack("vec")).alias("dim", "w"))
     return wide.filter("abs(w) > 1e-6").groupBy("chunk_id").agg(
         F.count("*").alias("n_dims"), F.sum("dim").cast("long").alias("sum_dim"),
         F.round(F.sum(F.col("w").cast("double") * (F.col("dim") + 1)), 4).alias("check"),
