@@ -88,3 +88,28 @@ def test_windows_do_not_depend_on_the_blocks(spark, monkeypatch):
     monkeypatch.setattr(C, "_BLOCK", 4096)
     assert small == df.select(C.windows(F.col("text")).alias("w")).collect()
     assert C.K.CHILD_CHARS <= 512
+
+
+def _packed(body, most):
+    """Paragraphs packed one after the other, as plain Python."""
+    if len(body) <= most:
+        return [body]
+    done, held = [], ""
+    for part in body.split("\n\n"):
+        if held and len(held) + len(part) > most:
+            done.append(held.strip())
+            held = part
+        else:
+            held = part if held == "" else held + "\n\n" + part
+    return done + ([held.strip()] if held.strip() else [])
+
+
+def test_folds_collect_no_texts(spark):
+    bodies = ["\n\n\n\nabc", "a\n\n" * 1500, "   \n\n" * 900 + "x", "\n\n" * 3000, "ύ😀" * 900 + "\n\n" + "z " * 2500,
+              "q" * 2100 + "\n\n" * 3 + "r" * 2300, "one two\n\n" * 700]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    made = df.select(C.parents(F.col("body")).alias("p"), C.windows(F.col("body")).alias("w"))
+    assert [r["p"] for r in made.select("p").collect()] == [_packed(b, C.K.PARENT_MAX_CHARS) for b in bodies]
+    # What a fold carries from step to step holds numbers only.
+    states = [kind for kind in ("array<struct<start:int", "cast(array() as array<string>)") if kind in str(made._jdf.queryExecution().analyzed().toString())]
+    assert states == []
