@@ -15,8 +15,9 @@ from gapmatch.functions import text as T
 from gapmatch.operators import bm25, vectors
 from gapmatch.operators import chunking as C
 from gapmatch.operators.chunk_store import ChunkStore, chunks_of
-from gapmatch.operators.index import enrich
+from gapmatch.operators.index import chunked, enrich
 from gapmatch.operators.vectors import hashed_embedder
+from gapmatch.storage import settings
 
 
 def _documents(spark):
@@ -109,3 +110,29 @@ def test_scores_of_a_block_are_those_of_the_formula():
 
     wanted = [[plain(t, q.terms, q.weights) for t in items["toks"]] for q in queries.itertuples()]
     np.testing.assert_allclose(bm25.score_block(items, queries), wanted, atol=1e-12)
+
+
+def _of_scopes(spark, folder, scopes=12):
+    """Documents of several scopes in a file with a single row group."""
+    rows = [(f"s{n % scopes}", f"d{n}", f"Profile\n\nWork on pipelines number {n} " * 12) for n in range(4 * scopes)]
+    spark.createDataFrame(rows, "scope string, doc_key string, text string").coalesce(1).write.parquet(folder)
+    return spark.read.parquet(folder).withColumn("pages", C.single_page(F.col("text")))
+
+
+def test_documents_of_one_row_group_are_cut_in_many_tasks(spark, tmp_path):
+    docs = _of_scopes(spark, str(tmp_path / "docs"))
+    with settings(spark, spark_sql_adaptive_coalescePartitions_enabled="false"):
+        for strategy in ("parent_child", "fixed"):
+            parents, _ = chunked(docs, strategy)
+            assert parents.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_no_task_makes_children_of_two_files_of_parents(spark, tmp_path):
+    docs, root = _of_scopes(spark, str(tmp_path / "docs")), tmp_path / "store"
+    with settings(spark, spark_sql_adaptive_coalescePartitions_enabled="false", spark_sql_shuffle_partitions="64"):
+        made = chunks_of(docs, "cv")
+    files = made.parents.select(F.input_file_name()).distinct().count()
+    assert files > 4  # more than the cores, so that a task would take several
+    ChunkStore(spark, str(root)).create(made)
+    tasks = {p.name.split("-")[1] for p in (root / "children").rglob("part-*.parquet")}
+    assert len(tasks) == files
