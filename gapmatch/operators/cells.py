@@ -85,8 +85,8 @@ def _bounded(centres: pd.DataFrame, of: pd.DataFrame):
 
 def _best_block(centres: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
     centres = centres.sort_values("at", ignore_index=True)
-    best = np.concatenate([bound.argmax(1) for _, bound in _bounded(centres, of)])
-    return pd.DataFrame({"query_id": of["query_id"].to_numpy(dtype=object), "at": centres["at"].to_numpy()[best]})
+    best, top = (np.concatenate(x) for x in zip(*((bound.argmax(1), bound.max(1)) for _, bound in _bounded(centres, of))))
+    return pd.DataFrame({"query_id": of["query_id"].to_numpy(dtype=object), "at": centres["at"].to_numpy()[best], "bound": top})
 
 
 def _open_blocks(centres: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +148,9 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, most: int = PIVOTS, bl
     # A pivot for each of its blocks: all meet every query, so they share the place 0.
     centres = written(blocks.select("scope", "cell", F.col("block").alias("at"), "shelf", "radius").join(held, ["scope", "cell"]), "centres")
     everyone = asked.withColumn("block", F.lit(0).cast("long"))
-    seeds = written(meet(everyone, centres, _best_block, ROWS, "scope string, query_id string, at long").withColumnRenamed("at", "block"), "seed-pairs")
+    best = meet(everyone, centres, _best_block, ROWS, "scope string, query_id string, at long, bound double")
+    # One for each id, also of ids that repeat.
+    seeds = written(best.groupBy("scope", "query_id").agg(F.min_by("at", F.struct(-F.col("bound"), F.col("at"))).alias("block")), "seed-pairs")
     score, within = _scorer(k), placed.withColumn("at", F.col("block"))
     pair = seeds.withColumn("blocks", F.array("block")).withColumn("least", F.lit(None).cast("double"))
     first = written(ranked(meet(pair.join(asked, ["scope", "query_id"]), within, score), k), "seed-scores")

@@ -118,6 +118,17 @@ def test_pairs_of_vectors_and_blocks_are_no_rows(spark, monkeypatch):
             assert held <= (4 if shelf > 2000 else 16) * 1505, name
 
 
+def test_ids_that_repeat_are_asked_as_often(spark):
+    rng = np.random.default_rng(4)
+    rows = [("all", str(k % 25), [float(x) for x in rng.normal(size=4)]) for k in range(40)]
+    items = spark.createDataFrame(rows, "scope string, item_id string, vec array<double>")
+    asked = items.withColumnRenamed("item_id", "query_id")
+    columns = ["scope", "query_id", "item_id", "score", "rank"]
+    found, pairs = cells.nearest(items, asked, 5, most=1)
+    want = topk.top_k(items, asked, topk.cosine, 5)
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, want.select(columns).collect())) and pairs.count() == 25
+
+
 def test_streamed_vectors_are_stored_as_in_an_index_and_stay_where_they_are(spark, tmp_path):
     folder, base = tmp_path / "in", str(tmp_path / "out")
     for n, rows in enumerate([[(f"d{k}", text(k)) for k in range(6)] + [(None, text(9))], [("d1", text(11)), ("d2", "")]]):
