@@ -103,6 +103,8 @@ def breach_events(
     timed = calls.filter("created_at is not null").withWatermark("created_at", lateness).select(
         F.col("installation").cast("string").alias("installation"), F.coalesce(F.col("call_id").cast("bigint"), F.lit(NO_ID)).alias("call_id"),
         "created_at", F.unix_micros("created_at").alias("at"), cost.alias("cost"))
+    if forget is None:  # else a call without cost breaks the silence; the watermark counts it either way
+        timed = timed.filter("cost <> 0")
     span = None if forget is None else forget // timedelta(microseconds=1)
     events = timed.groupBy("installation").applyInPandasWithState(
         _judged(Decimal(str(ceiling)), span), EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
